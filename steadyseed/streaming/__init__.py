@@ -1,0 +1 @@
+"""No operators: an analysis always reads a complete table, never a stream."""
