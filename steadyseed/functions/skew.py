@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from steadyseed.functions.columns import quoted
 
 HOT_KEYS_AT_MOST = 1000
+HOT_ROWS = 100_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: list[str], at_least: int = 100_000) -> DataFrame:
+def hot_keys(df: DataFrame, keys: list[str], at_least: int = HOT_ROWS) -> DataFrame:
     """Keys holding more than 1/1000 of all rows.
 
     By counting there are fewer than 1000 of them, which is what makes the
@@ -27,14 +28,18 @@ def lookup_join(
     keys: list[str],
     spread_by: str,
     how: str = "inner",
-    hot_at_least: int = 100_000,
+    hot: DataFrame | None = None,
+    hot_at_least: int = HOT_ROWS,
 ) -> DataFrame:
     """Join ``rows`` to a ``lookup`` with unique keys that is too large to broadcast.
 
     Rows of hot keys are spread over ``SALTS`` groups by ``spread_by``; only the
-    lookup rows of those keys are repeated. Keys must not be NULL on either side.
+    lookup rows of those keys are repeated. ``hot`` gives the hot keys where they
+    are known already; there are fewer than 1000. Keys must not be NULL on either
+    side.
     """
-    hot = F.broadcast(hot_keys(rows, keys, hot_at_least).withColumn("__hot", F.lit(True)))
+    found = hot if hot is not None else hot_keys(rows, keys, hot_at_least)
+    hot = F.broadcast(found.withColumn("__hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(F.col(quoted(spread_by))), F.lit(SALTS)).cast("int")
     salted = rows.join(hot, keys, "left").withColumn("__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(0))).drop("__hot")
     every_salt = F.sequence(F.lit(0), F.lit(SALTS - 1))

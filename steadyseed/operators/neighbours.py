@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyseed.config import ensure_checkpoint_dir
-from steadyseed.functions.skew import lookup_join
+from steadyseed.functions.skew import HOT_KEYS_AT_MOST, HOT_ROWS, lookup_join
 
 BLOCK_ROWS = 4096
 # Doubles held by the pivots, which every task reads.
@@ -62,14 +62,8 @@ class Cells:
     members: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]  # part -> cell, count, radius
 
 
-def _pivots(candidates: DataFrame, block_rows: int) -> np.ndarray:
-    seen = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
-    if not seen["n"]:
-        return np.zeros((0, 0))
-    wanted = 1
-    if seen["n"] > block_rows:
-        wanted = max(1, min(math.ceil(math.sqrt(seen["n"])), PIVOT_VALUES // seen["width"]))
-    # A top-k by a hash of the vector: a repeatable sample of distinct points.
+def _pivots(candidates: DataFrame, wanted: int) -> np.ndarray:
+    """A top-k by a hash of the vector: a repeatable sample of distinct points, of bounded size."""
     drawn = (
         candidates.select("vkey", "vec").dropDuplicates(["vkey"])
         .orderBy(F.md5(F.concat(F.lit("pivot:"), F.col("vkey")))).limit(wanted).select("vec").collect()
@@ -205,6 +199,12 @@ def _meet(visits: DataFrame, assigned: DataFrame, k: int, block_rows: int, id_ty
         "id", "label", "vec",
     )
 
+    return _compare_blocks(asking, offered, grid, k, id_type)
+
+
+def _compare_blocks(asking: DataFrame, offered: DataFrame, grid: list[str], k: int, id_type: str) -> DataFrame:
+    """The k best offered points per query within each block of the grid; blocks are of bounded size."""
+
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"part": [], "qkey": [], "dist2": [], "id": [], "label": [], "vec": []})
@@ -224,7 +224,10 @@ def _meet(visits: DataFrame, assigned: DataFrame, k: int, block_rows: int, id_ty
             }))
         return pd.concat(out, ignore_index=True)
 
-    return asking.groupBy(*grid).cogroup(offered.groupBy(*grid)).applyInPandas(
+    # Both sides may come from one table; fresh names for one side keep them apart.
+    left = asking.select(*[F.col(c).alias(c) for c in (*grid, "qkey", "vec")])
+    right = offered.select(*grid, "id", "label", "vec")
+    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(
         compare, f"part string, qkey string, dist2 double, id {id_type}, label bigint, vec array<double>"
     )
 
@@ -251,31 +254,60 @@ def neighbour_lists(queries: DataFrame, points: DataFrame, k: int, block_rows: i
         .persist()
     )
     keyed = queries.withColumn("qkey", vector_key(F.col("vec")))
-    pivots = _pivots(candidates, block_rows)
-    if not len(pivots):
-        candidates.unpersist()
+    distinct = keyed.groupBy("part", "qkey").agg(F.first("vec").alias("vec"), F.count(F.lit(1)).alias("rows")).persist()
+    held = [candidates, distinct]
+    sizes = candidates.agg(
+        F.lit("offered").alias("side"), F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).cast("bigint").alias("most"), F.lit(None).cast("bigint").alias("rows")
+    ).unionByName(distinct.agg(
+        F.lit("asked").alias("side"), F.count(F.lit(1)).alias("n"), F.max("rows").alias("most"), F.sum("rows").alias("rows")
+    ))
+    by_side = {r["side"]: r for r in sizes.collect()}
+    offered, asked, width = by_side["offered"], by_side["asked"], by_side["offered"]["most"]
+    if not offered["n"] or not asked["n"]:
+        for table in held:
+            table.unpersist()
         empty = f"array<struct<dist2:double,id:{id_type},label:bigint,vec:array<double>>>"
         return queries.withColumn("neighbours", F.array().cast(empty))
-    assigned = _assign_points(candidates, pivots).persist()
-    cells = _cells(assigned, pivots)
-    distinct = keyed.groupBy("part", "qkey").agg(F.first("vec").alias("vec"))
-    at_home = _visits(distinct, cells, depth, home=True).persist()
-    best = _merge(_meet(at_home, assigned, depth, block_rows, id_type), depth)
-    held = [candidates, assigned, at_home]
-    if len(pivots) > 1:
-        best = best.persist()
-        reached = best.groupBy("part", "qkey").agg(F.count(F.lit(1)).alias("n"), F.max("dist2").alias("d2"))
-        tight = F.when(F.col("n") >= depth, F.least("bound", F.sqrt("d2"))).otherwise(F.col("bound"))
-        bounded = at_home.join(reached, ["part", "qkey"], "left").select("part", "qkey", "vec", "cell", tight.alias("bound"))
-        elsewhere = _visits(bounded, cells, depth, home=False).persist()
-        held += [best, elsewhere]
-        best = _merge(best.unionByName(_meet(elsewhere, assigned, depth, block_rows, id_type)), depth)
+    if offered["n"] <= block_rows:
+        block = F.pmod(F.xxhash64("qkey"), F.lit(math.ceil(asked["n"] / block_rows))).cast("int")
+        best = _compare_blocks(distinct.withColumn("block", block), _repeat_for(candidates, block_rows, asked["n"]), ["part", "block"], depth, id_type)
+    else:
+        best = _search_cells(candidates, distinct, offered["n"], width, depth, block_rows, id_type, held)
     lists = best.groupBy("part", "qkey").agg(
         F.sort_array(F.collect_list(F.struct("dist2", "id", "label", "vec"))).alias("nearest")
     )
-    joined = lookup_join(keyed, lists, ["part", "qkey"], "id")
+    # A vector may be shared by very many query rows; the counts are known already.
+    limit = max(HOT_ROWS, asked["rows"] // HOT_KEYS_AT_MOST)
+    if asked["most"] > limit:
+        hot = distinct.where(F.col("rows") > limit).select("part", "qkey")
+        joined = lookup_join(keyed, lists, ["part", "qkey"], "id", hot=hot)
+    else:
+        joined = keyed.join(lists, ["part", "qkey"])
     others = F.slice(F.filter("nearest", lambda n: n["id"] != F.col("id")), 1, k)
     result = joined.select(*queries.columns, others.alias("neighbours")).checkpoint()
     for table in held:
         table.unpersist()
     return result
+
+
+def _repeat_for(candidates: DataFrame, block_rows: int, queries: int) -> DataFrame:
+    """The few candidates, once per block of queries."""
+    blocks = math.ceil(queries / block_rows)
+    return candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+
+def _search_cells(
+    candidates: DataFrame, distinct: DataFrame, n: int, width: int, depth: int, block_rows: int, id_type: str, held: list
+) -> DataFrame:
+    """The ``depth`` best per distinct query, by way of its own cell and then the cells that can hold anything nearer."""
+    pivots = _pivots(candidates, max(1, min(math.ceil(math.sqrt(n)), PIVOT_VALUES // max(width, 1))))
+    assigned = _assign_points(candidates, pivots).persist()
+    cells = _cells(assigned, pivots)
+    at_home = _visits(distinct, cells, depth, home=True).persist()
+    near = _merge(_meet(at_home, assigned, depth, block_rows, id_type), depth).persist()
+    reached = near.groupBy("part", "qkey").agg(F.count(F.lit(1)).alias("n"), F.max("dist2").alias("d2"))
+    tight = F.when(F.col("n") >= depth, F.least("bound", F.sqrt("d2"))).otherwise(F.col("bound"))
+    bounded = at_home.join(reached, ["part", "qkey"], "left").select("part", "qkey", "vec", "cell", tight.alias("bound"))
+    elsewhere = _visits(bounded, cells, depth, home=False).persist()
+    held += [assigned, at_home, near, elsewhere]
+    return _merge(near.unionByName(_meet(elsewhere, assigned, depth, block_rows, id_type)), depth)

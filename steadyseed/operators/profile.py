@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from steadyseed.functions.columns import col, column_kind, is_missing, value_text
+from steadyseed.functions.columns import col, column_kind, is_floating, is_missing, value_text
 from steadyseed.functions.inline import inline_rows
 
 MAX_VALUES = 20
@@ -46,23 +48,46 @@ def total_missing(df: DataFrame) -> DataFrame:
     return missing_counts(df).agg(F.sum("missing").alias("total_missing"))
 
 
-def preview(df: DataFrame, order_by: str, n: int = 5) -> DataFrame:
-    """The first ``n`` rows by ``order_by`` as text, missing values empty."""
+def preview(df: DataFrame, order_by: str | None = None, n: int = 5) -> DataFrame:
+    """The first ``n`` rows by ``order_by`` (without one, by a hash of the row) as text, missing values empty."""
     texts = [F.coalesce(value_text(f.name, f.dataType), F.lit("")).alias(f.name) for f in df.schema.fields]
-    return df.orderBy(col(order_by)).limit(n).select(*texts)
-
-
-def _cells(df: DataFrame, fields: list[T.StructField], extra: list[Column], shorten: bool) -> DataFrame:
-    """``(extra, column_name, value)`` for the non-missing values of the fields."""
-
-    def text(field: T.StructField) -> Column:
-        value = value_text(field.name, field.dataType)
-        if shorten and isinstance(field.dataType, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
-            value = F.when(F.length(value) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(value))).otherwise(value)
-        return value
-
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column_name"), text(f).alias("value")) for f in fields])
-    return df.select(*extra, F.inline(cells)).where(F.col("value").isNotNull())
+    key = col(order_by) if order_by else F.md5(F.to_json(F.struct(*[col(c) for c in df.columns])))
+    return df.orderBy(key).limit(n).select(*texts)
+
+
+def _native(field: T.StructField, shorten: bool) -> tuple[str, Column]:
+    """A type that several columns can share, and the column in it with missing values as NULL."""
+    kind, value = field.dataType, col(field.name)
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
+        return "bigint", value.cast("bigint")
+    if is_floating(kind):
+        return "double", F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    if isinstance(kind, (T.StringType, T.ArrayType, T.MapType, T.StructType)):
+        text = value_text(field.name, kind)
+        if shorten:
+            text = F.when(F.length(text) > LONG_TEXT, F.concat(F.lit("md5:"), F.md5(text))).otherwise(text)
+        return "string", text
+    return kind.simpleString(), value
+
+
+def _cells(df: DataFrame, fields: list[T.StructField], order_by: str | None, shorten: bool) -> list[DataFrame]:
+    """``([at,] position, value)`` of the non-missing values: one table per column type.
+
+    Values keep their type, so nothing is turned into text row by row, and each
+    table reads the columns of its type only.
+    """
+    by_type: dict[str, list[tuple[str, Column]]] = {}
+    for i, field in enumerate(fields):
+        kind, value = _native(field, shorten)
+        by_type.setdefault(kind, []).append((str(i), value))
+    at = [col(order_by).alias("__at")] if order_by else []
+    names = ["__at"] if order_by else []
+    return [
+        df.select(*at, *[value.alias(i) for i, value in group])
+        .unpivot(names, [i for i, _ in group], "position", "value")
+        .where(F.col("value").isNotNull())
+        for group in by_type.values()
+    ]
 
 
 def distinct_counts(df: DataFrame, approx: bool = False, columns: list[str] | None = None) -> DataFrame:
@@ -74,33 +99,44 @@ def distinct_counts(df: DataFrame, approx: bool = False, columns: list[str] | No
     """
     chosen = df.select(*[col(c) for c in columns]) if columns is not None else df
     fields = chosen.schema.fields
+    rows = {f.name: "rows" for f in fields}
     if approx:
         names = {f.name: f"d{i}" for i, f in enumerate(fields)}
         wide = chosen.agg(
             F.count(F.lit(1)).alias("rows"),
-            *[F.approx_count_distinct(value_text(f.name, f.dataType)).alias(names[f.name]) for f in fields],
+            *[F.approx_count_distinct(_native(f, False)[1]).alias(names[f.name]) for f in fields],
         )
-        rows = {f.name: "rows" for f in fields}
         counted = _per_column(wide, chosen, distinct=names, rows=rows)
     else:
-        values = _cells(chosen, fields, [], shorten=True).groupBy("column_name", "value").agg(F.lit(1).alias("one"))
-        found = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct"))
-        rows = {f.name: "rows" for f in fields}
+        per_type = [
+            cells.groupBy("position", "value").agg(F.lit(1).alias("one"))
+            .groupBy("position").agg(F.count(F.lit(1)).alias("distinct"))
+            for cells in _cells(chosen, fields, None, shorten=True)
+        ]
+        found = reduce(DataFrame.unionByName, per_type).select(F.col("position").cast("int").alias("position"), "distinct")
         every = _per_column(chosen.agg(F.count(F.lit(1)).alias("rows")), chosen, rows=rows)
-        counted = every.join(F.broadcast(found), "column_name", "left")
+        counted = every.join(F.broadcast(found), "position", "left")
     distinct = F.coalesce(F.col("distinct"), F.lit(0)).cast("bigint")
     ratio = F.when(F.col("rows") > 0, distinct / F.col("rows")).otherwise(F.lit(0.0))
     return counted.select("column_name", distinct.alias("distinct"), ratio.alias("distinct_ratio"))
 
 
 def _value_lists(df: DataFrame, fields: list[T.StructField], order_by: str | None) -> DataFrame:
-    """``(column_name, values)`` in first-appearance order; the fields have few values."""
-    first = [col(order_by).alias("__at")] if order_by else []
-    cells = _cells(df, fields, first, shorten=False)
-    rank = F.min("__at") if order_by else F.min("value")
-    per_value = cells.groupBy("column_name", "value").agg(rank.alias("__at"))
+    """``(column_name, values)`` in first-appearance order, ties in text order; the fields have few values.
+
+    A numeric ``order_by`` keeps the aggregation hash-based.
+    """
+    per_type = []
+    for cells in _cells(df, fields, order_by, shorten=False):
+        first = F.min("__at") if order_by else F.lit(0)
+        per_value = cells.groupBy("position", "value").agg(first.alias("__at"))
+        per_type.append(per_value.select("position", F.col("value").cast("string").alias("value"), "__at"))
     ordered = F.sort_array(F.collect_list(F.struct("__at", "value")))
-    return per_value.groupBy("column_name").agg(F.transform(ordered, lambda e: e["value"]).alias("values"))
+    lists = reduce(DataFrame.unionByName, per_type).groupBy("position").agg(
+        F.transform(ordered, lambda e: e["value"]).alias("values")
+    )
+    names = F.array(*[F.lit(f.name) for f in fields])
+    return lists.select(F.element_at(names, F.col("position").cast("int") + 1).alias("column_name"), "values")
 
 
 def distinct_values(

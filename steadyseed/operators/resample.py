@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,6 +21,7 @@ class Allocation:
 
     rows: DataFrame | None
     reason: str | None = None
+    classes: list = field(default_factory=list)
 
 
 def _needs(sizes: dict) -> dict:
@@ -61,27 +62,27 @@ def adasyn_allocation(
     if small:
         return Allocation(None, f"fewer than {k + 1} rows in class {small[0]}")
     shares = neighbour_shares(df, row_id, features, label, list(needs), k, block_rows)
-    totals = {r["label"]: r["t"] for r in shares.groupBy("label").agg(F.sum("others").alias("t")).collect()}
-    if any(not totals.get(c) for c in needs):
+    # At most k + 1 rows per class: how many minority rows have how many other-class neighbours.
+    tally = shares.groupBy("label", "others").agg(F.count(F.lit(1)).alias("n")).collect()
+    totals = {c: sum(r["others"] * r["n"] for r in tally if r["label"] == c) for c in needs}
+    if not all(totals.values()):
         return Allocation(None, "no minority row has a neighbour of another class")
+    if not any(round(r["others"] / totals[r["label"]] * needs[r["label"]]) for r in tally):
+        return Allocation(None, "no row would be generated")
     copies = None
     for c, need in needs.items():
         wanted = F.rint(F.col("others") / F.lit(float(totals[c])) * F.lit(float(need))).cast("bigint")
         copies = F.when(F.col("label") == c, wanted) if copies is None else copies.when(F.col("label") == c, wanted)
-    rows = shares.withColumn("copies", copies)
-    if not rows.agg(F.sum("copies").alias("s")).first()["s"]:
-        return Allocation(None, "no row would be generated")
-    return Allocation(rows)
+    return Allocation(shares.withColumn("copies", copies), classes=list(needs))
 
 
 def synthetic_rows(
-    df: DataFrame, row_id: str, features: list[str], label: str, allocation: DataFrame,
+    df: DataFrame, row_id: str, features: list[str], label: str, allocation: Allocation,
     k: int = NEIGHBOURS, seed: int = SEED, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The generated rows: each lies between a minority row and one of its k nearest of the same class."""
-    classes = [r["label"] for r in allocation.select("label").distinct().collect()]
-    same = _points(df, row_id, features, label, col(label).cast("string")).where(F.col("label").isin(*classes))
-    asked = allocation.where(F.col("copies") > 0).select("id", F.col("label").cast("string").alias("part"), "label", "vec", "copies")
+    same = _points(df, row_id, features, label, col(label).cast("string")).where(F.col("label").isin(*allocation.classes))
+    asked = allocation.rows.where(F.col("copies") > 0).select("id", F.col("label").cast("string").alias("part"), "label", "vec", "copies")
     parents = neighbour_lists(asked, same, k, block_rows).withColumn(
         "neighbours", F.transform("neighbours", lambda n: n["vec"])
     )
@@ -115,7 +116,7 @@ def adasyn(
     allocation = adasyn_allocation(df, row_id, features, label, k, block_rows)
     if allocation.rows is None:
         return original, allocation.reason
-    return original.unionByName(synthetic_rows(df, row_id, features, label, allocation.rows, k, seed, block_rows)), None
+    return original.unionByName(synthetic_rows(df, row_id, features, label, allocation, k, seed, block_rows)), None
 
 
 def class_counts_before_after(before: DataFrame, after: DataFrame, label: str) -> DataFrame:

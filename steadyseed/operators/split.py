@@ -17,8 +17,10 @@ from steadyseed.config import MAX_LOOKUP_ROWS, TEST_SHARE
 from steadyseed.functions.hashing import keyed_hash
 from steadyseed.functions.inline import inline_rows
 
-# Rows of one seed and class that a single ranking task may receive.
-RANKED_ROWS = 1_000_000
+# Rows of one seed and class that a single ranking task should receive, and the
+# hex digits of the hash that may be used to get there (65,536 prefixes).
+RANKED_ROWS = 50_000
+MAX_DIGITS = 4
 
 
 def class_sizes(df: DataFrame, label: str | None) -> dict:
@@ -49,7 +51,7 @@ def quotas(sizes: dict, share: float = TEST_SHARE) -> dict:
 
 
 def _prefix_length(rows: int, ranked_rows: int) -> int:
-    return max(0, math.ceil(math.log(rows / ranked_rows, 16))) if rows > ranked_rows else 0
+    return min(MAX_DIGITS, math.ceil(math.log(rows / ranked_rows, 16))) if rows > ranked_rows else 0
 
 
 def hash_cutoffs(
@@ -79,16 +81,21 @@ def hash_cutoffs(
         cls.alias("class"), F.col(row_id).alias("id"), F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
     ).select("class", "seed", keyed_hash(F.col("seed"), F.col("id")).alias("hash"))
     drawn = drawn.withColumn("prefix", F.substring("hash", 1, digits) if digits else F.lit(""))
-    by_prefix = Window.partitionBy("class", "seed").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    tallied = (
-        drawn.groupBy("class", "seed", "prefix").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(by_prefix))
-    )
-    same_class = tallied["class"].eqNullSafe(wanted["class"])
-    holding = (
-        tallied.join(F.broadcast(wanted), same_class & (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        .select(tallied["class"], "seed", "prefix", "part", (F.col("rank") - F.col("upto") + F.col("n")).alias("offset"))
-    )
+    if digits:
+        by_prefix = Window.partitionBy("class", "seed").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
+        tallied = (
+            drawn.groupBy("class", "seed", "prefix").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("upto", F.sum("n").over(by_prefix))
+        )
+        holds_rank = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))
+        holding = tallied.join(F.broadcast(wanted), tallied["class"].eqNullSafe(wanted["class"]) & holds_rank).select(
+            tallied["class"], "seed", "prefix", "part", (F.col("rank") - F.col("upto") + F.col("n")).alias("offset")
+        )
+    else:
+        holding = wanted.select(
+            "class", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"), F.lit("").alias("prefix"),
+            "part", F.col("rank").alias("offset"),
+        )
     prefixes = holding.groupBy("class", "seed", "prefix").agg(F.collect_list(F.struct("part", "offset")).alias("parts"))
     # At most one row per seed, class and rank.
     if len(seeds) * sum(len(r) for r in ranks.values()) <= MAX_LOOKUP_ROWS:

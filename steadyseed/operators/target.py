@@ -148,7 +148,7 @@ def numeric_target_statistics(df: DataFrame, target: str) -> DataFrame:
         skew.alias("skewness"),
         kurt.alias("kurtosis"),
     )
-    size = values.count()
+    size = values.where(~F.isnan("value")).count()
     q25, q50, q75 = quantiles(values, "value", [0.25, 0.5, 0.75], size)
     return moments.select(
         "total_samples", "mean", F.lit(q50).cast("double").alias("median"), "std", "min", "max",

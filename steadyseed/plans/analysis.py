@@ -8,7 +8,6 @@ import time
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from steadyseed.config import AnalysisConfig
-from steadyseed.functions.columns import col
 from steadyseed.functions.hashing import with_row_id
 from steadyseed.operators.encode import coerce_numeric_target, encode_features, index_target
 from steadyseed.operators.impute import impute_iterative, impute_mean
@@ -52,13 +51,11 @@ class ProcessedData:
 
 def describe_table(df: DataFrame, order_by: str | None = None) -> dict[str, DataFrame]:
     """What a user sees first: profile, preview and suggestions."""
-    keyed = df if order_by else with_row_id(df)
     profile = column_profile(df, order_by)
     suggestions = suggest_categorical_types(df, order_by)
-    shown = preview(keyed, order_by or "row_id")
     return {
         "profile": profile,
-        "preview": shown.select(*[col(c) for c in df.columns]),
+        "preview": preview(df, order_by),
         "suggested_targets": suggest_targets(profile),
         "suggested_removals": suggest_removals(profile),
         "default_target": default_target(profile),

@@ -16,13 +16,13 @@ LINE_ID_SQL = (
 )
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return load_table(spark, f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    return load_table(spark, f"{sf_dir}/{name}.parquet", spread=spread)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` with ``row_id``."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("__quantity", F.col("l_quantity").cast("int"))
+    rows = table(spark, sf_dir, "lineitem", spread=True).withColumn("__quantity", F.col("l_quantity").cast("int"))
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "__quantity"]
     return with_row_id(rows, "row_id", key).drop("__quantity")
 
@@ -76,8 +76,7 @@ GAPS_SQL = (
 
 def scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` described in words: one column for each rule on value sets."""
-    return lines(spark, sf_dir).select(
-        "row_id",
+    return table(spark, sf_dir, "lineitem", spread=True).select(
         F.expr("CASE WHEN l_returnflag = 'R' THEN 'Yes' ELSE ' no' END").alias("came_back"),
         F.expr("CASE WHEN l_quantity < 15 THEN 'low' WHEN l_quantity < 35 THEN 'Medium' ELSE 'HIGH' END").alias("level"),
         F.expr("CASE WHEN l_extendedprice < 30000 THEN 'S' WHEN l_extendedprice < 60000 THEN 'M' ELSE 'XL' END").alias("box"),
@@ -90,11 +89,11 @@ def scales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("'tax ' || CAST(CAST(round(l_tax * 100) AS INT) AS STRING)").alias("tax_band"),
         F.expr("'line of ' || CAST(l_orderkey AS STRING)").alias("free_text"),
         F.expr("CAST(nullif(l_linenumber, l_linenumber) AS STRING)").alias("empty"),
-        "l_linenumber",
+        "l_linenumber", "l_orderkey",
     )
 
 
-SCALES_SQL = f"""SELECT {LINE_ID_SQL} AS row_id,
+SCALES_SQL = f"""SELECT l_orderkey,
     CASE WHEN l_returnflag = 'R' THEN 'Yes' ELSE ' no' END AS came_back,
     CASE WHEN l_quantity < 15 THEN 'low' WHEN l_quantity < 35 THEN 'Medium' ELSE 'HIGH' END AS level,
     CASE WHEN l_extendedprice < 30000 THEN 'S' WHEN l_extendedprice < 60000 THEN 'M' ELSE 'XL' END AS box,

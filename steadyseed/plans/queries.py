@@ -217,9 +217,9 @@ SCALE_COLUMNS = (
 ).split()
 
 
-@register("categorical_suggestions_all_rules", q.suggestions_sql(fx.SCALES_SQL, SCALE_COLUMNS, "row_id"))
+@register("categorical_suggestions_all_rules", q.suggestions_sql(fx.SCALES_SQL, SCALE_COLUMNS, "l_orderkey"))
 def _(spark, d):
-    return _flat_suggestions(suggest.suggest_categorical_types(fx.scales(spark, d), "row_id"))
+    return _flat_suggestions(suggest.suggest_categorical_types(fx.scales(spark, d), "l_orderkey"))
 
 
 @register("categorical_suggestions_orders", q.suggestions_sql(
@@ -230,9 +230,9 @@ def _(spark, d):
 
 @register("default_categorical_configs", f"""
     SELECT variable_name, 'ordinal' AS variable_type, unique_values AS value_ordering
-    FROM ({q.suggestions_sql(fx.SCALES_SQL, SCALE_COLUMNS, "row_id")}) WHERE suggested_type = 'ordinal'""")
+    FROM ({q.suggestions_sql(fx.SCALES_SQL, SCALE_COLUMNS, "l_orderkey")}) WHERE suggested_type = 'ordinal'""")
 def _(spark, d):
-    configs = suggest.default_categorical_configs(suggest.suggest_categorical_types(fx.scales(spark, d), "row_id"))
+    configs = suggest.default_categorical_configs(suggest.suggest_categorical_types(fx.scales(spark, d), "l_orderkey"))
     return configs.withColumn("value_ordering", F.array_join("value_ordering", "|"))
 
 

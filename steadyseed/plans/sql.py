@@ -99,14 +99,14 @@ def suggestions_sql(source: str, columns: list[str], order_by: str) -> str:
     """One row per column of ``source`` with at most 20 values, with the verdict of the rules."""
     cells = " UNION ALL ".join(
         f"SELECT {i} AS position, '{c}' AS variable_name, CAST({c} AS VARCHAR) AS v, {order_by} AS at_ FROM src"
-        for i, c in enumerate(columns, start=1)
+        for i, c in enumerate(columns)
     )
     kind, reason = categorical_rule_sql("vals", "unique_count")
     return f"""
     WITH src AS ({source}), cells AS ({cells}),
     firsts AS (SELECT position, variable_name, v, min(at_) AS at_ FROM cells WHERE v IS NOT NULL GROUP BY ALL),
     lists AS (
-        SELECT position, variable_name, list(v ORDER BY at_) AS shown, count(*) AS unique_count,
+        SELECT position, variable_name, list(v ORDER BY at_, v) AS shown, count(*) AS unique_count,
             list_distinct(list(lower(trim(v)))) AS vals
         FROM firsts GROUP BY ALL HAVING count(*) <= 20)
     SELECT variable_name, {kind} AS suggested_type, array_to_string(shown, '|') AS unique_values, unique_count,

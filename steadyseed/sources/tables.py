@@ -106,8 +106,17 @@ def missing_as_null(df: DataFrame) -> DataFrame:
     ])
 
 
-def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Read by extension: .csv, .json, .xlsx or .parquet."""
+def spread_narrow(df: DataFrame) -> DataFrame:
+    """Spread a table that arrives in fewer partitions than there are cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def load_table(spark: SparkSession, path: str, spread: bool = False, **options) -> DataFrame:
+    """Read by extension: .csv, .json, .xlsx or .parquet.
+
+    ``spread`` is for heavy work on a file that cannot be split into enough tasks.
+    """
     lowered = path.lower().rstrip("/")
     if lowered.endswith(".csv"):
         table = read_csv(spark, path, **options)
@@ -119,4 +128,4 @@ def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
         table = spark.read.parquet(path, **options)
     else:
         raise ValueError(f"Unsupported file format: {path}")
-    return missing_as_null(table)
+    return missing_as_null(spread_narrow(table) if spread else table)
