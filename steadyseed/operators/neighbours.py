@@ -207,7 +207,7 @@ def _compare_blocks(asking: DataFrame, offered: DataFrame, grid: list[str], k: i
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"part": [], "qkey": [], "dist2": [], "id": [], "label": [], "vec": []})
+            return pd.DataFrame(columns=["part", "qkey", "dist2", "id", "label", "vec"], dtype=object)
         right = right.sort_values("id", ignore_index=True)
         points, out = _matrix(right["vec"]), []
         queries = _matrix(left["vec"])
@@ -280,11 +280,11 @@ def neighbour_lists(queries: DataFrame, points: DataFrame, k: int, block_rows: i
     limit = max(HOT_ROWS, asked["rows"] // HOT_KEYS_AT_MOST)
     if asked["most"] > limit:
         hot = distinct.where(F.col("rows") > limit).select("part", "qkey")
-        joined = lookup_join(keyed, lists, ["part", "qkey"], "id", hot=hot)
+        joined = lookup_join(keyed, lists, ["part", "qkey"], "id", "left", hot=hot)
     else:
-        joined = keyed.join(lists, ["part", "qkey"])
+        joined = keyed.join(lists, ["part", "qkey"], "left")
     others = F.slice(F.filter("nearest", lambda n: n["id"] != F.col("id")), 1, k)
-    result = joined.select(*queries.columns, others.alias("neighbours")).checkpoint()
+    result = joined.select(*queries.columns, F.coalesce(others, F.array()).alias("neighbours")).checkpoint()
     for table in held:
         table.unpersist()
     return result

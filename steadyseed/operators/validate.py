@@ -30,26 +30,33 @@ def findings(spark, rows: list[tuple]) -> DataFrame:
 
 
 def ordering_differences(df: DataFrame, configs: list[CategoricalConfig]) -> DataFrame:
-    """``(column_name, side, value)``: values missing from an ordering, or extra in it.
+    """``(config, column_name, side, value)``: values missing from an ordering, or extra in it.
 
-    Distinct values are combined map-side; the orderings are the caller's own
-    lists, so both sides of the difference are anti-joins against a small table.
+    ``config`` is the position in ``configs``. Distinct values are combined
+    map-side; the orderings are the caller's own lists.
     """
-    ordered = [c for c in configs if c.variable_type == "ordinal" and c.value_ordering and c.variable_name in df.columns]
-    schema = {"column_name": "string", "value": "string"}
-    wanted = inline_rows(df.sparkSession, [(c.variable_name, v) for c in ordered for v in dict.fromkeys(c.value_ordering)], schema)
+    ordered = [
+        (i, c) for i, c in enumerate(configs)
+        if c.variable_type == "ordinal" and c.value_ordering and c.variable_name in df.columns
+    ]
+    schema = {"config": "int", "column_name": "string", "value": "string"}
+    wanted = inline_rows(
+        df.sparkSession, [(i, c.variable_name, v) for i, c in ordered for v in dict.fromkeys(c.value_ordering)], schema
+    )
     if not ordered:
-        return wanted.select("column_name", F.lit("").alias("side"), "value")
+        return wanted.select("config", "column_name", F.lit("").alias("side"), "value")
     cells = F.array(*[
-        F.struct(F.lit(c.variable_name).alias("column_name"),
+        F.struct(F.lit(i).alias("config"), F.lit(c.variable_name).alias("column_name"),
                  value_text(c.variable_name, df.schema[c.variable_name].dataType).alias("value"))
-        for c in ordered
+        for i, c in ordered
     ])
+    key = ["config", "column_name", "value"]
     present = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
-    missing = present.join(F.broadcast(wanted), ["column_name", "value"], "left_anti")
-    extra = wanted.join(present, ["column_name", "value"], "left_anti")
-    return missing.select("column_name", F.lit("missing").alias("side"), "value").unionByName(
-        extra.select("column_name", F.lit("extra").alias("side"), "value")
+    missing = present.join(F.broadcast(wanted), key, "left_anti")
+    known = present.join(F.broadcast(wanted), key, "left_semi")
+    extra = wanted.join(known, key, "left_anti")
+    return missing.select("config", "column_name", F.lit("missing").alias("side"), "value").unionByName(
+        extra.select("config", "column_name", F.lit("extra").alias("side"), "value")
     )
 
 
@@ -71,24 +78,20 @@ def validate_categorical_configs(
     differences = ordering_differences(df, usable)
     tally = {}
     if any(c.variable_type == "ordinal" and c.value_ordering for c in usable):
-        counted = differences.groupBy("column_name", "side").agg(F.count(F.lit(1)).alias("n")).collect()
-        tally = {(r["column_name"], r["side"]): r["n"] for r in counted}
+        counted = differences.groupBy("config", "side").agg(F.count(F.lit(1)).alias("n")).collect()
+        tally = {(r["config"], r["side"]): r["n"] for r in counted}
     listed = [key for key, n in tally.items() if n <= LISTED_VALUES]
-    values: dict[tuple[str, str], list[str]] = {key: [] for key in listed}
+    values: dict[tuple[int, str], list[str]] = {key: [] for key in listed}
     if listed:
-        chosen = inline_rows(df.sparkSession, listed, {"column_name": "string", "side": "string"})
-        for r in differences.join(F.broadcast(chosen), ["column_name", "side"]).orderBy("column_name", "side", "value").collect():
-            values[(r["column_name"], r["side"])].append(r["value"])
-    rejected = set()
-    for config in usable:
-        for side in ("missing", "extra"):
-            key = (config.variable_name, side)
-            if config.variable_type == "ordinal" and config.value_ordering and key in tally:
-                rejected.add(config)
-                shown = ", ".join(values[key]) if key in values else f"{tally[key]} values"
-                rows.append(("warning", "categorical_config", key[0],
-                             f"{side.capitalize()} values in ordering for '{key[0]}': {shown}"))
-    return [c for c in usable if c not in rejected], findings(df.sparkSession, rows)
+        chosen = inline_rows(df.sparkSession, listed, {"config": "int", "side": "string"})
+        for r in differences.join(F.broadcast(chosen), ["config", "side"]).orderBy("config", "side", "value").collect():
+            values[(r["config"], r["side"])].append(r["value"])
+    for i, side in sorted(tally, key=lambda k: (k[0], k[1] == "extra")):
+        name = usable[i].variable_name
+        shown = ", ".join(values[(i, side)]) if (i, side) in values else f"{tally[(i, side)]} values"
+        rows.append(("warning", "categorical_config", name, f"{side.capitalize()} values in ordering for '{name}': {shown}"))
+    rejected = {i for i, _ in tally}
+    return [c for i, c in enumerate(usable) if i not in rejected], findings(df.sparkSession, rows)
 
 
 def _settings_findings(cfg: AnalysisConfig) -> list[tuple]:

@@ -257,7 +257,7 @@ ORDER_CONFIGS = [
     UNION ALL
     SELECT column_name, 'extra' AS side, value FROM (SELECT * FROM wanted EXCEPT SELECT * FROM present)""")
 def _(spark, d):
-    return validate.ordering_differences(fx.table(spark, d, "orders"), ORDER_CONFIGS)
+    return validate.ordering_differences(fx.table(spark, d, "orders"), ORDER_CONFIGS).drop("config")
 
 
 @register("validate_categorical_configs", """
