@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 PROBLEM_TYPES = ("classification", "regression")
 CLASSIFICATION_METRICS = ("accuracy", "precision", "recall", "f1")
 REGRESSION_METRICS = ("mae", "rmse", "r2")
+BINARY_METRICS = ("precision", "recall", "f1")
 HIGHER_IS_BETTER = ("accuracy", "precision", "recall", "f1", "r2")
 IMPUTE_METHODS = ("mean", "iterative")
 VARIABLE_TYPES = ("ordinal", "nominal")
@@ -60,7 +61,10 @@ class CategoricalConfig:
 
 @dataclass
 class AnalysisConfig:
-    """One analysis request; ``oversample=None`` lets the class balance decide."""
+    """One analysis request; ``oversample=None`` lets the class balance decide.
+
+    ``average='macro'`` scores precision, recall and f1 over all classes.
+    """
 
     target: str
     problem_type: str
@@ -73,6 +77,7 @@ class AnalysisConfig:
     oversample_scope: str = "all"
     null_target: str = "error"
     id_col: str | None = None
+    average: str = "binary"
     trees: int = 100
     max_depth: int = 5
     parallelism: int = 4

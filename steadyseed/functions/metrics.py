@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steadyseed.config import default_metric, metrics_for
+from steadyseed.config import BINARY_METRICS, default_metric, metrics_for
 
 POSITIVE = 1.0
 
@@ -70,7 +70,7 @@ def metric_column(metric: str, label: str = "label", prediction: str = "predicti
 
 def check_binary_labels(labels: list[float], metric: str, average: str = "binary") -> None:
     """The binary metrics need at most two label values with 1 among them."""
-    if metric.lower() in ("precision", "recall", "f1") and average == "binary":
+    if metric.lower() in BINARY_METRICS and average == "binary":
         distinct = sorted({float(v) for v in labels})
         if len(distinct) > 2:
             raise ValueError(f"{metric} is defined for two classes, got {len(distinct)}; use average='macro'")
@@ -100,7 +100,7 @@ def score(
     name = (metric or default_metric(problem_type)).lower()
     if name not in metrics_for(problem_type):
         raise ValueError(f"{name} is not a {problem_type} metric")
-    if average == "macro" and name in ("precision", "recall", "f1"):
+    if average == "macro" and name in BINARY_METRICS:
         return _macro(preds, name, by)
     return preds.groupBy(*by).agg(metric_column(name).alias("score"))
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from steadyseed.config import MAX_LOOKUP_ROWS, CategoricalConfig
 from steadyseed.functions.columns import col, is_missing, is_nested, kinds, value_text
 from steadyseed.functions.inline import inline_rows
 from steadyseed.functions.skew import lookup_join
+from steadyseed.operators.profile import distinct_counts
 from steadyseed.sources.infer import DECIMAL_TEXT
 
 MAX_ONE_HOT = 256
@@ -115,32 +116,34 @@ def ordinal_encode_auto(df: DataFrame, column: str, row_id: str | None = None) -
 def category_values(df: DataFrame, columns: list[str], limit: int) -> dict[str, list[str | None] | None]:
     """Sorted categories per column, a missing value last; None where there are more than ``limit``.
 
-    One pass finds the values of all columns; per column at most ``limit + 1``
-    reach the driver.
+    Columns are counted first; values are then read only of the columns that
+    have few, so at most ``limit + 1`` per column reach the driver.
     """
     if not columns:
         return {}
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("c"), value_text(c, df.schema[c].dataType).alias("v")) for c in columns
-    ])
-    distinct = df.select(F.inline(cells)).distinct()
-    sizes = {r["c"]: r["n"] for r in distinct.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    fitting = [c for c in columns if sizes.get(c, 0) <= limit]
+    sizes = {r["column_name"]: r["distinct"] for r in distinct_counts(df, columns=columns).collect()}
+    fitting = [c for c in columns if sizes[c] <= limit]
     found: dict[str, list[str | None] | None] = {c: [] if c in fitting else None for c in columns}
     if fitting:
-        narrow = F.array(*[
-            F.struct(F.lit(c).alias("c"), value_text(c, df.schema[c].dataType).alias("v")) for c in fitting
-        ])
-        for r in df.select(F.inline(narrow)).distinct().collect():
-            found[r["c"]].append(r["v"])
-    return {c: None if v is None else sorted(v, key=lambda x: (x is None, x or "")) for c, v in found.items()}
-
-
-def one_hot_encode(df: DataFrame, columns: list[str], max_categories: int = MAX_ONE_HOT) -> DataFrame:
+        texts = df.select(*[value_text(c, df.schema[c].dataType).alias(str(i)) for i, c in enumerate(fitting)])
+        cells = texts.unpivot([], texts.columns, "position", "value").distinct().collect()
+        for r in cells:
+            found[fitting[int(r["position"])]].append(r["value"])
+    # A missing value is a category too, and is seen only now.
+    return {
+        c: sorted(v, key=lambda x: (x is None, x or "")) if v is not None and len(v) <= limit else None
+        for c, v in found.items()
+    }
+
+
+def one_hot_encode(
+    df: DataFrame, columns: list[str], max_categories: int = MAX_ONE_HOT, row_id: str | None = None
+) -> DataFrame:
     """0/1 columns ``column_value`` for every category, missing values being ``column_nan``.
 
     A column with more than ``max_categories`` becomes one sparse vector column
-    ``column_onehot`` instead.
+    ``column_onehot`` instead; ``row_id`` is needed when its categories are too
+    many to broadcast.
     """
     categories = category_values(df, columns, max_categories)
     kept = [col(c) for c in df.columns if c not in columns]
@@ -152,20 +155,18 @@ def one_hot_encode(df: DataFrame, columns: list[str], max_categories: int = MAX_
     wide = [c for c in columns if categories[c] is None]
     encoded = df.select(*kept, *dense, *[col(c) for c in wide])
     for name in wide:
-        encoded = _sparse_one_hot(encoded, name)
+        encoded = _sparse_one_hot(encoded, name, row_id)
     return encoded
 
 
-def _sparse_one_hot(df: DataFrame, name: str) -> DataFrame:
+def _sparse_one_hot(df: DataFrame, name: str, row_id: str | None) -> DataFrame:
+    """Categories in order, a missing value being the last."""
     text = df.withColumn("__text", value_text(name, df.schema[name].dataType)).drop(name)
-    holds_missing = not text.where(F.col("__text").isNull()).limit(1).isEmpty()
-    indexer = StringIndexer(
-        inputCol="__text", outputCol="__index", stringOrderType="alphabetAsc",
-        handleInvalid="keep" if holds_missing else "error",
-    )
-    indexed = indexer.fit(text).transform(text)
+    codes, small = sorted_codes(text, "__text")
+    coded = _attach_code(text, F.col("__text"), codes, "__text", small, row_id)
+    indexed = coded.withColumn("__index", F.coalesce(F.col("__code"), codes.agg(F.count(F.lit(1))).scalar()).cast("double"))
     encoder = OneHotEncoder(inputCol="__index", outputCol=f"{name}_onehot", dropLast=False)
-    return encoder.fit(indexed).transform(indexed).drop("__text", "__index")
+    return encoder.fit(indexed).transform(indexed).drop("__text", "__code", "__index")
 
 
 @dataclass
@@ -218,7 +219,7 @@ def encode_features(
         ordering = by_name[name].value_ordering
         table = ordinal_encode(table, name, ordering) if ordering else ordinal_encode_auto(table, name, row_id)
     if nominal:
-        table = one_hot_encode(table, nominal, max_categories)
+        table = one_hot_encode(table, nominal, max_categories, row_id)
     features = [c for c in table.columns if c not in keep]
     numbers = [c for c in features if isinstance(table.schema[c].dataType, T.NumericType)]
     return EncodedFeatures(table, features, numbers, found)

@@ -26,7 +26,7 @@ from steadyseed.config import ensure_checkpoint_dir
 from steadyseed.functions.skew import HOT_KEYS_AT_MOST, HOT_ROWS, lookup_join
 
 BLOCK_ROWS = 4096
-# Doubles held by the pivots, which every task reads.
+# Doubles held by the pivots, and cells of all parts, which every task reads.
 PIVOT_VALUES = 1_000_000
 MATRIX_VALUES = 4_000_000
 
@@ -300,7 +300,8 @@ def _search_cells(
     candidates: DataFrame, distinct: DataFrame, n: int, width: int, depth: int, block_rows: int, id_type: str, held: list
 ) -> DataFrame:
     """The ``depth`` best per distinct query, by way of its own cell and then the cells that can hold anything nearer."""
-    pivots = _pivots(candidates, max(1, min(math.ceil(math.sqrt(n)), PIVOT_VALUES // max(width, 1))))
+    parts = candidates.select("part").distinct().count()
+    pivots = _pivots(candidates, max(1, min(math.ceil(math.sqrt(n)), PIVOT_VALUES // max(width, parts, 1))))
     assigned = _assign_points(candidates, pivots).persist()
     cells = _cells(assigned, pivots)
     at_home = _visits(distinct, cells, depth, home=True).persist()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from steadyseed.config import (
+    BINARY_METRICS,
     IMPUTE_METHODS,
     MAX_ITERATIONS,
     MIN_ITERATIONS,
@@ -45,13 +46,13 @@ def ordering_differences(df: DataFrame, configs: list[CategoricalConfig]) -> Dat
     )
     if not ordered:
         return wanted.select("config", "column_name", F.lit("").alias("side"), "value")
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("config"), F.lit(c.variable_name).alias("column_name"),
-                 value_text(c.variable_name, df.schema[c.variable_name].dataType).alias("value"))
-        for i, c in ordered
-    ])
+    texts = df.select(*[value_text(c.variable_name, df.schema[c.variable_name].dataType).alias(str(i)) for i, c in ordered])
+    names = F.element_at(F.create_map(*[F.lit(x) for i, c in ordered for x in (i, c.variable_name)]), F.col("config"))
+    present = (
+        texts.unpivot([], texts.columns, "position", "value").where(F.col("value").isNotNull()).distinct()
+        .withColumn("config", F.col("position").cast("int")).select("config", names.alias("column_name"), "value")
+    )
     key = ["config", "column_name", "value"]
-    present = df.select(F.inline(cells)).where(F.col("value").isNotNull()).distinct()
     missing = present.join(F.broadcast(wanted), key, "left_anti")
     known = present.join(F.broadcast(wanted), key, "left_semi")
     extra = wanted.join(known, key, "left_anti")
@@ -126,6 +127,9 @@ def class_and_row_findings(df: DataFrame, cfg: AnalysisConfig) -> list[tuple]:
                          f"High number of classes ({classes}) for classification. Consider regression."))
         elif classes < 2:
             rows.append(("error", "class_count", cfg.target, "Classification requires at least 2 classes"))
+        if classes > 2 and cfg.average == "binary" and cfg.resolved_metric in BINARY_METRICS:
+            rows.append(("error", "metric", cfg.target,
+                         f"Metric {cfg.resolved_metric} is defined for two classes, got {classes}; use average='macro'"))
     elif kinds(df)[cfg.target] == "numeric":
         n = df.agg(total).first()["rows"]
     else:

@@ -128,7 +128,8 @@ def run_analysis(df: DataFrame, cfg: AnalysisConfig, leaderboard_models: list[st
     train_only = cfg.oversample_scope == "train_only" and _wants_oversampling(df, cfg)
     results = seed_sweep(
         data.table, "row_id", data.features, "label", cfg.problem_type, seeds, metric,
-        trees=cfg.trees, max_depth=cfg.max_depth, parallelism=cfg.parallelism, oversample_train=train_only,
+        trees=cfg.trees, max_depth=cfg.max_depth, parallelism=cfg.parallelism, average=cfg.average,
+        oversample_train=train_only,
     )
     summary = summarize(results, metric)
     histogram = score_histogram(results)

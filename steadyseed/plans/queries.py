@@ -679,7 +679,7 @@ def _(spark, d):
     WITH {q.mean_scores_sql(ORDER_SOURCE, 'o_orderkey', 'o_totalprice', SEEDS, 4)}
     SELECT seed::INTEGER AS seed, score FROM results""")
 def _(spark, d):
-    found = sweep.baseline_sweep(fx.table(spark, d, "orders"), "o_orderkey", "o_totalprice", "regression", SEEDS)
+    found = sweep.baseline_sweep(fx.table(spark, d, "orders", spread=True), "o_orderkey", "o_totalprice", "regression", SEEDS)
     return rounded(found, "score", digits=4)
 
 
@@ -813,7 +813,7 @@ def _toxic_scores(spark, d):
 
 
 def _order_scores(spark, d):
-    found = sweep.baseline_sweep(fx.table(spark, d, "orders"), "o_orderkey", "o_totalprice", "regression", SEEDS)
+    found = sweep.baseline_sweep(fx.table(spark, d, "orders", spread=True), "o_orderkey", "o_totalprice", "regression", SEEDS)
     return sweep.seed_results(spark, {r["seed"]: r["score"] for r in rounded(found, "score", digits=0).collect()})
 
 
@@ -941,7 +941,7 @@ def _line_leaderboard(spark, d):
                  (F.col("mean") + F.col(f"s_{c}") * (F.col(c) - F.col(f"m_{c}"))).alias("prediction"))
         for c in LINE_MODELS
     ]
-    preds = rows.withColumnRenamed("l_returnflag", "seed_role").join(F.broadcast(fits), "seed_role").select(
+    preds = rows.withColumnRenamed("l_returnflag", "seed_role").join(fits, "seed_role").select(
         "seed_role", "label", F.inline(F.array(*guesses))
     )
     return all_metrics(preds, "regression", ["seed_role", "model"])
@@ -1082,7 +1082,7 @@ def _(spark, d):
 def mean_error_stability(spark, d):
     """How stable is the error of a mean predictor of the order price over ten seeds?"""
     cfg = AnalysisConfig("o_totalprice", "regression", remove_columns=["o_orderdate"], id_col="o_orderkey")
-    data = analysis.process_data(fx.table(spark, d, "orders"), cfg)
+    data = analysis.process_data(fx.table(spark, d, "orders", spread=True), cfg)
     results = rounded(sweep.baseline_sweep(data.table, "row_id", "label", "regression", SEEDS), "score", digits=4)
     found = summary.summarize(sweep.seed_results(spark, {r["seed"]: r["score"] for r in results.collect()}), "mae")
     columns = ["best_seed", "best_score", "worst_seed", "worst_score", "standard_deviation", "mean_score"]

@@ -1,7 +1,6 @@
 """The four documented scenarios, end to end on small hand-made tables."""
 
 import numpy as np
-import pytest
 
 from steadyseed import AnalysisConfig, CategoricalConfig
 from steadyseed.operators.report import report_text
@@ -74,8 +73,10 @@ def test_diagnosis_needs_macro(spark):
     rows = [(20 + i % 50, "abcdf"[i % 5], float(i % 13), ["x", "y", "z"][i % 3]) for i in range(90)]
     df = spark.createDataFrame(rows, "age int, grade string, marker double, diagnosis string")
     cfg = AnalysisConfig("diagnosis", "classification", "f1", iterations=10, skip_leaderboard=True, trees=2)
-    with pytest.raises(ValueError, match="macro"):
-        analysis.run_analysis(df, cfg)
+    out = analysis.run_analysis(df, cfg)
+    assert "macro" in [r["message"] for r in out["findings"].collect() if r["severity"] == "error"][0]
+    cfg.average = "macro"
+    assert analysis.run_analysis(df, cfg)["seed_results"].count() == 10
 
 
 def test_invalid_configuration_returns_findings(spark):
