@@ -171,14 +171,13 @@ def equal_width_histogram(values: DataFrame, column: str, bins: Column) -> DataF
     lo, width, last = (
         stats.select("lo").scalar(), stats.select("width").scalar(), stats.select(F.col("bins") - 1).scalar()
     )
-    guess = F.least(F.floor((v - lo) / width).cast("int"), last)
+    edged = values.where(v.isNotNull()).select(v.alias("v"), lo.alias("lo"), width.alias("w"), last.alias("last"))
+    guessed = edged.withColumn("guess", F.least(F.floor((F.col("v") - F.col("lo")) / F.col("w")).cast("int"), F.col("last")))
     # The division can land one bin off next to an edge; the edges decide.
-    placed = (
-        F.when((guess > 0) & (v < lo + guess * width), guess - 1)
-        .when((guess < last) & (v >= lo + (guess + 1) * width), guess + 1)
-        .otherwise(guess)
-    )
-    counted = values.where(v.isNotNull()).select(placed.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("count"))
+    placed = F.expr("""
+        CASE WHEN guess > 0 AND v < lo + guess * w THEN guess - 1
+             WHEN guess < last AND v >= lo + (guess + 1) * w THEN guess + 1 ELSE guess END""")
+    counted = guessed.groupBy(placed.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     every = stats.where(F.col("lo").isNotNull()).select(
         F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"), "lo", "width"
     )

@@ -572,12 +572,15 @@ ALLOCATION_SQL = f"""{POINTS_SQL},
         FROM sh JOIN mi USING (label))"""
 
 
-@register("adasyn_allocation", f"""
-    WITH {ALLOCATION_SQL} SELECT id AS doc_id, label::BIGINT AS label, others::INTEGER AS others,
-        round(others / 5.0::DOUBLE, 6) AS ratio, copies FROM al""")
-def _(spark, d):
-    found = resample.adasyn_allocation(_numbers(spark, d), "doc_id", ["n_chars", "quality"], "label").rows
-    return rounded(found.select(F.col("id").alias("doc_id"), "label", "others", "ratio", "copies"), "ratio")
+# One block for the whole table, and many small blocks and cells, as on a large one.
+for _name, _rows in (("adasyn_allocation", resample.BLOCK_ROWS), ("adasyn_allocation_by_cells", 64)):
+    @register(_name, f"""
+        WITH {ALLOCATION_SQL} SELECT id AS doc_id, label::BIGINT AS label, others::INTEGER AS others,
+            round(others / 5.0::DOUBLE, 6) AS ratio, copies FROM al""")
+    def _(spark, d, block_rows=_rows):
+        numbers = _numbers(spark, d)
+        found = resample.adasyn_allocation(numbers, "doc_id", ["n_chars", "quality"], "label", block_rows=block_rows).rows
+        return rounded(found.select(F.col("id").alias("doc_id"), "label", "others", "ratio", "copies"), "ratio")
 
 
 SYNTHETIC_SQL = f"""{ALLOCATION_SQL},
@@ -613,6 +616,13 @@ def _(spark, d):
     return found.select(F.col("id").alias("vec_id"), "label", "others")
 
 
+# Every returned line against all lines: too many pairs for SQL, few blocks for the cell search.
+@register("neighbour_shares_lineitem")
+def _(spark, d):
+    features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return resample.neighbour_shares(fx.returned(spark, d), "row_id", features, "label", [1]).select("id", "label", "others", "ratio")
+
+
 @register("class_counts_before_after", f"""
     WITH {SYNTHETIC_SQL}, aft AS (SELECT label FROM sy UNION ALL SELECT label FROM pts)
     SELECT 'before' AS stage, label::BIGINT AS label, count(*) AS n FROM pts GROUP BY label
