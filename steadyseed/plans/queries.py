@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steadyseed.config import AnalysisConfig, CategoricalConfig, ensure_checkpoint_dir
-from steadyseed.functions.metrics import all_metrics, score
+from steadyseed.functions.metrics import all_metrics, metric_column, score
 from steadyseed.operators import (
     encode,
     forest,
@@ -734,6 +734,24 @@ def _(spark, d):
     return sweep.seed_sweep(fx.net(spark, d), "row_id", PRICES, "label", "regression", [1, 2, 3], "rmse", trees=20)
 
 
+# What SQL can say about a forest: how many rows it is tested on, and that the
+# net price, a function of the features, is learned.
+@register("forest_learns_net_price", """
+    WITH n AS (SELECT (3 * count(*) + 9) // 10 AS held FROM lineitem)
+    SELECT row_number() OVER ()::INTEGER AS seed, held::BIGINT AS test_rows, true AS learned FROM n, range(2)""")
+def _(spark, d):
+    rows = forest.assemble(fx.net(spark, d), "row_id", PRICES, "label")
+    parts = split.assign_split(rows, "row_id", [1, 2])
+    found = None
+    for seed in (1, 2):
+        mine = parts.where(F.col("seed") == seed)
+        preds = forest.fit_predict(mine.where(~F.col("is_test")), mine.where("is_test"), "regression", trees=10)
+        scored = preds.agg(F.count(F.lit(1)).alias("test_rows"), (metric_column("r2") > 0.95).alias("learned"))
+        row = scored.select(F.lit(seed).alias("seed"), "test_rows", "learned")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 @register("forest_sweep_noise")
 def _(spark, d):
     rows = fx.returned(spark, d)
@@ -1018,15 +1036,33 @@ def _(spark, d):
     return found.drop("seconds")
 
 
-@register("compare_models_for_seeds")
+NET_SOURCE = f"SELECT {fx.LINE_ID_SQL} AS row_id, l_extendedprice, {fx.NET} AS label FROM lineitem"
+LINE_ROLE_COLUMNS = 'model, round(mae, 3) AS "MAE", round(rmse, 3) AS "RMSE", round(r2, 6) AS "R2"'
+
+
+@register("compare_models_line", "WITH " + q.line_comparison_sql(
+    "SELECT 'Best' AS seed_role, 3 AS seed", NET_SOURCE, "row_id", "l_extendedprice", "label", 3) + """
+    SELECT model, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(r2, 6) AS r2 FROM board""")
+def _(spark, d):
+    found = leaderboard.compare_models(
+        fx.net(spark, d), "row_id", ["l_extendedprice"], "label", "regression", 3, folds=3, models=["Linear Regression", "Baseline"]
+    )
+    return rounded(rounded(found.select("model", "mae", "rmse", "r2"), "mae", "rmse", digits=3), "r2")
+
+
+@register("compare_models_for_seeds", ORDER_SCORES + ", " + q.line_comparison_sql(
+    """SELECT 'Best' AS seed_role, best_seed AS seed FROM best UNION ALL SELECT 'Worst', worst_seed FROM worst
+    UNION ALL SELECT 'Most_Common', seeds[1] FROM common""", NET_SOURCE, "row_id", "l_extendedprice", "label", 2) + f"""
+    SELECT seed_role, seed::INTEGER AS seed, {LINE_ROLE_COLUMNS},
+        row_number() OVER (PARTITION BY seed_role ORDER BY mae, model)::INTEGER AS rank, true AS selected FROM board""")
 def _(spark, d):
     results = _order_scores(spark, d)
     roles = leaderboard.pick_leaderboard_seeds(summary.summarize(results, "mae"))
     found = leaderboard.compare_models_for_seeds(
-        fx.net(spark, d), "row_id", PRICES, "label", "regression", roles, folds=2,
-        models=["Linear Regression", "Lasso Regression", "Baseline"],
+        fx.net(spark, d), "row_id", ["l_extendedprice"], "label", "regression", roles, folds=2, models=["Linear Regression", "Baseline"],
     )
-    return leaderboard.rank_leaderboard(found, "mae").drop("seconds")
+    ranked = leaderboard.rank_leaderboard(found, "mae").drop("seconds", "error")
+    return rounded(rounded(ranked, "MAE", "RMSE", digits=3), "R2")
 
 
 # --- sources and sinks -----------------------------------------------------

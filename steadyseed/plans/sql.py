@@ -131,6 +131,30 @@ def names_like(parts) -> str:
     return "(" + " OR ".join(f"contains(lower(column_name), {text(p)})" for p in parts) + ")"
 
 
+def line_comparison_sql(roles: str, source: str, row_id: str, x: str, y: str, folds: int) -> str:
+    """CTEs ending in ``board(seed_role, seed, model, mae, rmse, r2)``: cross-validated one-predictor line and mean.
+
+    ``roles`` selects ``(seed_role, seed)``; the smallest 30 % of a seed's hashes are left out, the rest falls into folds.
+    """
+    return f"""
+    roles_ AS ({roles}), src_ AS ({source}),
+    ranked_ AS (SELECT seed_role, seed, {x} AS x, {y} AS y,
+        row_number() OVER (PARTITION BY seed_role ORDER BY md5(seed || ':' || {row_id})) AS rk,
+        count(*) OVER (PARTITION BY seed_role) AS n FROM src_, roles_),
+    sized_ AS (SELECT *, (3 * n + 9) // 10 AS held, n - (3 * n + 9) // 10 AS training FROM ranked_),
+    folded_ AS (SELECT *, (SELECT min(f) FROM range(1, {folds + 1}) g(f) WHERE rk <= held + training * f // {folds}) AS fold
+        FROM sized_ WHERE rk > held),
+    learned_ AS (SELECT seed_role, f, regr_slope(y, x) AS slope, avg(y) AS my, avg(x) AS mx
+        FROM folded_, range(1, {folds + 1}) g(f) WHERE fold <> f GROUP BY ALL),
+    guessed_ AS (SELECT p.seed_role, seed, fold, y, my + slope * (x - mx) AS line, my AS flat
+        FROM folded_ p JOIN learned_ l ON p.seed_role = l.seed_role AND p.fold = l.f),
+    both_ AS (SELECT seed_role, seed, fold, y, 'Linear Regression' AS model, line AS guess FROM guessed_
+        UNION ALL SELECT seed_role, seed, fold, y, 'Baseline', flat FROM guessed_),
+    scored_ AS (SELECT seed_role, seed, fold, model, avg(abs(y - guess)) AS mae, sqrt(avg((y - guess) ** 2)) AS rmse,
+        1 - sum((y - guess) ** 2) / (var_pop(y) * count(*)) AS r2 FROM both_ GROUP BY ALL),
+    board AS (SELECT seed_role, seed, model, avg(mae) AS mae, avg(rmse) AS rmse, avg(r2) AS r2 FROM scored_ GROUP BY ALL)"""
+
+
 def nearest_sql(source: str, row_id: str, distance: str, asked: str, same_class: bool, k: int) -> str:
     """CTE body: the k nearest rows of every asked row, by squared distance, then id."""
     match = "AND q.label = p.label" if same_class else ""
