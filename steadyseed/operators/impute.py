@@ -28,15 +28,15 @@ def _gap_statistics(df: DataFrame, features: list[str]) -> dict[str, tuple[int,
     return {c: (row[f"m{i}"], row[f"a{i}"], row[f"x{i}"] or 0.0) for i, c in enumerate(features)}
 
 
-def _all_missing_findings(stats: dict, rows_seen: bool) -> tuple[list[str], list[tuple]]:
-    empty = [c for c, (m, mean, _) in stats.items() if m > 0 and mean is None] if rows_seen else []
+def _all_missing_findings(stats: dict) -> tuple[list[str], list[tuple]]:
+    empty = [c for c, (m, mean, _) in stats.items() if m > 0 and mean is None]
     return empty, [("warning", "empty_feature", c, f"Column '{c}' holds no value; it is left out") for c in empty]
 
 
 def impute_mean(df: DataFrame, features: list[str]) -> tuple[DataFrame, list[tuple]]:
     """Missing values of each incomplete feature become its mean; empty features are dropped with a finding."""
     stats = _gap_statistics(df, features)
-    empty, found = _all_missing_findings(stats, True)
+    empty, found = _all_missing_findings(stats)
     filled = {c: F.coalesce(col(c), F.lit(mean)) for c, (m, mean, _) in stats.items() if m > 0 and c not in empty}
     return (df.withColumns(filled) if filled else df).drop(*empty), found
 
@@ -62,7 +62,7 @@ def impute_iterative(
     predictors keeps its mean.
     """
     stats = _gap_statistics(df, features)
-    empty, found = _all_missing_findings(stats, True)
+    empty, found = _all_missing_findings(stats)
     df = df.drop(*empty)
     incomplete = sorted([c for c, (m, _, _) in stats.items() if m > 0 and c not in empty], key=lambda c: (stats[c][0], features.index(c)))
     usable = [c for c in features if c not in empty]

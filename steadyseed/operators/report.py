@@ -7,6 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from steadyseed.config import METRIC_DISPLAY, AnalysisConfig
 
 TOP = 5
+# The labelled lines of the report.
+PROBLEM = "Problem Type: {}"
+TARGET = "Target Variable: {}"
+METRIC = "Metric Used: {}"
+ITERATIONS = "Iterations: {} random seeds"
+BEST = "Best Seed: %d -> %.4f"
+WORST = "Worst Seed: %d -> %.4f"
+COMMON = "Most Common Score: %.4f"
+RANGE = "Score Range: %.4f to %.4f"
+DEVIATION = "Standard Deviation: %.4f"
+MEAN = "Mean Score: %.4f"
+MODELS = "%s Seed - Top 5 Models"
 
 
 def analysis_record(
@@ -44,16 +56,16 @@ def stability_report(
 ) -> DataFrame:
     """``(section, position, line)``: the findings, then the top models of each seed role."""
     lines = [
-        F.lit(f"Problem Type: {problem_type.title()}"),
-        F.lit(f"Target Variable: {target}"),
-        F.lit(f"Metric Used: {metric.upper()}"),
-        F.lit(f"Iterations: {iterations} random seeds"),
-        F.format_string("Best Seed: %d -> %.4f", "best_seed", "best_score"),
-        F.format_string("Worst Seed: %d -> %.4f", "worst_seed", "worst_score"),
-        F.format_string("Most Common Score: %.4f", "most_common_score"),
-        F.format_string("Score Range: %.4f to %.4f", "score_range_min", "score_range_max"),
-        F.format_string("Standard Deviation: %.4f", "standard_deviation"),
-        F.format_string("Mean Score: %.4f", "mean_score"),
+        F.lit(PROBLEM.format(problem_type.title())),
+        F.lit(TARGET.format(target)),
+        F.lit(METRIC.format(metric.upper())),
+        F.lit(ITERATIONS.format(iterations)),
+        F.format_string(BEST, "best_seed", "best_score"),
+        F.format_string(WORST, "worst_seed", "worst_score"),
+        F.format_string(COMMON, "most_common_score"),
+        F.format_string(RANGE, "score_range_min", "score_range_max"),
+        F.format_string(DEVIATION, "standard_deviation"),
+        F.format_string(MEAN, "mean_score"),
     ]
     findings = summary.select(F.lit("Findings").alias("section"), F.posexplode(F.array(*lines)).alias("position", "line"))
     if ranked is None:
@@ -61,7 +73,7 @@ def stability_report(
     shown = [d for d in METRIC_DISPLAY.values() if d in ranked.columns]
     values = [F.concat(F.lit(f"{d}="), F.coalesce(_decimals(F.col(f"`{d}`")), F.lit("n/a"))) for d in shown]
     models = ranked.where(F.col("rank") <= TOP).select(
-        F.format_string("%s Seed - Top 5 Models", "seed_role").alias("section"),
+        F.format_string(MODELS, "seed_role").alias("section"),
         (F.col("rank") - 1).cast("int").alias("position"),
         F.concat_ws(" ", "model", *values).alias("line"),
     )

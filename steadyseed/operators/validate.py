@@ -20,8 +20,20 @@ from steadyseed.operators.profile import distinct_counts
 from steadyseed.sources.infer import DECIMAL_TEXT
 
 FINDING = {"severity": "string", "check": "string", "column": "string", "message": "string"}
-# Thresholds of the warnings.
+# Thresholds of the warnings and texts of the messages.
 MANY_CLASSES, FEW_FEATURES, FEW_ROWS = 20, 3, 50
+NO_COLUMN = "Column '{}' not found in dataset"
+NUMERIC_COLUMN = "Column '{}' is numeric, not categorical"
+MISSING_VALUES = "Missing values in ordering for '{}': {}"
+EXTRA_VALUES = "Extra values in ordering for '{}': {}"
+NO_TARGET = "Target column '{}' not found"
+TARGET_REMOVED = "Target column cannot be in remove columns list"
+TOO_MANY_CLASSES = "High number of classes ({}) for classification. Consider regression."
+TOO_FEW_CLASSES = "Classification requires at least 2 classes"
+TARGET_NOT_NUMERIC = "Regression target must be numeric"
+NO_FEATURES = "No features remaining after column removal"
+FEATURES_FEW = "Very few features remaining. Consider keeping more columns."
+ROWS_FEW = "Small dataset size may lead to unreliable results"
 # A column with more values than this is reported by number, not by listing them.
 LISTED_VALUES = 1000
 
@@ -71,9 +83,9 @@ def validate_categorical_configs(
     for config in configs:
         name = config.variable_name
         if name not in kind:
-            rows.append(("warning", "categorical_config", name, f"Column '{name}' not found in dataset"))
+            rows.append(("warning", "categorical_config", name, NO_COLUMN.format(name)))
         elif kind[name] == "numeric":
-            rows.append(("warning", "categorical_config", name, f"Column '{name}' is numeric, not categorical"))
+            rows.append(("warning", "categorical_config", name, NUMERIC_COLUMN.format(name)))
         else:
             usable.append(config)
     differences = ordering_differences(df, usable)
@@ -90,7 +102,8 @@ def validate_categorical_configs(
     for i, side in sorted(tally, key=lambda k: (k[0], k[1] == "extra")):
         name = usable[i].variable_name
         shown = ", ".join(values[(i, side)]) if (i, side) in values else f"{tally[(i, side)]} values"
-        rows.append(("warning", "categorical_config", name, f"{side.capitalize()} values in ordering for '{name}': {shown}"))
+        text = MISSING_VALUES if side == "missing" else EXTRA_VALUES
+        rows.append(("warning", "categorical_config", name, text.format(name, shown)))
     rejected = {i for i, _ in tally}
     return [c for i, c in enumerate(usable) if i not in rejected], findings(df.sparkSession, rows)
 
@@ -124,9 +137,9 @@ def class_and_row_findings(df: DataFrame, cfg: AnalysisConfig) -> list[tuple]:
         n = df.agg(total).first()["rows"]
         if classes > MANY_CLASSES:
             rows.append(("warning", "class_count", cfg.target,
-                         f"High number of classes ({classes}) for classification. Consider regression."))
+                         TOO_MANY_CLASSES.format(classes)))
         elif classes < 2:
-            rows.append(("error", "class_count", cfg.target, "Classification requires at least 2 classes"))
+            rows.append(("error", "class_count", cfg.target, TOO_FEW_CLASSES))
         if classes > 2 and cfg.average == "binary" and cfg.resolved_metric in BINARY_METRICS:
             rows.append(("error", "metric", cfg.target,
                          f"Metric {cfg.resolved_metric} is defined for two classes, got {classes}; use average='macro'"))
@@ -137,9 +150,9 @@ def class_and_row_findings(df: DataFrame, cfg: AnalysisConfig) -> list[tuple]:
         seen = df.agg(total, F.count_if(text.isNotNull() & ~text.rlike(DECIMAL_TEXT)).alias("unparsable")).first()
         n = seen["rows"]
         if seen["unparsable"]:
-            rows.append(("error", "numeric_target", cfg.target, "Regression target must be numeric"))
+            rows.append(("error", "numeric_target", cfg.target, TARGET_NOT_NUMERIC))
     if n < FEW_ROWS:
-        rows.append(("warning", "row_count", None, "Small dataset size may lead to unreliable results"))
+        rows.append(("warning", "row_count", None, ROWS_FEW))
     return rows
 
 
@@ -152,9 +165,9 @@ def feature_findings(df: DataFrame, cfg: AnalysisConfig) -> list[tuple]:
             rows.append(("warning", "removals", name, f"Column '{name}' to remove not found in dataset"))
     kept = [c for c in df.columns if c != cfg.target and c not in removals and c != cfg.id_col]
     if len(kept) < 1:
-        rows.append(("error", "feature_count", None, "No features remaining after column removal"))
+        rows.append(("error", "feature_count", None, NO_FEATURES))
     elif len(kept) < FEW_FEATURES:
-        rows.append(("warning", "feature_count", None, "Very few features remaining. Consider keeping more columns."))
+        rows.append(("warning", "feature_count", None, FEATURES_FEW))
     for name in kept:
         if kinds(df)[name] == "datetime":
             rows.append(("warning", "datetime_feature", name, f"Datetime column '{name}' cannot be encoded; remove it"))
@@ -167,10 +180,10 @@ def validate_configuration(df: DataFrame, cfg: AnalysisConfig) -> tuple[bool, Da
     """``(valid, findings)``; a missing or removed target ends the checks at once."""
     spark = df.sparkSession
     if cfg.target not in df.columns:
-        return False, findings(spark, [("error", "target", cfg.target, f"Target column '{cfg.target}' not found")])
+        return False, findings(spark, [("error", "target", cfg.target, NO_TARGET.format(cfg.target))])
     if cfg.target in cfg.remove_columns:
         return False, findings(
-            spark, [("error", "target", cfg.target, "Target column cannot be in remove columns list")]
+            spark, [("error", "target", cfg.target, TARGET_REMOVED)]
         )
     rows = _settings_findings(cfg)
     if cfg.problem_type in PROBLEM_TYPES:

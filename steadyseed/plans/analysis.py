@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 import time
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from steadyseed.config import AnalysisConfig
+from steadyseed.config import AnalysisConfig, ensure_checkpoint_dir
 from steadyseed.functions.hashing import with_row_id
 from steadyseed.operators.encode import coerce_numeric_target, encode_features, index_target
 from steadyseed.operators.impute import impute_iterative, impute_mean
@@ -65,7 +65,11 @@ def describe_table(df: DataFrame, order_by: str | None = None) -> dict[str, Data
 
 
 def _identified(df: DataFrame, cfg: AnalysisConfig) -> tuple[DataFrame, str]:
-    return (df, cfg.id_col) if cfg.id_col else (with_row_id(df), "row_id")
+    """The table with a key; a derived one is written out once, as every later step needs the same."""
+    if cfg.id_col:
+        return df, cfg.id_col
+    ensure_checkpoint_dir(df.sparkSession)
+    return with_row_id(df).checkpoint(), "row_id"
 
 
 def process_data(df: DataFrame, cfg: AnalysisConfig) -> ProcessedData:
@@ -123,6 +127,8 @@ def run_analysis(df: DataFrame, cfg: AnalysisConfig, leaderboard_models: list[st
     if not valid:
         return {"findings": found}
     metric = cfg.resolved_metric
+    df, row_id = _identified(df, cfg)
+    cfg = replace(cfg, id_col=row_id)
     data = process_data(df, cfg)
     seeds = list(range(1, cfg.iterations + 1))
     train_only = cfg.oversample_scope == "train_only" and _wants_oversampling(df, cfg)
@@ -145,10 +151,9 @@ def run_analysis(df: DataFrame, cfg: AnalysisConfig, leaderboard_models: list[st
     }
     ranked = None
     if not cfg.skip_leaderboard:
-        keyed, row_id = _identified(df, cfg)
         labelled = (
-            index_target(keyed, cfg.target, "drop", row_id) if cfg.problem_type == "classification"
-            else coerce_numeric_target(keyed, cfg.target, "drop")
+            index_target(df, cfg.target, "drop", row_id) if cfg.problem_type == "classification"
+            else coerce_numeric_target(df, cfg.target, "drop")
         )
         raw, features = leaderboard_input(labelled, cfg.remove_columns, "label", row_id)
         board = compare_models_for_seeds(

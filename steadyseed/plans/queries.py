@@ -1084,6 +1084,35 @@ def _(spark, d):
     return read_json(spark, folder, "lines")
 
 
+def _customer_chunks(spark, d):
+    """``customer`` in chunks of at most 1000 rows, one JSON document each."""
+    rows = fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    return rows.groupBy(F.expr("c_custkey div 1000").alias("chunk"))
+
+
+CUSTOMER_SQL = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+
+
+@register("read_json_records", CUSTOMER_SQL)
+def _(spark, d):
+    folder = shared_folder(spark, "records")
+    documents = _customer_chunks(spark, d).agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("value"))
+    documents.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return read_json(spark, folder, "records").select("c_custkey", "c_name", "c_acctbal")
+
+
+@register("read_json_columns", CUSTOMER_SQL)
+def _(spark, d):
+    folder = shared_folder(spark, "columns")
+    row = F.col("c_custkey").cast("string")
+    columns = [
+        F.map_from_entries(F.collect_list(F.struct(row, F.col(c)))).alias(c) for c in ("c_custkey", "c_name", "c_acctbal")
+    ]
+    documents = _customer_chunks(spark, d).agg(*columns).select(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("value"))
+    documents.write.option("maxRecordsPerFile", 1).text(folder)
+    return read_json(spark, folder, "columns").select("c_custkey", "c_name", "c_acctbal")
+
+
 @register("load_table", "SELECT count(*) AS rows, round(sum(value), 4) AS total FROM events")
 def _(spark, d):
     return fx.table(spark, d, "events").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))
