@@ -34,6 +34,14 @@ def index_of(classes: list, column: Column) -> Column:
     return F.element_at(F.create_map(*pairs), column)
 
 
+def target_column(classes: list | None) -> Column:
+    """The label as a fit wants it; naming the number of classes spares each fit a pass to find it."""
+    if not classes:
+        return F.col("label").alias("__y")
+    kind = {"ml_attr": {"type": "nominal", "num_vals": len(classes)}}
+    return index_of(classes, F.col("label")).alias("__y", metadata=kind)
+
+
 def class_of(classes: list, column: Column) -> Column:
     if [float(c) for c in classes] == [float(i) for i in range(len(classes))]:
         return column
@@ -71,7 +79,7 @@ def fit_predict(
         return test.select("row_id", "label", value.alias("prediction"))
     if problem_type == "classification" and classes is None:
         classes = sorted(r["label"] for r in train.select("label").distinct().collect())
-    indexed = train.withColumn("__y", index_of(classes, F.col("label")) if classes else F.col("label"))
+    indexed = train.select("row_id", "label", "features", target_column(classes))
     if not laid_out:
         indexed = fixed_layout(indexed, "row_id", indexed.count())
     model = forest(problem_type, trees, max_depth, seed).fit(indexed)

@@ -11,12 +11,12 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-ROWS_PER_PARTITION = 250_000
-MIN_PARTITIONS, MAX_PARTITIONS = 8, 100_000
+ROWS_PER_PARTITION = 75_000
+MAX_PARTITIONS = 100_000
 
 
 def partitions_for(rows: int) -> int:
-    return min(MAX_PARTITIONS, max(MIN_PARTITIONS, math.ceil(rows / ROWS_PER_PARTITION)))
+    return min(MAX_PARTITIONS, max(1, math.ceil(rows / ROWS_PER_PARTITION)))
 
 
 def fixed_layout(df: DataFrame, row_id: str, rows: int) -> DataFrame:

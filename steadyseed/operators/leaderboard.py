@@ -13,7 +13,7 @@ from steadyseed.config import METRIC_DISPLAY, default_metric, higher_is_better,
 from steadyseed.functions.inline import inline_rows
 from steadyseed.functions.metrics import all_metrics
 from steadyseed.operators.encode import encode_features
-from steadyseed.operators.forest import assemble, baseline_value, class_of, index_of
+from steadyseed.operators.forest import assemble, baseline_value, class_of, target_column
 from steadyseed.operators.impute import impute_mean
 from steadyseed.operators.layout import fixed_layout
 from steadyseed.operators.split import class_sizes, collect_cutoffs, hash_cutoffs, part_column, quotas
@@ -114,9 +114,8 @@ def compare_models(
     ranks = _fold_ranks(sizes, folds)
     cutoffs = collect_cutoffs(hash_cutoffs(rows, "row_id", [seed], ranks, stratify, sizes=sizes)).get(seed, {})
     part = part_column(seed, "row_id", stratify, cutoffs, folds)
-    target = index_of(classes, F.col("label")) if classes else F.col("label")
     laid_out = fixed_layout(rows, "row_id", sum(sizes.values())).select(
-        "row_id", "label", target.alias("__y"), "features", part.alias("part")
+        "row_id", "label", target_column(classes), "features", part.alias("part")
     )
     training = laid_out.where(F.col("part") > 0).persist()
     width = len(training.select("features").first()["features"])
