@@ -108,16 +108,15 @@ def compare_models(
     spark = df.sparkSession
     metric = (metric or default_metric(problem_type)).lower()
     stratify = "label" if problem_type == "classification" else None
-    rows = assemble(df, row_id, features, label)
-    sizes = class_sizes(rows, stratify)
+    laid_out = fixed_layout(assemble(df, row_id, features, label), "row_id", df.count()).persist()
+    sizes = class_sizes(laid_out, stratify)
     classes = list(sizes) if stratify else []
     ranks = _fold_ranks(sizes, folds)
-    cutoffs = collect_cutoffs(hash_cutoffs(rows, "row_id", [seed], ranks, stratify, sizes=sizes)).get(seed, {})
+    cutoffs = collect_cutoffs(hash_cutoffs(laid_out, "row_id", [seed], ranks, stratify, sizes=sizes)).get(seed, {})
     part = part_column(seed, "row_id", stratify, cutoffs, folds)
-    laid_out = fixed_layout(rows, "row_id", sum(sizes.values())).select(
+    training = laid_out.select(
         "row_id", "label", target_column(classes), "features", part.alias("part")
-    )
-    training = laid_out.where(F.col("part") > 0).persist()
+    ).where(F.col("part") > 0)
     width = len(training.select("features").first()["features"])
     candidates = {**families(problem_type, width, len(classes), trees), "Baseline": None}
     chosen = {n: e for n, e in candidates.items() if models is None or n in models}
@@ -147,7 +146,7 @@ def compare_models(
         with ThreadPool(max(1, min(parallelism, len(chosen)))) as pool:
             found = pool.map(inheritable_thread_target(spark)(run), list(chosen))
     finally:
-        training.unpersist()
+        laid_out.unpersist()
     schema = {"model": "string", **{m: "double" for m in metrics_for(problem_type)}, "seconds": "double", "error": "string"}
     table = inline_rows(spark, found, schema)
     order = F.col(metric).desc_nulls_last() if higher_is_better(metric) else F.col(metric).asc_nulls_last()

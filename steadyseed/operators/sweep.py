@@ -78,15 +78,7 @@ def seed_sweep(
     if kind == "baseline":
         found = baseline_sweep(df, row_id, label, problem_type, seeds, metric, test_share=test_share, average=average)
         return seed_results(spark, {r["seed"]: r["score"] for r in found.collect()})
-    rows = assemble(df, row_id, features, label)
-    sizes = class_sizes(rows, stratify)
-    classes = list(sizes) if stratify else None
-    if stratify:
-        check_stratified(sizes)
-        check_binary_labels(classes, metric, average)
-    total = sum(sizes.values())
-    laid_out = fixed_layout(rows, "row_id", total).persist()
-    ranks = {c: [q] for c, q in quotas(sizes, test_share).items()}
+    laid_out = fixed_layout(assemble(df, row_id, features, label), "row_id", df.count()).persist()
     scores: dict[int, float] = {}
 
     def one(seed: int, cutoffs: dict) -> tuple[int, float]:
@@ -101,6 +93,12 @@ def seed_sweep(
         return seed, row["score"]
 
     try:
+        sizes = class_sizes(laid_out, stratify)
+        classes = list(sizes) if stratify else None
+        if stratify:
+            check_stratified(sizes)
+            check_binary_labels(classes, metric, average)
+        ranks = {c: [q] for c, q in quotas(sizes, test_share).items()}
         for start in range(0, len(seeds), SEEDS_PER_BATCH):
             batch = seeds[start:start + SEEDS_PER_BATCH]
             cutoffs = collect_cutoffs(hash_cutoffs(laid_out, "row_id", batch, ranks, stratify, ranked_rows, sizes))
