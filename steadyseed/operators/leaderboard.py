@@ -116,7 +116,7 @@ def compare_models(
     part = part_column(seed, "row_id", stratify, cutoffs, folds)
     training = laid_out.select(
         "row_id", "label", target_column(classes), "features", part.alias("part")
-    ).where(F.col("part") > 0)
+    ).where(F.col("part") > 0).persist()
     width = len(training.select("features").first()["features"])
     candidates = {**families(problem_type, width, len(classes), trees), "Baseline": None}
     chosen = {n: e for n, e in candidates.items() if models is None or n in models}
@@ -146,6 +146,7 @@ def compare_models(
         with ThreadPool(max(1, min(parallelism, len(chosen)))) as pool:
             found = pool.map(inheritable_thread_target(spark)(run), list(chosen))
     finally:
+        training.unpersist()
         laid_out.unpersist()
     schema = {"model": "string", **{m: "double" for m in metrics_for(problem_type)}, "seconds": "double", "error": "string"}
     table = inline_rows(spark, found, schema)
