@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -92,9 +91,9 @@ class AnalysisConfig:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a temporary folder; a
-    cluster session without it is an error, as a machine-local folder would
-    not survive the loss of an executor.
+    A session without that setting gets a folder below its warehouse directory,
+    the other folder that the driver and all executors share; no folder of one
+    machine is ever used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -102,8 +101,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running this operator")
-        configured = tempfile.mkdtemp(prefix="steadyseed-checkpoint-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_steadyseed_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
