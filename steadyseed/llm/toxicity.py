@@ -16,8 +16,9 @@ from steadyseed.llm.common import col, held_out, saved, text_of, training_rows
 FIT_ROWS = 20_000
 MODULUS, HELD_REMAINDER = 4, 2
 THRESHOLD = 0.3
-LEARNED_WORDS = 300  # at most so many insults are learned
+LEARNED_WORDS, LEARNED_STEMS = 1000, 100  # at most so many insults and beginnings of insults are learned
 LEAST_DOCS, LEAST_PRECISION = 5, 0.8
+STEM_LETTERS = (5, 6, 7, 8)
 SEED_WEIGHT = 2.0
 NEGATION_REACH = 3
 
@@ -105,8 +106,9 @@ def compose(*machines: Machine) -> tuple[list[list[int]], list[list[float]]]:
 class Grammar:
     """The composed transducer with its lexicon."""
 
-    def __init__(self, insults: dict[str, float]):
+    def __init__(self, insults: dict[str, float], stems: dict[str, float]):
         self.weights = dict.fromkeys(INSULTS, SEED_WEIGHT) | insults | dict.fromkeys(THREATS, SEED_WEIGHT)
+        self.stems = stems
         self.classes = (
             dict.fromkeys(REPORTS, REPORT) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET)
             | dict.fromkeys(THREATS, THREAT) | dict.fromkeys([*INSULTS, *insults], INSULT)
@@ -115,17 +117,25 @@ class Grammar:
             insult_machine(), target_machine(), threat_machine(), negation_machine(), report_machine()
         )
         self.found = ahocorasick.Automaton()
-        for word in self.weights:
+        for word in [*self.weights, *stems]:
             self.found.add_word(word, word)
         self.found.make_automaton()
 
+    def arc(self, token: str) -> tuple[int, float]:
+        """A word's class and weight."""
+        kind = self.classes.get(token)
+        if kind is None:
+            weight = max((self.stems[token[:n]] for n in STEM_LETTERS if token[:n] in self.stems), default=0.0)
+            return (INSULT, weight) if weight else (OTHER, 0.0)
+        return kind, self.weights.get(token, 0.0)
+
     def clause(self, text: str) -> float:
         """The weight of a clause in lower case."""
         state, total = 0, 0.0
         for token in TOKEN.findall(text):
-            kind = self.classes.get(token, OTHER)
-            if kind in (INSULT, THREAT):
-                total += self.weights[token] * self.factors[state][kind]
+            kind, weight = self.arc(token)
+            if weight:
+                total += weight * self.factors[state][kind]
             state = self.moves[state][kind]
         return total
 
@@ -140,13 +150,14 @@ class Grammar:
 
 @dataclass
 class ToxicityModel:
-    """The learned insults and a logistic curve over the clause features."""
+    """The learned insults and stems, and a logistic curve over the clause features."""
 
     insults: dict[str, float]
+    stems: dict[str, float]
     coefficients: np.ndarray
 
     def grammar(self) -> Grammar:
-        return Grammar(self.insults)
+        return Grammar(self.insults, self.stems)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50) -> np.ndarray:
@@ -163,32 +174,45 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 50)
     return b
 
 
-def learn_insults(sample: DataFrame, words: int = LEARNED_WORDS) -> dict[str, float]:
-    """Words that mark toxic documents of the sample, with log-odds weights.
+def _weight(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
+    """How much more often toxic documents have something, as a logarithm of odds within 0.5 to 4."""
+    odds = np.log((toxic + 0.5) / (all_toxic + 1)) - np.log((clean + 0.5) / (all_clean + 1))
+    return float(np.clip(odds, 0.5, 4.0))
+
 
-    Spark counts the documents per word and label; the most telling words are then
-    taken in turn as long as each explains toxic documents that those before left
-    over, so words that merely occur beside an insult in copies are not learned.
+def learn_insults(sample: DataFrame, words: int = LEARNED_WORDS, stems: int = LEARNED_STEMS) -> tuple[dict[str, float], dict[str, float]]:
+    """Words, and first letters of words, that mark toxic documents of the sample, with log-odds weights.
+
+    Spark counts the documents per word or stem and label. Words must be telling by
+    themselves. Stems may also occur in clean documents; of stems, those that mark
+    most documents are taken first, and one that begins with or is the beginning of
+    a taken one is left.
     """
-    sample = sample.select("doc_id", "label", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit(r"(?U)[^\W\d_]+(?:['’][^\W\d_]+)*"), 0
-    ))).alias("word"))
-    counts = sample.groupBy("word").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("docs"))
-    telling = counts.where((F.col("toxic") >= LEAST_DOCS) & ((F.col("toxic") + 0.5) / (F.col("docs") + 1) >= LEAST_PRECISION))
-    telling = telling.orderBy((2 * F.col("toxic") - F.col("docs")).desc(), "word").limit(words)
-    rows = {r.word: (r.toxic, r.docs) for r in telling.collect()}  # at most ``words`` rows
-    holders = sample.where("label = 1").join(F.broadcast(telling.select("word")), "word").groupBy("word").agg(F.collect_set("doc_id").alias("ids"))
-    ids = {r.word: set(r.ids) for r in holders.collect()}  # at most ``words`` sets of toxic documents of the bounded sample
-    taken, covered = {}, set()
-    while ids:
-        word = max(ids, key=lambda w: (len(ids[w] - covered), w))
-        gain = ids.pop(word) - covered
-        if len(gain) < LEAST_DOCS:
-            break
-        covered |= gain
-        toxic, docs = rows[word]
-        taken[word] = float(np.log((toxic + 0.5) / (docs - toxic + 0.5)))
-    return taken
+    total = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
+    all_toxic, all_clean = int(total[0] or 0), int(total[1] - (total[0] or 0))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[^\W\d_]+(?:['’][^\W\d_]+)*"), F.lit(0)))
+    found = sample.select("label", tokens.alias("tokens"))
+
+    def counted(each: Column) -> DataFrame:
+        rows = found.select("label", F.explode(each).alias("word"))
+        return rows.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).where(F.col("toxic") >= LEAST_DOCS)
+
+    precise = (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1) >= LEAST_PRECISION
+    best = [(F.col("toxic") - F.col("clean")).desc(), F.col("word")]
+    own = {r.word: _weight(r.toxic, r.clean, all_toxic, all_clean) for r in counted(F.col("tokens")).where(precise).orderBy(*best).limit(words).collect()}
+
+    begun = F.array_distinct(F.flatten(F.transform("tokens", lambda w: F.transform(
+        F.filter(F.array(*[F.lit(n) for n in STEM_LETTERS]), lambda n: n < F.length(w)), lambda n: F.substring(w, F.lit(1), n)
+    ))))
+    # a stem must mark at least one toxic document in a hundred, and toxic ones three times as often as clean ones
+    lift = F.col("toxic") / F.lit(float(max(all_toxic, 1))) >= 3 * F.col("clean") / F.lit(float(max(all_clean, 1)))
+    common = counted(begun).where(lift & (F.col("toxic") >= F.lit(max(all_toxic, 1) / 100)))
+    gain = (F.col("toxic") / F.lit(float(max(all_toxic, 1))) - F.col("clean") / F.lit(float(max(all_clean, 1)))).desc()
+    taken: dict[str, float] = {}
+    for r in common.orderBy(gain, F.length("word").desc(), "word").limit(4 * stems).collect():
+        if len(taken) < stems and not any(t.startswith(r.word) or r.word.startswith(t) for t in taken):
+            taken[r.word] = _weight(r.toxic, r.clean, all_toxic, all_clean)
+    return own, taken
 
 
 def fit(
@@ -200,18 +224,18 @@ def fit(
     and more to others by the weight of their heaviest clause.
     """
     sample = saved(training_rows(docs, labels, label, held_out(id_col, MODULUS, HELD_REMAINDER), rows, id_col, text_col), "toxicity-sample")
-    insults = learn_insults(sample)
+    insults, stems = learn_insults(sample)
 
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        grammar = Grammar(insults)
+        grammar = Grammar(insults, stems)
         for texts in batches:
             yield pd.Series([list(grammar.features(t)) for t in texts], dtype="object")
 
     got = sample.select("label", F.pandas_udf(measure, "array<double>")("text").alias("x")).orderBy("doc_id").collect()  # bounded by ``rows``
     y = np.array([r.label for r in got])
     if len(set(y.tolist())) < 2:
-        return ToxicityModel(insults, np.array([-2.2, 2.0, 0.0, 0.0]))
-    return ToxicityModel(insults, logistic(np.array([r.x for r in got]), y))
+        return ToxicityModel(insults, stems, np.array([-2.2, 2.0, 0.0, 0.0]))
+    return ToxicityModel(insults, stems, logistic(np.array([r.x for r in got]), y))
 
 
 def score(text: Column, model: ToxicityModel) -> Column:
