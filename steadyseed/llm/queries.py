@@ -7,13 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from steadyseed.llm import exact_dedup, mixing, quality, sentence_pieces, simhash_dedup, token_counts, toxicity
+from steadyseed.llm import (
+    exact_dedup,
+    html_text,
+    mixing,
+    order_minhash,
+    quality,
+    sentence_pieces,
+    simhash_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from steadyseed.llm.common import SPACE, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 WORD_VOCABULARY = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"), url_filter.Rule("block", "example.org", "/es/"), url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"), url_filter.Rule("block", "com", "/de/"),
+]
 
 
 def register(name: str, sql: str | None = None):
@@ -66,3 +81,18 @@ def _(spark, d):
 def _(spark, d):
     report = exact_dedup.add_batch(read(spark, d, "documents"), exact_dedup.new_index(spark))
     return report.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@register("op6_html_text")
+def _(spark, d):
+    return html_text.extract_pages(read(spark, d, "pages"))
+
+
+@register("op7_order_minhash")
+def _(spark, d):
+    return order_minhash.compare_documents(read(spark, d, "documents"))
+
+
+@register("op2_url_filter")
+def _(spark, d):
+    return url_filter.judge(read(spark, d, "pages"), URL_RULES)
