@@ -36,6 +36,8 @@ NO_ARTICLE = re.compile(
     r"complementary|contentinfo|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names that say what is beside an article, such as has-sidebar.
+BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|no|without)[_-][\w-]+", re.IGNORECASE)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 INVISIBLE = re.compile(r"""(?:^|\s)hidden(?=$|[\s=/])|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
@@ -131,7 +133,7 @@ def left_out(page: Page) -> list[bool]:
         if tag in LEFT_OUT and not (tag == "header" and inside[up]):
             out[i] = True
         elif attributes:
-            names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes))
+            names = BESIDE.sub("", " ".join(a or b or c for a, b, c in NAMES.findall(attributes)))
             out[i] = bool(NO_ARTICLE.search(names) or not inside[up] and HEADER.search(names) or INVISIBLE.search(attributes))
     return out
 
