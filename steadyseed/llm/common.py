@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from steadyseed.config import ensure_checkpoint_dir
@@ -98,3 +100,22 @@ def training_rows(
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     own = docs.select(col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
     return own.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+ROWS_AT_ONCE = 250
+
+
+def by_slices(values: Column, returns, work: Callable[[], Callable[[pa.Array], pa.Array]]) -> Column:
+    """An Arrow function over a column, a few rows at a time.
+
+    ``work`` is called once per task and gives the function for the slices. Only a
+    slice's texts are Python objects at any time, and results leave slice by slice,
+    so a worker's memory hangs on the longest texts and not on the batch.
+    """
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        handle = work()
+        for batch in batches:
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                yield handle(batch.slice(at, ROWS_AT_ONCE))
+
+    return F.arrow_udf(run, returns)(values)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html import unescape
 from math import e, log
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steadyseed.llm.common import col, text_of
+from steadyseed.llm.common import by_slices, col, text_of
 
 # The elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -219,11 +218,10 @@ def extract(html: str | None) -> str:
 
 
 def main_text(html: Column) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pages in batches:
-            yield pd.Series([extract(h) for h in pages], dtype="object")
+    def work():
+        return lambda pages: pa.array([extract(h) for h in pages.to_pylist()], pa.string())
 
-    return F.pandas_udf(run, "string")(html)
+    return by_slices(html, "string", work)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steadyseed.llm.common import col, held_out, saved, text_of, training_rows, unused
+from steadyseed.llm.common import by_slices, col, held_out, saved, text_of, training_rows, unused
 
 FIT_ROWS = 20_000
 MODULUS, HELD_REMAINDER = 5, 0
@@ -105,11 +104,10 @@ def fit(
     """Learn from at most ``rows`` labelled documents outside the held-out part; None where a class is missing."""
     sample = training_rows(docs, labels, label, held_out(id_col, MODULUS, HELD_REMAINDER), rows, id_col, text_col)
 
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([statistics(t) for t in texts], dtype="object")
+    def work():
+        return lambda texts: pa.array([statistics(t) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    measured = saved(sample.select("doc_id", "label", F.pandas_udf(measure, "array<double>")("text").alias("x")), "quality-sample")
+    measured = saved(sample.select("doc_id", "label", by_slices(F.col("text"), "array<double>", work).alias("x")), "quality-sample")
     got = measured.orderBy("doc_id").collect()  # bounded by ``rows``
     if not got:
         return None
@@ -121,11 +119,10 @@ def score(text: Column, model: Discriminant | None) -> Column:
     if model is None:
         return F.lit(0.5)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(model.score(np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))))
+    def work():
+        return lambda texts: pa.array(model.score(np.array([statistics(t) for t in texts.to_pylist()])))
 
-    return F.pandas_udf(run, "double")(text)
+    return by_slices(text, "double", work)
 
 
 def score_documents(

@@ -10,15 +10,14 @@ import re
 import struct
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from steadyseed.llm.common import col, text_of
+from steadyseed.llm.common import by_slices, col, text_of
 
 THREADS = 2
 BATCH_CHARS = 1 << 20
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 BLOCK_WORDS, BLOCKS_AT_ONCE = 512, 64
 MARK = "▁"
 # Kinds of pieces and of models in the model file.
@@ -155,19 +154,19 @@ class Codec:
         with open(path, "rb") as file:
             self.model = Model.parse(file.read())
         self.tokenizer = build(self.model)
+        self.normalizer, self.decoder = self.tokenizer.normalizer, self.tokenizer.decoder
         self.original = sentencepiece.SentencePieceProcessor(model_file=path)
         self.by_word = self.model.words_stand_alone() and self.model.dummy_prefix
-        self.core = build(self.model)  # for words that are normalised already
-        self.core.normalizer, self.core.pre_tokenizer = None, None
+        if self.by_word:  # words are normalised already
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = None, None
         self.words: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.older: dict[str, bytes] = {}
         self.differing: set[str] = set()
         self.word = re.compile(f"{MARK}+[^{MARK}]*")
         self.is_byte = np.array([kind == BYTE for _, _, kind in self.model.pieces])
-        loose = build(self.model)
-        loose.decoder = decoder(False)
+        loose = decoder(False)
         strings = [
-            bytes([int(p[3:-1], 16)]) if kind == BYTE else loose.decode([i], skip_special_tokens=False).encode()
+            bytes([int(p[3:-1], 16)]) if kind == BYTE else loose.decode([p]).encode()
             for i, (p, _, kind) in enumerate(self.model.pieces)
         ]
         self.letters = np.frombuffer(b"".join(strings), dtype=np.uint8)
@@ -200,7 +199,7 @@ class Codec:
             return []
         if self.plain and "  " not in text and text[0] != " ":
             return text.split(" ") if MARK not in text else self.marked(MARK + text.replace(" ", MARK))
-        return self.marked(self.tokenizer.normalizer.normalize_str(text))
+        return self.marked(self.normalizer.normalize_str(text))
 
     def marked(self, normal: str) -> list[str]:
         return [w[1:] for w in self.word.findall(normal)]
@@ -208,7 +207,7 @@ class Codec:
     def learn(self, words: list[str]) -> None:
         """Encode new words, in blocks for the library's threads, and compare them with the original library."""
         blocks = [words[i : i + BLOCK_WORDS] for i in range(0, len(words), BLOCK_WORDS)]
-        coded = self.core.encode_batch([[MARK + w for w in b] for b in blocks], is_pretokenized=True, add_special_tokens=False)
+        coded = self.tokenizer.encode_batch([[MARK + w for w in b] for b in blocks], is_pretokenized=True, add_special_tokens=False)
         for block, own in zip(blocks, coded, strict=True):
             ids = np.array(own.ids, dtype=np.int32)
             ends = np.cumsum(np.bincount(np.array(own.word_ids, dtype=np.int64), minlength=len(block))) * 4
@@ -234,7 +233,7 @@ class Codec:
         try:
             text = self.letters[at].tobytes().decode("utf-8")
         except UnicodeDecodeError:
-            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+            return self.decoder.decode([self.model.pieces[i][0] for i in ids.tolist()])
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
     def agrees(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
@@ -261,37 +260,39 @@ def codec(path: str, threads: int = THREADS) -> Codec:
     return Codec(path, threads)
 
 
-ENCODED = StructType([
-    StructField("ids", ArrayType(IntegerType())), StructField("n_byte_pieces", LongType()), StructField("parity", BooleanType()),
-])
+ENCODED = "ids array<int>, n_byte_pieces bigint, parity boolean"
 
 
 def encode(text: Column, path: str, threads: int = THREADS, batch_chars: int = BATCH_CHARS) -> Column:
     """A struct of the text's ids, how many of them are single bytes, and whether the original library agrees."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def work():
         own = codec(path, threads)
-        for texts in batches:
+
+        def handle(texts: pa.Array) -> pa.Array:
             ids, same = [], []
-            for part in parts([t or "" for t in texts], batch_chars):
+            for part in parts([t or "" for t in texts.to_pylist()], batch_chars):
                 more, agree = own.encode(part)
                 ids += more
                 same += agree
-            by_byte = [int(own.is_byte[i].sum()) for i in ids]
-            yield pd.DataFrame({"ids": ids, "n_byte_pieces": by_byte, "parity": same})
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+            by_byte = pa.array([int(own.is_byte[i].sum()) for i in ids], pa.int64())
+            return pa.StructArray.from_arrays([lists, by_byte, pa.array(same)], ["ids", "n_byte_pieces", "parity"])
+
+        return handle
 
-    return F.pandas_udf(run, ENCODED)(text)
+    return by_slices(text, ENCODED, work)
 
 
 def decode(ids: Column, path: str, threads: int = THREADS) -> Column:
     """The text of a list of ids; null as empty."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work():
         own = codec(path, threads)
-        for lists in batches:
-            yield pd.Series(["" if i is None else own.decode(i) for i in lists], dtype="object")
+        return lambda lists: pa.array([own.decode(i.values.to_numpy()) if i.is_valid else "" for i in lists], pa.string())
 
-    return F.pandas_udf(run, "string")(ids)
+    return by_slices(ids, "string", work)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import cache
 import json
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import regex
 
-from steadyseed.llm.common import col, text_of
+from steadyseed.llm.common import by_slices, col, text_of
 
 CHUNK_CHARS = 1 << 16
-WORDS_KEPT = 300_000
-STATES_KEPT = 200_000
+WORDS_KEPT = 120_000
+STATES_KEPT = 100_000
 # Fixed value: the pre-tokenisation pattern of the vocabulary file this operator understands.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -279,12 +278,11 @@ def counter(path: str) -> TokenCounter:
 
 
 def token_count(text: Column, path: str, chunk_chars: int = CHUNK_CHARS) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work():
         tokens = counter(path)
-        for texts in batches:
-            yield pd.Series([tokens.count(t, chunk_chars) for t in texts], dtype="int64")
+        return lambda texts: pa.array([tokens.count(t, chunk_chars) for t in texts.to_pylist()], pa.int64())
 
-    return F.pandas_udf(run, "bigint")(text)
+    return by_slices(text, "bigint", work)
 
 
 def count_tokens(

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 import re
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from steadyseed.llm.common import col, held_out, saved, text_of, training_rows
+from steadyseed.llm.common import by_slices, col, held_out, saved, text_of, training_rows
 
 FIT_ROWS = 20_000
 MODULUS, HELD_REMAINDER = 4, 2
@@ -226,12 +226,11 @@ def fit(
     sample = saved(training_rows(docs, labels, label, held_out(id_col, MODULUS, HELD_REMAINDER), rows, id_col, text_col), "toxicity-sample")
     insults, stems = learn_insults(sample)
 
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work():
         grammar = Grammar(insults, stems)
-        for texts in batches:
-            yield pd.Series([list(grammar.features(t)) for t in texts], dtype="object")
+        return lambda texts: pa.array([list(grammar.features(t)) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    got = sample.select("label", F.pandas_udf(measure, "array<double>")("text").alias("x")).orderBy("doc_id").collect()  # bounded by ``rows``
+    got = sample.select("label", "doc_id", by_slices(F.col("text"), "array<double>", work).alias("x")).orderBy("doc_id").collect()  # bounded by ``rows``
     y = np.array([r.label for r in got])
     if len(set(y.tolist())) < 2:
         return ToxicityModel(insults, stems, np.array([-2.2, 2.0, 0.0, 0.0]))
@@ -240,13 +239,16 @@ def fit(
 
 def score(text: Column, model: ToxicityModel) -> Column:
     """The probability that the text is toxic."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work():
         grammar, b = model.grammar(), model.coefficients
-        for texts in batches:
-            x = np.array([grammar.features(t) for t in texts]).reshape(-1, 3)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(b[0] + x @ b[1:], -30, 30))))
 
-    return F.pandas_udf(run, "double")(text)
+        def handle(texts: pa.Array) -> pa.Array:
+            x = np.array([grammar.features(t) for t in texts.to_pylist()])
+            return pa.array(1 / (1 + np.exp(-np.clip(b[0] + x @ b[1:], -30, 30))))
+
+        return handle
+
+    return by_slices(text, "double", work)
 
 
 def score_documents(
