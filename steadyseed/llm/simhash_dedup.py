@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
 
-from steadyseed.llm.common import col, mark_of, saved, staying, text_of
+from steadyseed.llm.common import by_slices, col, mark_of, saved, staying, text_of
 from steadyseed.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -38,11 +36,10 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(text: Column, size: int = SHINGLE_WORDS) -> Column:
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([fingerprint(t, size) for t in texts], dtype="int64")
+    def work():
+        return lambda texts: pa.array([fingerprint(t, size) for t in texts.to_pylist()], pa.int64())
 
-    return F.pandas_udf(run, "bigint")(text)
+    return by_slices(text, "bigint", work)
 
 
 def counts_code(fp: Column) -> Column:
@@ -76,6 +73,11 @@ def cells(code: Column) -> Column:
     return F.concat(of_half(0), of_half(1))
 
 
+def spread_out(prints: DataFrame) -> DataFrame:
+    """Dealt out over all partitions, as few bytes become many rows."""
+    return prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def near_copies(prints: DataFrame) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` that differ in one or two bits.
 
@@ -83,6 +85,7 @@ def near_copies(prints: DataFrame) -> DataFrame:
     in one place are at two bits or less from each other, so each is linked to the
     place's smallest alone: the rows are 65 per fingerprint however dense a group.
     """
+    prints = spread_out(prints)
     flips = F.array(F.lit(0).cast("bigint"), *[F.lit(-(1 << 63) if b == 63 else 1 << b).cast("bigint") for b in range(64)])
     visits = prints.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("place"))
     # a place's least and greatest visitor tell whether several met there
@@ -98,7 +101,7 @@ def far_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     The grid join proposes pairs that share a cell, the Manhattan distance of the
     bit counts is the lower bound, and the bits themselves decide.
     """
-    coded = prints.withColumn("code", counts_code(F.col("fp")))
+    coded = spread_out(prints).withColumn("code", counts_code(F.col("fp")))
     placed = coded.select("fp", "part", "code", F.explode(cells(F.col("code"))).alias("cell"))
     a, b = placed.alias("a"), placed.alias("b")
     return a.join(
