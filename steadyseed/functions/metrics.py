@@ -78,8 +78,10 @@ def check_binary_labels(labels: list[float], metric: str, average: str = "binary
             raise ValueError(f"{metric} needs the positive label 1 among the labels, got {distinct}")
 
 
-def all_metrics(preds: DataFrame, problem_type: str, by: list[str] | None = None) -> DataFrame:
-    """Every metric of the problem kind, one row per group."""
+def all_metrics(preds: DataFrame, problem_type: str, by: list[str] | None = None, average: str = "binary") -> DataFrame:
+    """Every metric of the problem kind, one row per group; ``average`` as in ``score``."""
+    if average == "macro" and problem_type == "classification":
+        return _macro(preds, by or []).select(*(by or []), *metrics_for(problem_type))
     aggregates = [metric_column(m).alias(m) for m in metrics_for(problem_type)]
     return preds.groupBy(*(by or [])).agg(*aggregates)
 
@@ -101,11 +103,12 @@ def score(
     if name not in metrics_for(problem_type):
         raise ValueError(f"{name} is not a {problem_type} metric")
     if average == "macro" and name in BINARY_METRICS:
-        return _macro(preds, name, by)
+        return _macro(preds, by).select(*by, F.col(name).alias("score"))
     return preds.groupBy(*by).agg(metric_column(name).alias("score"))
 
 
-def _macro(preds: DataFrame, name: str, by: list[str]) -> DataFrame:
+def _macro(preds: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy, and the means over classes of precision, recall and f1."""
     hit = F.col("label") == F.col("prediction")
     # One row per (prediction, class it touches): the pair table is as small as
     # classes squared after the first, map-side combined, aggregation.
@@ -127,9 +130,12 @@ def _macro(preds: DataFrame, name: str, by: list[str]) -> DataFrame:
         return F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0.0))
 
     tp, fp, fn = total("tp"), total("fp"), total("fn")
-    value = {
-        "precision": _ratio_or_zero(tp, tp + fp),
-        "recall": _ratio_or_zero(tp, tp + fn),
-        "f1": _ratio_or_zero(2.0 * tp, 2.0 * tp + fp + fn),
-    }[name]
-    return sides.groupBy(*by, "cls").agg(value.alias("v")).groupBy(*by).agg(F.avg("v").alias("score"))
+    each = sides.groupBy(*by, "cls").agg(
+        tp.alias("tp"), (tp + fn).alias("rows"),
+        _ratio_or_zero(tp, tp + fp).alias("precision"),
+        _ratio_or_zero(tp, tp + fn).alias("recall"),
+        _ratio_or_zero(2.0 * tp, 2.0 * tp + fp + fn).alias("f1"),
+    )
+    return each.groupBy(*by).agg(
+        (F.sum("tp") / F.sum("rows")).alias("accuracy"), *[F.avg(m).alias(m) for m in BINARY_METRICS]
+    )

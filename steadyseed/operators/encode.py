@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from steadyseed.config import MAX_LOOKUP_ROWS, CategoricalConfig
 from steadyseed.functions.columns import col, is_missing, is_nested, kinds, value_text
 from steadyseed.functions.inline import inline_rows
+from steadyseed.functions.numbering import numbered
 from steadyseed.functions.skew import lookup_join
 from steadyseed.operators.profile import distinct_counts
 from steadyseed.sources.infer import DECIMAL_TEXT
 
-MAX_ONE_HOT = 256
+MAX_LOOKUP_BYTES = 4 << 20
 NAN_TEXT = "nan"
 
 
@@ -26,19 +27,19 @@ def drop_columns(df: DataFrame, target: str, removals: list[str]) -> DataFrame:
 def sorted_codes(values: DataFrame, column: str) -> tuple[DataFrame, bool]:
     """``(column, code)`` numbering the distinct values in order, and whether it is small.
 
-    Up to ``MAX_LOOKUP_ROWS`` values are numbered on the driver and may be
-    broadcast; more are numbered by a range-partitioned sort.
+    Up to ``MAX_LOOKUP_ROWS`` values of ``MAX_LOOKUP_BYTES`` together are numbered
+    on the driver and may be broadcast; more are numbered by ranges. The codes are
+    the same either way.
     """
     distinct = values.select(col(column)).where(col(column).isNotNull()).distinct()
-    head = distinct.limit(MAX_LOOKUP_ROWS + 1).collect()
     kind = values.schema[column].dataType
-    if len(head) <= MAX_LOOKUP_ROWS:
-        found = sorted(r[0] for r in head)
+    size = F.sum(F.octet_length(col(column).cast("string")))
+    rows, bytes_ = distinct.limit(MAX_LOOKUP_ROWS + 1).agg(F.count(F.lit(1)), size).first()
+    if rows <= MAX_LOOKUP_ROWS and (bytes_ or 0) <= MAX_LOOKUP_BYTES:
+        found = sorted(r[0] for r in distinct.collect())
         rows = [(v, i) for i, v in enumerate(found)]
         return inline_rows(values.sparkSession, rows, {column: kind.simpleString(), "code": "bigint"}), True
-    numbered = distinct.orderBy(col(column)).rdd.zipWithIndex().map(lambda pair: (pair[0][0], pair[1]))
-    schema = T.StructType([T.StructField(column, kind), T.StructField("code", T.LongType())])
-    return values.sparkSession.createDataFrame(numbered, schema), False
+    return numbered(distinct, [col(column)], "code"), False
 
 
 def _attach_code(df: DataFrame, key: Column, codes: DataFrame, value: str, small: bool, spread_by: str | None) -> DataFrame:
@@ -47,8 +48,8 @@ def _attach_code(df: DataFrame, key: Column, codes: DataFrame, value: str, small
     keyed = df.withColumn("__key", key)
     if small:
         return keyed.join(F.broadcast(lookup), "__key", "left").drop("__key")
-    if spread_by is None:
-        raise ValueError("a row id is needed to encode a column with this many values")
+    if spread_by is None:  # nothing to salt hot values by: Spark splits large partitions of the join
+        return keyed.join(lookup, "__key", "left").drop("__key")
     known = lookup_join(keyed.where(F.col("__key").isNotNull()), lookup, ["__key"], spread_by, "left")
     unknown = keyed.where(F.col("__key").isNull()).withColumn("__code", F.lit(None).cast("bigint"))
     return known.unionByName(unknown).drop("__key")
@@ -90,7 +91,7 @@ def coerce_numeric_target(df: DataFrame, target: str, null_target: str = "error"
         F.count_if(missing).alias("missing"), F.count_if(~missing & value.isNull()).alias("unreadable")
     ).first()
     if seen["unreadable"]:
-        raise ValueError("Target variable contains non-numeric values for regression")
+        raise ValueError(f"regression needs numbers, but {seen['unreadable']} values of target '{target}' are other text")
     if seen["missing"]:
         raise ValueError(f"target '{target}' holds missing values; use null_target='drop' to leave those rows out")
     return df.withColumn("label", value).drop(target)
@@ -113,45 +114,64 @@ def ordinal_encode_auto(df: DataFrame, column: str, row_id: str | None = None) -
     return coded.withColumn(column, F.col("__code").cast("double")).drop("__code").select(*[col(c) for c in df.columns])
 
 
-def category_values(df: DataFrame, columns: list[str], limit: int) -> dict[str, list[str | None] | None]:
-    """Sorted categories per column, a missing value last; None where there are more than ``limit``.
+def category_values(df: DataFrame, columns: list[str], limit: int | None = None) -> dict[str, list[str] | None]:
+    """Sorted categories per column, missing values being the text ``nan``, last; None where there are more than ``limit``.
 
-    Columns are counted first; values are then read only of the columns that
-    have few, so at most ``limit + 1`` per column reach the driver.
+    Columns are counted first where there is a limit; values are then read only of
+    the columns within it.
     """
     if not columns:
         return {}
-    sizes = {r["column_name"]: r["distinct"] for r in distinct_counts(df, columns=columns).collect()}
-    fitting = [c for c in columns if sizes[c] <= limit]
-    found: dict[str, list[str | None] | None] = {c: [] if c in fitting else None for c in columns}
+    fitting = columns
+    if limit is not None:
+        sizes = {r["column_name"]: r["distinct"] for r in distinct_counts(df, columns=columns).collect()}
+        fitting = [c for c in columns if sizes[c] <= limit]
+    found: dict[str, list[str] | None] = {c: [] if c in fitting else None for c in columns}
     if fitting:
-        texts = df.select(*[value_text(c, df.schema[c].dataType).alias(str(i)) for i, c in enumerate(fitting)])
+        texts = df.select(*[category_text(df, c).alias(str(i)) for i, c in enumerate(fitting)])
         cells = texts.unpivot([], texts.columns, "position", "value").distinct().collect()
         for r in cells:
             found[fitting[int(r["position"])]].append(r["value"])
     # A missing value is a category too, and is seen only now.
     return {
-        c: sorted(v, key=lambda x: (x is None, x or "")) if v is not None and len(v) <= limit else None
+        c: sorted(v, key=lambda x: (x == NAN_TEXT, x)) if v is not None and (limit is None or len(v) <= limit) else None
         for c, v in found.items()
     }
 
 
+def category_text(df: DataFrame, name: str) -> Column:
+    """The category of a row; a missing value and the text ``nan`` are one."""
+    return F.coalesce(value_text(name, df.schema[name].dataType), F.lit(NAN_TEXT))
+
+
+def distinct_name(name: str, taken: set[str]) -> str:
+    """``name``, or with a number if a column of that name exists; names are compared without case, as Spark does."""
+    found, n = name, 1
+    while found.lower() in taken:
+        n += 1
+        found = f"{name}_{n}"
+    taken.add(found.lower())
+    return found
+
+
 def one_hot_encode(
-    df: DataFrame, columns: list[str], max_categories: int = MAX_ONE_HOT, row_id: str | None = None
+    df: DataFrame, columns: list[str], max_categories: int | None = None, row_id: str | None = None
 ) -> DataFrame:
     """0/1 columns ``column_value`` for every category, missing values being ``column_nan``.
 
-    A column with more than ``max_categories`` becomes one sparse vector column
-    ``column_onehot`` instead; ``row_id`` is needed when its categories are too
-    many to broadcast.
+    Where two such names are equal but for case, or a column has the name already,
+    later ones get a number (``answer_yes_2``). The table's shape depends on its
+    categories alone. Only a caller who gives ``max_categories`` gets one sparse
+    vector column ``column_onehot`` for columns with more.
     """
     categories = category_values(df, columns, max_categories)
     kept = [col(c) for c in df.columns if c not in columns]
+    taken = {c.lower() for c in df.columns}
     dense = []
     for name in columns:
+        text = category_text(df, name)
         for value in categories[name] or []:
-            test = value_text(name, df.schema[name].dataType).eqNullSafe(F.lit(value))
-            dense.append(test.cast("double").alias(f"{name}_{NAN_TEXT if value is None else value}"))
+            dense.append((text == F.lit(value)).cast("double").alias(distinct_name(f"{name}_{value}", taken)))
     wide = [c for c in columns if categories[c] is None]
     encoded = df.select(*kept, *dense, *[col(c) for c in wide])
     for name in wide:
@@ -184,7 +204,7 @@ def encode_features(
     keep: list[str],
     configs: list[CategoricalConfig] | None = None,
     row_id: str | None = None,
-    max_categories: int = MAX_ONE_HOT,
+    max_categories: int | None = None,
 ) -> EncodedFeatures:
     """Numeric columns as doubles, configured ordinals as positions, other text one-hot.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from steadyseed.config import METRIC_DISPLAY, default_metric, higher_is_better, metrics_for
 from steadyseed.functions.inline import inline_rows
-from steadyseed.functions.metrics import all_metrics
+from steadyseed.functions.metrics import all_metrics, check_binary_labels
 from steadyseed.operators.encode import encode_features
 from steadyseed.operators.forest import assemble, baseline_value, class_of, target_column
 from steadyseed.operators.impute import impute_mean
@@ -98,9 +98,13 @@ def compare_models(
     folds: int = FOLDS,
     trees: int = TREES,
     parallelism: int = 4,
+    average: str | None = None,
 ) -> DataFrame:
     """``(model, metric columns, seconds, error)``, best first by the metric.
 
+    ``average`` is that of precision, recall and f1; without it two classes are
+    scored as binary if 1 is one of them, others as macro.
+
     Families are cross-validated on the 70 % training part of the seed's split;
     part and folds are ranges of the seed's hash ranking, so they need no shuffle.
     A family that fails gives a row with its error.
@@ -117,6 +121,10 @@ def compare_models(
     training = laid_out.select(
         "row_id", "label", target_column(classes), "features", part.alias("part")
     ).where(F.col("part") > 0).persist()
+    if average is None:
+        average = "binary" if not stratify or len(classes) <= 2 and 1 in classes else "macro"
+    for name in metrics_for(problem_type):
+        check_binary_labels(classes, name, average)
     width = len(training.select("features").first()["features"])
     candidates = {**families(problem_type, width, len(classes), trees), "Baseline": None}
     chosen = {n: e for n, e in candidates.items() if models is None or n in models}
@@ -135,11 +143,11 @@ def compare_models(
         totals = {m: 0.0 for m in metrics_for(problem_type)}
         try:
             for fold in range(1, folds + 1):
-                row = all_metrics(one(name, fold), problem_type).first()
+                row = all_metrics(one(name, fold), problem_type, average=average).first()
                 for m in totals:
                     totals[m] += row[m] / folds
         except Exception as error:  # one family failing must not end the comparison
-            return (name, *[None] * len(totals), time.monotonic() - started, str(error).splitlines()[0][:500])
+            return (name, *[None] * len(totals), time.monotonic() - started, str(error) or repr(error))
         return (name, *totals.values(), time.monotonic() - started, None)
 
     try:

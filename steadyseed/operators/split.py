@@ -24,12 +24,10 @@ MAX_DIGITS = 4
 
 
 def class_sizes(df: DataFrame, label: str | None) -> dict:
-    """Rows per class (key None without a class column)."""
+    """Rows per class (key None without a class column); one small row per class reaches the driver."""
     if label is None:
         return {None: df.count()}
-    counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LOOKUP_ROWS + 1).collect()
-    if len(counted) > MAX_LOOKUP_ROWS:
-        raise ValueError(f"more than {MAX_LOOKUP_ROWS} classes: not a classification target")
+    counted = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = {r[label]: r["n"] for r in counted}
     if None in sizes:
         raise ValueError("the label holds missing values")
@@ -45,7 +43,8 @@ def quotas(sizes: dict, share: float = TEST_SHARE) -> dict:
     exact = {c: divmod(wanted * n, total) if total else (0, 0) for c, n in sizes.items()}
     taken = {c: whole for c, (whole, _) in exact.items()}
     spare = wanted - sum(taken.values())
-    for c in sorted(sizes, key=lambda c: (-exact[c][1], list(sizes).index(c)))[:spare]:
+    place = {c: i for i, c in enumerate(sizes)}
+    for c in sorted(sizes, key=lambda c: (-exact[c][1], place[c]))[:spare]:
         taken[c] += 1
     return taken
 

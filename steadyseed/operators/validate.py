@@ -34,8 +34,6 @@ TARGET_NOT_NUMERIC = "Regression target must be numeric"
 NO_FEATURES = "No features remaining after column removal"
 FEATURES_FEW = "Very few features remaining. Consider keeping more columns."
 ROWS_FEW = "Small dataset size may lead to unreliable results"
-# A column with more values than this is reported by number, not by listing them.
-LISTED_VALUES = 1000
 
 
 def findings(spark, rows: list[tuple]) -> DataFrame:
@@ -93,15 +91,13 @@ def validate_categorical_configs(
     if any(c.variable_type == "ordinal" and c.value_ordering for c in usable):
         counted = differences.groupBy("config", "side").agg(F.count(F.lit(1)).alias("n")).collect()
         tally = {(r["config"], r["side"]): r["n"] for r in counted}
-    listed = [key for key, n in tally.items() if n <= LISTED_VALUES]
-    values: dict[tuple[int, str], list[str]] = {key: [] for key in listed}
-    if listed:
-        chosen = inline_rows(df.sparkSession, listed, {"config": "int", "side": "string"})
-        for r in differences.join(F.broadcast(chosen), ["config", "side"]).orderBy("config", "side", "value").collect():
+    values: dict[tuple[int, str], list[str]] = {key: [] for key in tally}
+    if tally:  # all are named, as the finding's text has them all
+        for r in differences.orderBy("config", "side", "value").collect():
             values[(r["config"], r["side"])].append(r["value"])
     for i, side in sorted(tally, key=lambda k: (k[0], k[1] == "extra")):
         name = usable[i].variable_name
-        shown = ", ".join(values[(i, side)]) if (i, side) in values else f"{tally[(i, side)]} values"
+        shown = ", ".join(values[(i, side)])
         text = MISSING_VALUES if side == "missing" else EXTRA_VALUES
         rows.append(("warning", "categorical_config", name, text.format(name, shown)))
     rejected = {i for i, _ in tally}

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from steadyseed.config import AnalysisConfig, ensure_checkpoint_dir
 from steadyseed.functions.hashing import with_row_id
-from steadyseed.operators.encode import coerce_numeric_target, encode_features, index_target
+from steadyseed.functions.columns import col
+from steadyseed.operators.encode import coerce_numeric_target, distinct_name, encode_features, index_target
 from steadyseed.operators.impute import impute_iterative, impute_mean
 from steadyseed.operators.leaderboard import (
     compare_models_for_seeds,
@@ -100,15 +101,28 @@ def process_data(df: DataFrame, cfg: AnalysisConfig) -> ProcessedData:
     plain = filled.withColumnRenamed(row_id, "row_id").withColumn("is_synthetic", F.lit(False))
     if not wanted or cfg.oversample_scope == "train_only":
         return ProcessedData(plain, features, notes, False)
-    if any(isinstance(filled.schema[f].dataType, T.ArrayType) or f.endswith("_onehot") for f in features):
-        notes.append(("warning", "oversampling", None, "Oversampling needs number columns; rows are unchanged"))
-        return ProcessedData(plain, features, notes, False)
+    filled = _arrays_as_columns(filled, features)
+    features = [c for c in filled.columns if c not in (row_id, "label")]
     balanced, reason = adasyn(filled, row_id, features, "label")
     if reason:
         notes.append(("warning", "oversampling", None, f"Oversampling left the rows unchanged: {reason}"))
     return ProcessedData(balanced.withColumnRenamed(row_id, "row_id"), features, notes, reason is None)
 
 
+def _arrays_as_columns(df: DataFrame, features: list[str]) -> DataFrame:
+    """Number columns ``name_0``, ``name_1``, .. in place of array features; shorter arrays are filled with 0."""
+    arrays = [f for f in features if isinstance(df.schema[f].dataType, T.ArrayType)]
+    if not arrays:
+        return df
+    widths = df.agg(*[F.max(F.size(col(a))).alias(str(i)) for i, a in enumerate(arrays)]).first()
+    taken = {c.lower() for c in df.columns}
+    cells = [
+        F.coalesce(F.get(col(a), k).cast("double"), F.lit(0.0)).alias(distinct_name(f"{a}_{k}", taken))
+        for i, a in enumerate(arrays) for k in range(widths[i] or 0)
+    ]
+    return df.select(*[col(c) for c in df.columns if c not in arrays], *cells)
+
+
 def _wants_oversampling(df: DataFrame, cfg: AnalysisConfig) -> bool:
     if cfg.problem_type != "classification":
         return False
@@ -159,6 +173,7 @@ def run_analysis(df: DataFrame, cfg: AnalysisConfig, leaderboard_models: list[st
         board = compare_models_for_seeds(
             raw, row_id, features, "label", cfg.problem_type, pick_leaderboard_seeds(summary),
             metric=metric, models=leaderboard_models, folds=folds, trees=cfg.trees, parallelism=cfg.parallelism,
+            average=cfg.average if cfg.problem_type == "classification" else None,
         )
         ranked = rank_leaderboard(board, metric)
         tables["leaderboard"] = ranked

@@ -1,6 +1,7 @@
 """Tables derived from the driver tables, as DataFrames and as SQL.
 
-Each derivation keeps every row of the tables it starts from.
+Each derivation keeps every row of the tables it starts from, except those about
+labelled documents, which leave out documents without a label.
 """
 
 from __future__ import annotations

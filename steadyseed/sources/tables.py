@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+import json
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -27,9 +28,10 @@ def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFr
     ``columns`` is ``{"column": {"row": value}}``, one such object per file.
     """
     if orient == "lines":
-        return spark.read.json(path)
+        return _in_file_order(spark.read.json(path), spark.read.text(path).select("value"))
     if orient == "records":
-        return spark.read.json(path, multiLine=True)
+        first = spark.read.text(path, wholetext=True).select(F.get_json_object("value", "$[0]").alias("value"))
+        return _in_file_order(spark.read.json(path, multiLine=True), first)
     if orient != "columns":
         raise ValueError(f"orient must be records, lines or columns, got {orient!r}")
     files = spark.read.text(path, wholetext=True).select(
@@ -39,7 +41,28 @@ def read_json(spark: SparkSession, path: str, orient: str = "records") -> DataFr
     cells = files.select("file", F.explode("table").alias("name", "entries")).select(
         "file", "name", F.explode("entries").alias("row", "value")
     )
-    return infer_types(blank_missing(_by_row(cells, ["file", "row"])))
+    table = infer_types(blank_missing(_by_row(cells, ["file", "row"])))
+    return _in_file_order(table, spark.read.text(path, wholetext=True).select("value"))
+
+
+def _in_file_order(table: DataFrame, records: DataFrame) -> DataFrame:
+    """Columns by the earliest place any record gives them; those that no record of ``records`` has come last, by name."""
+    keys = records.select(F.posexplode(F.json_object_keys("value")).alias("place", "name"))
+    place = {r["name"]: r["place"] for r in keys.groupBy("name").agg(F.min("place").alias("place")).collect()}
+    return table.select(*[col(c) for c in sorted(table.columns, key=lambda c: (place.get(c, len(place)), c))])
+
+
+def json_orient(spark: SparkSession, path: str) -> str:
+    """How a JSON source is laid out: an array of records, else an object of columns, else a record per line."""
+    line = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+    text = line[0]["value"].strip() if line else "["
+    if text.startswith("["):
+        return "records"
+    try:
+        whole = json.loads(text)
+    except ValueError:  # an object over several lines
+        return "columns"
+    return "columns" if whole and all(isinstance(v, dict) for v in whole.values()) else "lines"
 
 
 def _by_row(cells: DataFrame, row_key: list[str]) -> DataFrame:
@@ -121,11 +144,11 @@ def load_table(spark: SparkSession, path: str, spread: bool = False, **options)
     if lowered.endswith(".csv"):
         table = read_csv(spark, path, **options)
     elif lowered.endswith(".json"):
-        table = read_json(spark, path, **options)
+        table = read_json(spark, path, **(options if "orient" in options else {**options, "orient": json_orient(spark, path)}))
     elif lowered.endswith((".xlsx", ".xls")):
         table = read_workbooks(spark, path, **options)
     elif lowered.endswith(".parquet"):
         table = spark.read.parquet(path, **options)
     else:
-        raise ValueError(f"Unsupported file format: {path}")
+        raise ValueError(f"no reader for the extension of {path}; known are .csv, .json, .xlsx and .parquet")
     return missing_as_null(spread_narrow(table) if spread else table)

@@ -129,3 +129,29 @@ def test_impute_does_not_depend_on_partitions(spark):
         out, _ = impute.impute_iterative(gaps(spark).repartition(parts), ["a", "b"], "id", max_iter=2)
         runs.append({r["id"]: (round(r["a"], 9), round(r["b"], 9)) for r in out.collect()})
     assert runs[0] == runs[1]
+
+
+def test_category_names_never_clash(spark):
+    rows = [(1, "Yes", "nan", "b_c", "c"), (2, "yes", None, "x", "d"), (3, "no", "b", "x", "c")]
+    df = spark.createDataFrame(rows, "id int, ans string, a string, `a_b` string, `A_nan` string")
+    hot = encode.one_hot_encode(df, ["ans", "a", "a_b", "A_nan"])
+    assert len({c.lower() for c in hot.columns}) == len(hot.columns)
+    got = {r["id"]: r for r in hot.collect()}
+    assert (got[1]["ans_Yes"], got[1]["ans_yes_2"], got[2]["ans_Yes"], got[2]["ans_yes_2"]) == (1.0, 0.0, 0.0, 1.0)
+    missing = next(c for c in hot.columns if c.lower().startswith("a_nan"))
+    assert [got[i][missing] for i in (1, 2, 3)] == [1.0, 1.0, 0.0]  # NULL and the text nan are one category
+
+
+def test_many_categories_keep_their_shape(spark):
+    df = spark.range(600).select("id", F.concat(F.lit("v"), F.col("id") % 300).alias("kind"))
+    hot = encode.one_hot_encode(df, ["kind"])
+    assert len(hot.columns) == 301
+    assert hot.agg(F.sum("kind_v7")).first()[0] == 2
+
+
+def test_codes_are_the_same_by_either_way(spark, monkeypatch):
+    df = spark.range(3000).select(F.concat(F.lit("c"), F.col("id") % 700).alias("t"))
+    few = sorted((r.label, r.n) for r in encode.index_target(df, "t").groupBy("label").agg(F.count("*").alias("n")).collect())
+    monkeypatch.setattr(encode, "MAX_LOOKUP_ROWS", 50)
+    many = sorted((r.label, r.n) for r in encode.index_target(df, "t").groupBy("label").agg(F.count("*").alias("n")).collect())
+    assert few == many and [x for x, _ in few] == list(range(700))

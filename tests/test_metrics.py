@@ -60,3 +60,11 @@ def test_macro(spark):
     df = spark.range(400).selectExpr("1 AS seed", "CAST(id % 3 AS DOUBLE) AS label", "CAST(id % 5 % 3 AS DOUBLE) AS prediction")
     each = [MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=float(c)).evaluate(df) for c in range(3)]
     assert abs(value(df, "classification", "f1", average="macro") - sum(each) / 3) < 1e-12
+
+
+def test_all_metrics_over_three_classes(spark):
+    preds = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 2), (2, 0), (1, 1)], "label bigint, prediction bigint")
+    row = all_metrics(preds, "classification", average="macro").first()
+    assert abs(row.accuracy - 4 / 6) < 1e-12
+    assert abs(row.recall - (1 / 2 + 1 + 1 / 2) / 3) < 1e-12
+    assert abs(row.precision - (1 / 2 + 2 / 3 + 1) / 3) < 1e-12

@@ -77,7 +77,7 @@ def test_workbooks(spark, tmp_path):
 
 def test_dispatch(spark, tables, tmp_path):
     assert load_table(spark, f"{tables}/orders.parquet").count() == 1500
-    with pytest.raises(ValueError, match="Unsupported file format"):
+    with pytest.raises(ValueError, match="no reader for the extension"):
         load_table(spark, "table.feather")
     with pytest.raises(ValueError, match="legacy"):
         load_table(spark, "table.xls")
@@ -104,3 +104,17 @@ def test_checkpoint_folder_is_the_session_setting(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         assert configured in folder
+
+
+def test_json_keeps_its_column_order_and_finds_its_orient(spark, tmp_path):
+    sources = {
+        "records": '[{"zed": 1, "abc": 2, "mid": 3}, {"zed": 4, "abc": 5, "mid": 6}]',
+        "lines": '{"zed": 1, "abc": 2, "mid": 3}\n{"zed": 4, "abc": 5, "mid": 6}\n',
+        "columns": '{"zed": {"0": 1, "1": 4}, "abc": {"0": 2, "1": 5}, "mid": {"0": 3, "1": 6}}',
+    }
+    for name, text in sources.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(text)
+        table = load_table(spark, str(path))
+        assert table.columns == ["zed", "abc", "mid"]
+        assert sorted(tuple(r) for r in table.collect()) == [(1, 2, 3), (4, 5, 6)]

@@ -66,3 +66,9 @@ def test_parts_by_cutoffs(spark):
     counted = df.groupBy("y", split.part_column(3, "id", "y", cutoffs, 3).alias("p")).count().collect()
     found = {(r["y"], r["p"]): r["count"] for r in counted}
     assert found == {(c, p): n for c in sizes for p, n in ((0, 10), (2, 40), (3, sizes[c] - 50))}
+
+
+def test_many_classes_are_split(spark):
+    df = spark.range(36_000).select("id", (F.col("id") % 12_000).alias("y"))
+    sizes = split.class_sizes(df, "y")
+    assert len(sizes) == 12_000 and sum(split.quotas(sizes).values()) == 10_800
