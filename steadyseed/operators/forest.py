@@ -23,6 +23,8 @@ def assemble(df: DataFrame, row_id: str, features: list[str], label: str) -> Dat
         parts.append((array_to_vector(col(name)) if is_array else col(name)).alias(f"__f{i}"))
         inputs.append(f"__f{i}")
     plain = df.select(col(row_id).alias("row_id"), col(label).cast("double").alias("label"), *parts)
+    if not inputs:
+        return plain.withColumn("features", array_to_vector(F.array().cast("array<double>"))).select("row_id", "label", "features")
     return VectorAssembler(inputCols=inputs, outputCol="features").transform(plain).select("row_id", "label", "features")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from steadyseed.config import TEST_SHARE, default_metric, metrics_for
 from steadyseed.functions.inline import inline_rows
 from steadyseed.functions.metrics import check_binary_labels, score
-from steadyseed.operators.forest import MAX_DEPTH, TREES, assemble, baseline_predictions, fit_predict
+from steadyseed.operators.forest import MAX_DEPTH, TREES, assemble, baseline_predictions, baseline_value, fit_predict
 from steadyseed.operators.layout import fixed_layout
 from steadyseed.operators.resample import adasyn
 from steadyseed.operators.split import (
@@ -68,16 +68,14 @@ def seed_sweep(
     The assembled rows are laid out and persisted once. A seed's two parts are
     comparisons of a hash with the cutoffs of that seed, so no row is shuffled or
     copied per seed; ``parallelism`` seeds are fitted at a time, and each leaves
-    one number behind.
+    one number behind. ``kind="baseline"`` goes the same way with the mean or the
+    majority class in place of a forest.
     """
     metric = (metric or default_metric(problem_type)).lower()
     if metric not in metrics_for(problem_type):
         raise ValueError(f"{metric} is not a {problem_type} metric")
     spark = df.sparkSession
     stratify = "label" if problem_type == "classification" else None
-    if kind == "baseline":
-        found = baseline_sweep(df, row_id, label, problem_type, seeds, metric, test_share=test_share, average=average)
-        return seed_results(spark, {r["seed"]: r["score"] for r in found.collect()})
     laid_out = fixed_layout(assemble(df, row_id, features, label), "row_id", df.count()).persist()
     scores: dict[int, float] = {}
 
@@ -86,9 +84,12 @@ def seed_sweep(
         train, test = laid_out.where(part == 1), laid_out.where(part == 0)
         if oversample_train:
             train = _oversampled(train)
-        preds = fit_predict(
-            train, test, problem_type, trees=trees, max_depth=max_depth, classes=classes, laid_out=not oversample_train
-        )
+        if kind == "baseline":
+            preds = test.select("label", baseline_value(train, problem_type).scalar().alias("prediction"))
+        else:
+            preds = fit_predict(
+                train, test, problem_type, trees=trees, max_depth=max_depth, classes=classes, laid_out=not oversample_train
+            )
         row = score(preds.withColumn("seed", F.lit(seed)), problem_type, metric, "seed", average).first()
         return seed, row["score"]
 

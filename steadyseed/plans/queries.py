@@ -701,6 +701,43 @@ def _(spark, d):
     return rounded(sweep.baseline_sweep(fx.returned(spark, d), "row_id", "label", "classification", [1, 2, 3]), "score")
 
 
+# The sweep that fits forests, with the mean and the majority class in their place.
+@register("seed_sweep_orders", f"""
+    WITH {q.mean_scores_sql(ORDER_SOURCE, 'o_orderkey', 'o_totalprice', SEEDS, 4)}
+    SELECT seed::INTEGER AS seed, score FROM results""")
+def _(spark, d):
+    rows = fx.table(spark, d, "orders", spread=True)
+    return rounded(sweep.seed_sweep(rows, "o_orderkey", [], "o_totalprice", "regression", SEEDS, kind="baseline"), "score", digits=4)
+
+
+@register("seed_sweep_returnflag", f"""
+    WITH {q.majority_scores_sql(LINE_SOURCE, 'row_id', 'label', [1, 2, 3], True).replace(LINE_SOURCE,
+        f"SELECT {fx.LINE_ID_SQL} AS row_id, CAST(l_returnflag = 'R' AS INTEGER) AS label FROM lineitem")}
+    SELECT seed::INTEGER AS seed, round(score, 6) AS score FROM results""")
+def _(spark, d):
+    found = sweep.seed_sweep(fx.returned(spark, d), "row_id", PRICES, "label", "classification", [1, 2, 3], kind="baseline")
+    return rounded(found, "score")
+
+
+@register("index_target_names", """
+    SELECT c_custkey, (dense_rank() OVER (ORDER BY c_name) - 1)::BIGINT AS label FROM customer""")
+def _(spark, d):
+    return encode.index_target(fx.table(spark, d, "customer").select("c_custkey", "c_name"), "c_name", row_id="c_custkey")
+
+
+@register("one_hot_encode_clashes", """
+    WITH p AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'yes' WHEN 2 THEN 'nan' END AS answer FROM part)
+    SELECT p_partkey, CAST(answer = 'Yes' AS DOUBLE) IS NOT DISTINCT FROM 1.0 AS upper_yes, CAST(answer = 'yes' AS DOUBLE) IS NOT DISTINCT FROM 1.0 AS lower_yes,
+        coalesce(answer, 'nan') = 'nan' AS missing FROM p""")
+def _(spark, d):
+    answer = F.expr("CASE p_partkey % 4 WHEN 0 THEN 'Yes' WHEN 1 THEN 'yes' WHEN 2 THEN 'nan' END").alias("answer")
+    hot = encode.one_hot_encode(fx.table(spark, d, "part").select("p_partkey", answer), ["answer"])
+    return hot.select(
+        "p_partkey", (F.col("answer_Yes") == 1).alias("upper_yes"), (F.col("answer_yes_2") == 1).alias("lower_yes"),
+        (F.col("answer_nan") == 1).alias("missing"),
+    )
+
+
 @register("forest_predictions_classifier")
 def _(spark, d):
     rows = forest.assemble(fx.big(spark, d), "row_id", PRICES, "label")
@@ -726,12 +763,12 @@ def _(spark, d):
 
 @register("forest_sweep_classification")
 def _(spark, d):
-    return sweep.seed_sweep(fx.big(spark, d), "row_id", PRICES, "label", "classification", [1, 2, 3], "f1", trees=20)
+    return sweep.seed_sweep(fx.big(spark, d), "row_id", PRICES, "label", "classification", SEEDS, "f1")
 
 
 @register("forest_sweep_regression")
 def _(spark, d):
-    return sweep.seed_sweep(fx.net(spark, d), "row_id", PRICES, "label", "regression", [1, 2, 3], "rmse", trees=20)
+    return sweep.seed_sweep(fx.net(spark, d), "row_id", PRICES, "label", "regression", SEEDS, "rmse")
 
 
 # What SQL can say about a forest: how many rows it is tested on, and that the
@@ -756,7 +793,7 @@ def _(spark, d):
 def _(spark, d):
     rows = fx.returned(spark, d)
     features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return sweep.seed_sweep(rows, "row_id", features, "label", "classification", [1, 2, 3], "recall", trees=20)
+    return sweep.seed_sweep(rows, "row_id", features, "label", "classification", SEEDS, "recall")
 
 
 # Predictions read off the tables: the list price stands in for the net price,
