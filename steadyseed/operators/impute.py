@@ -80,10 +80,17 @@ def impute_iterative(
     for _ in range(max_iter):
         start = {c: f"__was{i}" for i, c in enumerate(incomplete)}
         moved = current.withColumns({start[c]: col(c) for c in incomplete})
+        held: list[DataFrame] = []
         for c in incomplete:
             others = [p for p in basis if p != c]
-            moved = _predict_gaps(moved, c, others, flags[c], estimator, trees, seed)
+            # held while the next fit reads it, so that a fit does not repeat the predictions of those before it
+            moved = _predict_gaps(moved, c, others, flags[c], estimator, trees, seed).persist()
+            held.append(moved)
+            if len(held) > 2:
+                held.pop(0).unpersist()
         moved = moved.checkpoint()
+        for step in held:
+            step.unpersist()
         change = moved.agg(
             F.greatest(*[F.max(F.abs(col(c) - F.col(start[c]))) for c in incomplete], F.lit(0.0)).alias("d")
         ).first()["d"]

@@ -113,7 +113,6 @@ def _visits(queries: DataFrame, cells: Cells, k: int, home: bool) -> DataFrame:
     """
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        between = np.sqrt(squared_distances(cells.pivots, cells.pivots)) if not home else None
         for batch in batches:
             for part, rows in batch.groupby("part"):
                 if part not in cells.members:
@@ -138,7 +137,9 @@ def _visits(queries: DataFrame, cells: Cells, k: int, home: bool) -> DataFrame:
                         continue
                     own = np.searchsorted(number, some["cell"].to_numpy())
                     to_own = np.take_along_axis(distance, own[:, None], 1)
-                    apart = between[number[own]][:, number]
+                    # only from the home cells of these rows, never all pivots against all
+                    homes, home_of = np.unique(own, return_inverse=True)
+                    apart = np.sqrt(squared_distances(cells.pivots[number[homes]], cells.pivots[number]))[home_of]
                     with np.errstate(divide="ignore", invalid="ignore"):
                         plane = np.where(apart > 0, (distance**2 - to_own**2) / (2 * apart), 0.0)
                     nearest_possible = np.maximum(distance - radius[None, :], plane)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 import uuid
 
 from pyspark.ml.functions import vector_to_array
@@ -162,20 +163,23 @@ def _(spark, d):
 
 
 def _profile_columns(df: DataFrame) -> DataFrame:
-    return rounded(
-        df.withColumnRenamed("distinct", "distinct_count").drop("values"), "distinct_ratio"
-    )
+    """The profile with each list of values as one text."""
+    named = df.withColumnRenamed("distinct", "distinct_count").withColumn("values_text", F.array_join("values", "|")).drop("values")
+    return rounded(named, "distinct_ratio")
 
 
-def _profile_sql(table: str) -> str:
+def _profile_sql(table: str, key: str) -> str:
+    texts = [c for c, kind in COLUMNS[table] if kind != "numeric"]
+    values = _values_sql(table, key, texts) if texts else "SELECT '' AS column_name, NULL::VARCHAR AS values_text WHERE false"
     return (
-        "SELECT column_name, position::INTEGER AS position, kind, rows, missing, distinct_count, "
-        f"round(distinct_ratio, 6) AS distinct_ratio, is_zero_one FROM ({q.profile_sql(table, COLUMNS[table])})"
+        "SELECT p.column_name, position::INTEGER AS position, kind, rows, missing, distinct_count, "
+        f"round(distinct_ratio, 6) AS distinct_ratio, is_zero_one, values_text FROM ({q.profile_sql(table, COLUMNS[table])}) p "
+        f"LEFT JOIN ({values}) v ON p.column_name = v.column_name"
     )
 
 
 for _name, _key in {"orders": "o_orderkey", "labels": "doc_id", "events": "event_id"}.items():
-    @register(f"column_profile_{_name}", _profile_sql(_name))
+    @register(f"column_profile_{_name}", _profile_sql(_name, _key))
     def _(spark, d, table=_name, key=_key):
         return _profile_columns(profile.column_profile(fx.table(spark, d, table), key))
 
@@ -299,6 +303,50 @@ def _(spark, d):
     return validate.validate_configuration(fx.table(spark, d, "orders"), cfg)[1]
 
 
+def _findings(spark: SparkSession, d: str, table: str, configs: dict[str, AnalysisConfig]) -> DataFrame:
+    """The findings of several configurations of one table, by the configurations' names."""
+    rows = fx.table(spark, d, table)
+    found = [validate.validate_configuration(rows, cfg)[1].withColumn("config", F.lit(name)) for name, cfg in configs.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+@register("validate_configuration_target", """
+    WITH c AS (SELECT column_name FROM information_schema.columns WHERE table_name = 'orders')
+    SELECT 'absent' AS config, 'error' AS severity, 'target' AS "check", 'o_missing' AS "column",
+        'Target column ''o_missing'' not found' AS message WHERE 'o_missing' NOT IN (FROM c)
+    UNION ALL SELECT 'removed', 'error', 'target', 'o_totalprice', 'Target column cannot be in remove columns list'
+    WHERE 'o_totalprice' IN (FROM c)
+    UNION ALL SELECT 'text', 'error', 'numeric_target', 'o_orderstatus', 'Regression target must be numeric'
+    FROM orders HAVING count(*) FILTER (o_orderstatus IS NOT NULL AND TRY_CAST(o_orderstatus AS DOUBLE) IS NULL) > 0
+    UNION ALL SELECT 'text', 'warning', 'datetime_feature', 'o_orderdate', 'Datetime column ''o_orderdate'' cannot be encoded; remove it'
+    UNION ALL SELECT 'text', 'warning', 'row_count', NULL, 'Small dataset size may lead to unreliable results'
+    FROM orders HAVING count(*) < 50""")
+def _(spark, d):
+    return _findings(spark, d, "orders", {
+        "absent": AnalysisConfig("o_missing", "regression"),
+        "removed": AnalysisConfig("o_totalprice", "regression", remove_columns=["o_totalprice"]),
+        "text": AnalysisConfig("o_orderstatus", "regression"),
+    })
+
+
+@register("validate_configuration_small", """
+    WITH n AS (SELECT count(*) AS rows, count(DISTINCT n_name) AS names, count(DISTINCT n_regionkey) AS regions FROM nation)
+    SELECT 'bare' AS config, 'warning' AS severity, 'class_count' AS "check", 'n_name' AS "column",
+        'High number of classes (' || names || ') for classification. Consider regression.' AS message FROM n WHERE names > 20
+    UNION ALL SELECT 'bare', 'warning', 'row_count', NULL, 'Small dataset size may lead to unreliable results' FROM n WHERE rows < 50
+    UNION ALL SELECT 'bare', 'error', 'feature_count', NULL, 'No features remaining after column removal'
+    UNION ALL SELECT 'region', 'warning', 'class_count', 'n_regionkey',
+        'High number of classes (' || regions || ') for classification. Consider regression.' FROM n WHERE regions > 20
+    UNION ALL SELECT 'region', 'error', 'class_count', 'n_regionkey', 'Classification requires at least 2 classes' FROM n WHERE regions < 2
+    UNION ALL SELECT 'region', 'warning', 'row_count', NULL, 'Small dataset size may lead to unreliable results' FROM n WHERE rows < 50
+    UNION ALL SELECT 'region', 'warning', 'feature_count', NULL, 'Very few features remaining. Consider keeping more columns.'""")
+def _(spark, d):
+    return _findings(spark, d, "nation", {
+        "bare": AnalysisConfig("n_name", "classification", metric="accuracy", remove_columns=["n_nationkey", "n_regionkey"]),
+        "region": AnalysisConfig("n_regionkey", "classification", metric="accuracy"),
+    })
+
+
 @register("unparsable_target_count", """
     SELECT count(*) FILTER (o_orderpriority IS NOT NULL AND TRY_CAST(o_orderpriority AS DOUBLE) IS NULL) AS unparsable
     FROM orders""")
@@ -539,12 +587,22 @@ def _(spark, d):
     return rounded(filled.select("row_id", "discount", "tax"), "discount", "tax")
 
 
-@register("impute_iterative_forest")
+# What SQL can say about a forest's values: observed cells stay, and each gap is
+# filled by a mean of observed values, hence within their range.
+@register("impute_iterative_forest", f"""
+    WITH g AS ({fx.GAPS_SQL}) SELECT row_id, l_quantity, l_extendedprice, discount AS observed_discount, tax AS observed_tax,
+        true AS discount_holds, true AS tax_holds FROM g""")
 def _(spark, d):
-    filled, _ = impute.impute_iterative(
-        fx.with_gaps(spark, d), ["l_quantity", "l_extendedprice", "discount", "tax"], "row_id", max_iter=2, predictors="all"
-    )
-    return filled
+    gaps, names = fx.with_gaps(spark, d), ["discount", "tax"]
+    ends = gaps.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).first()
+    kept = gaps.withColumns({f"observed_{c}": F.col(c) for c in names})
+    filled, _ = impute.impute_iterative(kept, ["l_quantity", "l_extendedprice", *names], "row_id", predictors="all")
+
+    def holds(c: str):
+        within = F.col(c).between(ends[f"min_{c}"] - 1e-9, ends[f"max_{c}"] + 1e-9)
+        return F.when(F.col(f"observed_{c}").isNull(), within).otherwise(F.col(c) == F.col(f"observed_{c}"))
+
+    return filled.withColumns({f"{c}_holds": holds(c) for c in names}).drop(*names)
 
 
 @register("encode_features", f"""
