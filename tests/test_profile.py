@@ -64,3 +64,14 @@ def test_preview_and_missing(spark):
     assert [r["id"] for r in rows] == ["1", "2"] and rows[1]["d"] == ""
     assert profile.preview(sample(spark), n=3).count() == 3
     assert profile.total_missing(sample(spark)).first()[0] == 5
+
+
+def test_values_are_listed_up_to_the_limit_exactly(spark):
+    rows = spark.range(2000).selectExpr(
+        "id", *[f"concat('v', id % {n}) AS c{n}" for n in (1, 19, 20, 21, 40, 41, 60, 500, 2000)], "CAST(NULL AS STRING) AS gone"
+    )
+    listed = {r["column_name"]: r for r in profile.distinct_values(rows, "id").collect()}
+    assert {c: r["unique_count"] for c, r in listed.items()} == {"c1": 1, "c19": 19, "c20": 20, "gone": 0}
+    assert listed["c20"]["values"] == [f"v{i}" for i in range(20)] and listed["gone"]["values"] == []
+    wide = {r["column_name"]: r["unique_count"] for r in profile.distinct_values(rows, "id", max_values=500).collect()}
+    assert wide["c500"] == 500 and wide["c60"] == 60 and "c2000" not in wide
