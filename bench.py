@@ -22,9 +22,10 @@ from steadyseed.plans.queries import PRICES, REGISTRY
 HEADLINE = [
     "column_profile_orders", "distinct_counts", "categorical_suggestions_all_rules", "class_distribution",
     "numeric_target_statistics_orders", "target_histogram", "one_hot_encode", "encode_features", "impute_mean",
-    "impute_iterative_linear", "adasyn", "neighbour_shares_embeddings", "assign_split", "assign_split_stratified",
+    "impute_iterative_linear", "impute_iterative_forest", "adasyn", "neighbour_shares_embeddings", "neighbour_shares_lineitem", "assign_split", "assign_split_stratified",
     "baseline_sweep_orders", "seed_sweep_orders", "index_target_names", "all_classification_metrics", "summarize_mae", "rank_leaderboard",
-    "forest_sweep_classification", "forest_sweep_regression", "compare_models_regression", "mean_error_stability",
+    "forest_sweep_classification", "forest_sweep_regression", "compare_models_regression", "compare_models_classification", "run_analysis",
+    "mean_error_stability",
 ]
 FULL_FOREST_SEEDS = [1, 2, 3, 4]
 

@@ -28,7 +28,7 @@ from steadyseed.operators import (
     validate,
 )
 from steadyseed.plans import analysis, fixtures as fx, sql as q
-from steadyseed.sources import read_csv, read_json, write_leaderboards, write_results
+from steadyseed.sources import load_table, read_csv, read_json, write_leaderboards, write_results
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -188,7 +188,7 @@ for _name, _key in {"orders": "o_orderkey", "labels": "doc_id", "events": "event
 
 def _targets_sql(table: str) -> str:
     return f"""SELECT column_name, position::INTEGER AS position FROM ({q.profile_sql(table, COLUMNS[table])})
-        WHERE {q.names_like(suggest.TARGET_NAME_PARTS)} OR is_zero_one ORDER BY position LIMIT 5"""
+        WHERE {q.names_like(q.TARGET_PARTS)} OR is_zero_one ORDER BY position LIMIT 5"""
 
 
 for _name in ("labels", "part", "orders"):
@@ -205,7 +205,7 @@ def _(spark, d):
 for _name in ("customer", "documents", "events"):
     @register(f"suggest_removals_{_name}", f"""
         SELECT column_name, position::INTEGER AS position FROM ({q.profile_sql(_name, COLUMNS[_name])})
-        WHERE {q.names_like(suggest.REMOVAL_NAME_PARTS)} OR (kind <> 'numeric' AND distinct_ratio > 0.8)""")
+        WHERE {q.names_like(q.REMOVAL_PARTS)} OR (kind <> 'numeric' AND distinct_ratio > 0.8)""")
     def _(spark, d, table=_name):
         return suggest.suggest_removals(profile.column_profile(fx.table(spark, d, table)))
 
@@ -481,13 +481,27 @@ def _(spark, d):
     return rounded(target.target_markers(fx.table(spark, d, "events"), "value"), "mean", "median")
 
 
-@register("describe_target", """
-    SELECT chart_type, count(*) AS classes, sum(n)::BIGINT AS total FROM (
-        SELECT l_linestatus, count(*) AS n, CASE WHEN count(*) OVER () = 2 THEN 'bar_chart' ELSE 'histogram' END AS chart_type
-        FROM lineitem GROUP BY l_linestatus) GROUP BY chart_type""")
-def _(spark, d):
-    bars = target.describe_target(fx.table(spark, d, "lineitem"), "l_linestatus", "classification")["class_bars"]
-    return bars.groupBy("chart_type").agg(F.count(F.lit(1)).alias("classes"), F.sum("count").alias("total"))
+@register("describe_target", _balance_sql("SELECT * FROM lineitem", "l_linestatus") + """
+    SELECT 'class_distribution' AS part, v AS name, n AS "count", round(n * 100.0::DOUBLE / total, 2) AS share FROM c, t
+    UNION ALL SELECT 'class_bars ' || CASE WHEN k = 2 THEN 'bar_chart' ELSE 'histogram' END, v, n, round(n * 100.0::DOUBLE / total, 2) FROM c, t
+    UNION ALL SELECT 'class_statistics', major || '/' || (SELECT v FROM c ORDER BY n, v LIMIT 1) || '/' || (SELECT min(v) || '/' || max(v) FROM c),
+        total, k::DOUBLE FROM t
+    UNION ALL SELECT 'class_imbalance', major || '/' || minor, big, round(big / total, 3) FROM t WHERE k = 2""")
+def _(spark, d):
+    told = target.describe_target(fx.table(spark, d, "lineitem"), "l_linestatus", "classification")
+    sizes, bars, whole, balance = (told[n] for n in ("class_distribution", "class_bars", "class_statistics", "class_imbalance"))
+    columns = ["part", "name", "count", "share"]
+    largest = F.element_at("class_distribution", F.col("majority_class"))
+    parts = [
+        sizes.select(F.lit("class_distribution"), "class", "count", "percentage"),
+        bars.select(F.concat(F.lit("class_bars "), "chart_type"), "class", "count", "percentage"),
+        whole.select(
+            F.lit("class_statistics"), F.concat_ws("/", "most_frequent_class", "least_frequent_class", "first_class", "last_class"),
+            "total_samples", F.col("num_classes").cast("double"),
+        ),
+        balance.select(F.lit("class_imbalance"), F.concat_ws("/", "majority_class", "minority_class"), largest, "imbalance_ratio"),
+    ]
+    return reduce(DataFrame.union, [part.toDF(*columns) for part in parts])
 
 
 # --- features --------------------------------------------------------------
@@ -566,23 +580,10 @@ def _(spark, d):
     return rounded(filled, "discount", "tax")
 
 
-@register("impute_iterative_linear", f"""
-    WITH g AS ({fx.GAPS_SQL}),
-    m AS (SELECT avg(discount) AS md, avg(tax) AS mt, count(*) FILTER (discount IS NULL) AS nd,
-        count(*) FILTER (tax IS NULL) AS nt FROM g),
-    a AS (SELECT g.*, md, mt, nd <= nt AS discount_first, coalesce(discount, md) AS d0, coalesce(tax, mt) AS t0 FROM g, m),
-    fa AS (SELECT regr_slope(discount, t0) AS sd, avg(t0) AS xd, avg(discount) AS yd FROM a WHERE discount IS NOT NULL),
-    fb AS (SELECT regr_slope(tax, d0) AS st, avg(d0) AS xt, avg(tax) AS yt FROM a WHERE tax IS NOT NULL),
-    b AS (SELECT a.*, CASE WHEN discount_first THEN coalesce(discount, yd + sd * (t0 - xd)) ELSE d0 END AS d1,
-        CASE WHEN discount_first THEN t0 ELSE coalesce(tax, yt + st * (d0 - xt)) END AS t1 FROM a, fa, fb),
-    ga AS (SELECT regr_slope(discount, t1) AS sd, avg(t1) AS xd, avg(discount) AS yd FROM b WHERE discount IS NOT NULL),
-    gb AS (SELECT regr_slope(tax, d1) AS st, avg(d1) AS xt, avg(tax) AS yt FROM b WHERE tax IS NOT NULL)
-    SELECT row_id, round(CASE WHEN discount_first THEN d1 ELSE coalesce(discount, ga.yd + ga.sd * (t1 - ga.xd)) END, 6) AS discount,
-        round(CASE WHEN discount_first THEN coalesce(tax, gb.yt + gb.st * (d1 - gb.xt)) ELSE t1 END, 6) AS tax
-    FROM b, ga, gb""")
+@register("impute_iterative_linear", q.linear_imputation_sql(fx.GAPS_SQL, "row_id", "discount", "tax", impute.MAX_ITER, "0.001"))
 def _(spark, d):
     filled, _ = impute.impute_iterative(
-        fx.with_gaps(spark, d), ["l_quantity", "l_extendedprice", "discount", "tax"], "row_id", max_iter=1, estimator="linear"
+        fx.with_gaps(spark, d), ["l_quantity", "l_extendedprice", "discount", "tax"], "row_id", estimator="linear"
     )
     return rounded(filled.select("row_id", "discount", "tax"), "discount", "tax")
 
@@ -796,27 +797,56 @@ def _(spark, d):
     )
 
 
-@register("forest_predictions_classifier")
-def _(spark, d):
+def _classifier_predictions(spark, d):
     rows = forest.assemble(fx.big(spark, d), "row_id", PRICES, "label")
     parts = split.assign_split(rows.select("row_id", "label", "features"), "row_id", [1], stratify="label").drop("seed")
     train, test = parts.where(~F.col("is_test")), parts.where("is_test")
-    return forest.fit_predict(train, test, "classification", trees=20)
+    return forest.fit_predict(train, test, "classification")
+
+
+def _regressor_predictions(spark, d):
+    rows = forest.assemble(fx.net(spark, d), "row_id", PRICES, "label")
+    parts = split.assign_split(rows, "row_id", [1]).drop("seed")
+    return forest.fit_predict(parts.where(~F.col("is_test")), parts.where("is_test"), "regression")
+
+
+@register("forest_predictions_classifier")
+def _(spark, d):
+    return _classifier_predictions(spark, d)
+
+
+# What SQL can say about predictions: the rows and labels they are made for, and
+# that they are classes, or means of labels and so within the labels' range.
+BIG_SOURCE = f"SELECT {fx.LINE_ID_SQL} AS row_id, CAST({fx.NET} > 40000 AS INTEGER) AS label FROM lineitem"
+
+
+@register("forest_test_rows_classifier", f"""
+    WITH {q.split_sql(BIG_SOURCE, 'row_id', [1], 'label')}
+    SELECT row_id, label::DOUBLE AS label, true AS holds FROM split WHERE is_test""")
+def _(spark, d):
+    return _classifier_predictions(spark, d).select("row_id", "label", F.col("prediction").isin(0.0, 1.0).alias("holds"))
+
+
+@register("forest_test_rows_regressor", f"""
+    WITH {q.split_sql(f"SELECT {fx.LINE_ID_SQL} AS row_id, {fx.NET} AS label FROM lineitem", 'row_id', [1])}
+    SELECT row_id, round(label, 6) AS label, true AS holds FROM split WHERE is_test""")
+def _(spark, d):
+    ends = fx.net(spark, d).agg(F.min("label").alias("low"), F.max("label").alias("high")).first()
+    within = F.col("prediction").between(ends["low"] - 1e-6, ends["high"] + 1e-6)
+    return rounded(_regressor_predictions(spark, d).select("row_id", "label", within.alias("holds")), "label")
 
 
 @register("forest_predictions_embeddings")
 def _(spark, d):
     rows = forest.assemble(fx.table(spark, d, "embeddings"), "vec_id", ["embedding"], "label")
     parts = split.assign_split(rows, "row_id", [1], stratify="label").drop("seed")
-    preds = forest.fit_predict(parts.where(~F.col("is_test")), parts.where("is_test"), "classification", trees=20)
+    preds = forest.fit_predict(parts.where(~F.col("is_test")), parts.where("is_test"), "classification")
     return score(preds.withColumn("seed", F.lit(1)), "classification", "accuracy")
 
 
 @register("forest_predictions_regressor")
 def _(spark, d):
-    rows = forest.assemble(fx.net(spark, d), "row_id", PRICES, "label")
-    parts = split.assign_split(rows, "row_id", [1]).drop("seed")
-    return forest.fit_predict(parts.where(~F.col("is_test")), parts.where("is_test"), "regression", trees=20)
+    return _regressor_predictions(spark, d)
 
 
 @register("forest_sweep_classification")
@@ -833,14 +863,14 @@ def _(spark, d):
 # net price, a function of the features, is learned.
 @register("forest_learns_net_price", """
     WITH n AS (SELECT (3 * count(*) + 9) // 10 AS held FROM lineitem)
-    SELECT row_number() OVER ()::INTEGER AS seed, held::BIGINT AS test_rows, true AS learned FROM n, range(2)""")
+    SELECT row_number() OVER ()::INTEGER AS seed, held::BIGINT AS test_rows, true AS learned FROM n, range(10)""")
 def _(spark, d):
     rows = forest.assemble(fx.net(spark, d), "row_id", PRICES, "label")
-    parts = split.assign_split(rows, "row_id", [1, 2])
+    parts = split.assign_split(rows, "row_id", SEEDS)
     found = None
-    for seed in (1, 2):
+    for seed in SEEDS:
         mine = parts.where(F.col("seed") == seed)
-        preds = forest.fit_predict(mine.where(~F.col("is_test")), mine.where("is_test"), "regression", trees=10)
+        preds = forest.fit_predict(mine.where(~F.col("is_test")), mine.where("is_test"), "regression")
         scored = preds.agg(F.count(F.lit(1)).alias("test_rows"), (metric_column("r2") > 0.95).alias("learned"))
         row = scored.select(F.lit(seed).alias("seed"), "test_rows", "learned")
         found = row if found is None else found.unionByName(row)
@@ -1136,25 +1166,25 @@ LINE_ROLE_COLUMNS = 'model, round(mae, 3) AS "MAE", round(rmse, 3) AS "RMSE", ro
 
 
 @register("compare_models_line", "WITH " + q.line_comparison_sql(
-    "SELECT 'Best' AS seed_role, 3 AS seed", NET_SOURCE, "row_id", "l_extendedprice", "label", 3) + """
+    "SELECT 'Best' AS seed_role, 3 AS seed", NET_SOURCE, "row_id", "l_extendedprice", "label", leaderboard.FOLDS) + """
     SELECT model, round(mae, 3) AS mae, round(rmse, 3) AS rmse, round(r2, 6) AS r2 FROM board""")
 def _(spark, d):
     found = leaderboard.compare_models(
-        fx.net(spark, d), "row_id", ["l_extendedprice"], "label", "regression", 3, folds=3, models=["Linear Regression", "Baseline"]
+        fx.net(spark, d), "row_id", ["l_extendedprice"], "label", "regression", 3, models=["Linear Regression", "Baseline"]
     )
     return rounded(rounded(found.select("model", "mae", "rmse", "r2"), "mae", "rmse", digits=3), "r2")
 
 
 @register("compare_models_for_seeds", ORDER_SCORES + ", " + q.line_comparison_sql(
     """SELECT 'Best' AS seed_role, best_seed AS seed FROM best UNION ALL SELECT 'Worst', worst_seed FROM worst
-    UNION ALL SELECT 'Most_Common', seeds[1] FROM common""", NET_SOURCE, "row_id", "l_extendedprice", "label", 2) + f"""
+    UNION ALL SELECT 'Most_Common', seeds[1] FROM common""", NET_SOURCE, "row_id", "l_extendedprice", "label", leaderboard.FOLDS) + f"""
     SELECT seed_role, seed::INTEGER AS seed, {LINE_ROLE_COLUMNS},
         row_number() OVER (PARTITION BY seed_role ORDER BY mae, model)::INTEGER AS rank, true AS selected FROM board""")
 def _(spark, d):
     results = _order_scores(spark, d)
     roles = leaderboard.pick_leaderboard_seeds(summary.summarize(results, "mae"))
     found = leaderboard.compare_models_for_seeds(
-        fx.net(spark, d), "row_id", ["l_extendedprice"], "label", "regression", roles, folds=2, models=["Linear Regression", "Baseline"],
+        fx.net(spark, d), "row_id", ["l_extendedprice"], "label", "regression", roles, models=["Linear Regression", "Baseline"],
     )
     ranked = leaderboard.rank_leaderboard(found, "mae").drop("seconds", "error")
     return rounded(rounded(ranked, "MAE", "RMSE", digits=3), "R2")
@@ -1208,9 +1238,23 @@ def _(spark, d):
     return read_json(spark, folder, "columns").select("c_custkey", "c_name", "c_acctbal")
 
 
-@register("load_table", "SELECT count(*) AS rows, round(sum(value), 4) AS total FROM events")
+@register("load_table", "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
 def _(spark, d):
-    return fx.table(spark, d, "events").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 4).alias("total"))
+    return rounded(fx.table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "value")
+
+
+@register("load_table_csv", CUSTOMER_SQL)
+def _(spark, d):
+    folder = shared_folder(spark, "load") + ".csv"
+    fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.option("header", True).csv(folder)
+    return load_table(spark, folder)
+
+
+@register("load_table_json", CUSTOMER_SQL)
+def _(spark, d):
+    folder = shared_folder(spark, "load") + ".json"
+    fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.json(folder)
+    return load_table(spark, folder)
 
 
 @register("write_leaderboards", f"{_line_leaderboard_sql()} SELECT seed_role, model, rank FROM k")
@@ -1230,18 +1274,40 @@ def _(spark, d):
 
 # --- whole analyses --------------------------------------------------------
 
+ORDER_SUGGESTIONS = q.suggestions_sql("SELECT * FROM orders", ["o_orderstatus", "o_orderdate", "o_orderpriority"], "o_orderkey")
+
+
 @register("describe_table", f"""
-    SELECT column_name, position::INTEGER AS position FROM ({q.profile_sql('customer', COLUMNS['customer'])})
-    WHERE {q.names_like(suggest.REMOVAL_NAME_PARTS)} OR (kind <> 'numeric' AND distinct_ratio > 0.8)""")
-def _(spark, d):
-    return analysis.describe_table(fx.table(spark, d, "customer"), "c_custkey")["suggested_removals"]
+    SELECT 'profile' AS part, column_name AS name, concat_ws('/', kind, rows, missing, distinct_count, values_text) AS detail
+    FROM ({_profile_sql('orders', 'o_orderkey')})
+    UNION ALL SELECT * FROM (SELECT 'preview', CAST(o_orderkey AS VARCHAR), concat_ws('/', o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)
+        FROM orders ORDER BY o_orderkey LIMIT 5)
+    UNION ALL SELECT 'suggested_targets', column_name, CAST(position AS VARCHAR) FROM ({_targets_sql('orders')})
+    UNION ALL SELECT 'suggested_removals', column_name, CAST(position AS VARCHAR) FROM ({q.profile_sql('orders', COLUMNS['orders'])})
+        WHERE {q.names_like(q.REMOVAL_PARTS)} OR (kind <> 'numeric' AND distinct_ratio > 0.8)
+    UNION ALL SELECT 'default_target', arg_max(column_name, position), '' FROM ({_targets_sql('orders')})
+    UNION ALL SELECT 'categorical_suggestions', variable_name, concat_ws('/', suggested_type, unique_values, reasoning) FROM ({ORDER_SUGGESTIONS})
+    UNION ALL SELECT 'default_configs', variable_name, unique_values FROM ({ORDER_SUGGESTIONS}) WHERE suggested_type = 'ordinal'""")
+def _(spark, d):
+    told = analysis.describe_table(fx.table(spark, d, "orders"), "o_orderkey")
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, "|"))
+    details = {
+        "profile": ("column_name", F.concat_ws("/", "kind", "rows", "missing", "distinct", listed("values"))),
+        "preview": ("o_orderkey", F.concat_ws("/", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")),
+        "suggested_targets": ("column_name", F.col("position").cast("string")),
+        "suggested_removals": ("column_name", F.col("position").cast("string")),
+        "default_target": ("column_name", F.lit("")),
+        "categorical_suggestions": ("variable_name", F.concat_ws("/", "suggested_type", F.array_join("unique_values", "|"), "reasoning")),
+        "default_configs": ("variable_name", F.array_join("value_ordering", "|")),
+    }
+    parts = [told[part].select(F.lit(part).alias("part"), F.col(name).alias("name"), detail.alias("detail")) for part, (name, detail) in details.items()]
+    return reduce(DataFrame.union, parts)
 
 
 @register("run_analysis")
 def _(spark, d):
     cfg = AnalysisConfig(
-        "toxic", "classification", "recall", iterations=10, remove_columns=["source"], id_col="doc_id",
-        trees=5, max_depth=3, skip_leaderboard=True,
+        "toxic", "classification", "recall", iterations=10, remove_columns=["source"], id_col="doc_id", skip_leaderboard=True,
     )
     return analysis.run_analysis(fx.toxic(spark, d), cfg)["ranking"]
 

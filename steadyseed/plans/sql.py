@@ -2,7 +2,40 @@
 
 from __future__ import annotations
 
-from steadyseed.operators import suggest
+# What the rules on names and values must say, written apart from the operators so that the two are compared.
+TARGET_PARTS = (
+    "target label class outcome result prediction approved success failure churned converted price value amount score rating revenue "
+    "sales profit loss cost gone left"
+).split()
+REMOVAL_PARTS = "id index key uuid guid timestamp date_created created_at updated_at modified_at".split()
+VALUE_RULES = """
+    yes, no -> 2 -> Binary classification pattern detected: ['yes', 'no']
+    true, false -> 2 -> Binary classification pattern detected: ['true', 'false']
+    0, 1 -> 2 -> Binary classification pattern detected: ['0', '1']
+    pass, fail -> 2 -> Binary classification pattern detected: ['pass', 'fail']
+    approved, rejected -> 2 -> Binary classification pattern detected: ['approved', 'rejected']
+    active, inactive -> 2 -> Binary classification pattern detected: ['active', 'inactive']
+    on, off -> 2 -> Binary classification pattern detected: ['on', 'off']
+    high, low -> 2 -> Binary classification pattern detected: ['high', 'low']
+    good, bad -> 2 -> Binary classification pattern detected: ['good', 'bad']
+    positive, negative -> 2 -> Binary classification pattern detected: ['positive', 'negative']
+    low, medium, high -> 2 -> Ordinal pattern detected: ['low', 'medium', 'high']
+    small, medium, large -> 2 -> Ordinal pattern detected: ['small', 'medium', 'large']
+    poor, fair, good, excellent -> 2 -> Ordinal pattern detected: ['poor', 'fair', 'good', 'excellent']
+    bad, average, good, excellent -> 2 -> Ordinal pattern detected: ['bad', 'average', 'good', 'excellent']
+    never, rarely, sometimes, often, always -> 2 -> Ordinal pattern detected: ['never', 'rarely', 'sometimes', 'often', 'always']
+    strongly disagree, disagree, neutral, agree, strongly agree -> 2 -> Ordinal pattern detected: ['strongly disagree', 'disagree', 'neutral', 'agree', 'strongly agree']
+    beginner, intermediate, advanced -> 2 -> Ordinal pattern detected: ['beginner', 'intermediate', 'advanced']
+    junior, senior -> 2 -> Ordinal pattern detected: ['junior', 'senior']
+    first, second, third -> 2 -> Ordinal pattern detected: ['first', 'second', 'third']
+    primary, secondary, tertiary -> 2 -> Ordinal pattern detected: ['primary', 'secondary', 'tertiary']
+    xs, s, m, l, xl, xxl -> 1 -> Size classification detected (XS, S, M, L, XL, etc.)
+    a, b, c, d, f -> 1 -> Grade/rating pattern detected (A, B, C, D, F)
+"""
+MONTH_NAMES = (
+    "january february march april may june july august september october november december jan feb mar apr jun jul aug sep oct nov dec"
+).split()
+DAY_NAMES = "monday tuesday wednesday thursday friday saturday sunday mon tue wed thu fri sat sun".split()
 
 
 def text(value: str) -> str:
@@ -72,24 +105,21 @@ def categorical_rule_sql(values: str, count: str) -> tuple[str, str]:
     def within(scale) -> str:
         return f"len(list_filter({values}, lambda v: NOT list_contains({listing(scale)}, v))) = 0"
 
-    for pair in suggest.BINARY_PAIRS:
-        rules.append((f"{within(pair)} AND len({values}) = 2", text(suggest.REASON_BINARY.format(str(list(pair))))))
-    for scale in suggest.ORDINAL_SCALES:
-        rules.append((f"{within(scale)} AND len({values}) >= 2", text(suggest.REASON_SCALE.format(str(list(scale))))))
+    for line in VALUE_RULES.strip().splitlines():
+        scale, least, reason = (part.strip() for part in line.split("->"))
+        rules.append((f"{within(scale.split(', '))} AND len({values}) >= {least}", text(reason)))
     number = (
         r"^[+-]?(([0-9](_?[0-9])*)(\.([0-9](_?[0-9])*)?)?|\.[0-9](_?[0-9])*)(e[+-]?[0-9](_?[0-9])*)?$"
         r"|^[+-]?(inf|infinity|nan)$"
     )
     rules += [
-        (within(suggest.SIZES), text(suggest.REASON_SIZE)),
-        (within(suggest.GRADES), text(suggest.REASON_GRADE)),
-        (f"len(list_filter({values}, lambda v: NOT regexp_matches(v, {text(number)}))) = 0", text(suggest.REASON_NUMBER)),
-        (within(suggest.MONTHS), text(suggest.REASON_MONTH)),
-        (within(suggest.WEEKDAYS), text(suggest.REASON_WEEKDAY)),
-        (f"{count} = 2", text(suggest.REASON_TWO)),
-        (f"{count} BETWEEN 3 AND 7", f"printf({text(suggest.REASON_FEW)}, {count})"),
+        (f"len(list_filter({values}, lambda v: NOT regexp_matches(v, {text(number)}))) = 0", "'Numeric strings detected - likely ordinal'"),
+        (within(MONTH_NAMES), "'Month names detected - chronological order'"),
+        (within(DAY_NAMES), "'Day names detected - chronological order'"),
+        (f"{count} = 2", "'Binary variable - assuming ordinal ordering'"),
+        (f"{count} BETWEEN 3 AND 7", f"printf('Small number of categories (%d) - likely ordinal', {count})"),
     ]
-    many = f"printf({text(suggest.REASON_MANY)}, {count})"
+    many = f"printf('Many categories (%d) - likely nominal', {count})"
     reason = "CASE " + " ".join(f"WHEN {test} THEN {why}" for test, why in rules) + f" ELSE {many} END"
     kind = "CASE " + " ".join(f"WHEN {test} THEN 'ordinal'" for test, _ in rules) + " ELSE 'nominal' END"
     return kind, reason
@@ -169,3 +199,25 @@ def nearest_sql(source: str, row_id: str, distance: str, asked: str, same_class:
 def unit_sql(seed: int, *parts: str) -> str:
     joined = " || ':' || ".join([f"'{seed}'", *parts])
     return f"(('0x' || substr(md5({joined}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def linear_imputation_sql(source: str, row_id: str, a: str, b: str, rounds: int, tolerance: str) -> str:
+    """Two columns whose gaps are predicted from each other in turn, fewest gaps first, until nothing moves by the tolerance."""
+    def fit(rows: str, y: str, x: str) -> str:
+        return f"(SELECT regr_slope({y}, {x}) AS slope, avg({x}) AS mx, avg({y}) AS my FROM {rows} WHERE {y} IS NOT NULL)"
+
+    steps = [f"""
+    g AS MATERIALIZED (SELECT {row_id} AS id, {a} AS a, {b} AS b FROM ({source})),
+    o AS MATERIALIZED (SELECT count(a) >= count(b) AS a_first, {tolerance} * greatest(max(abs(a)), max(abs(b))) AS least, avg(a) AS ma, avg(b) AS mb FROM g),
+    s0 AS MATERIALIZED (SELECT id, a, b, coalesce(a, ma) AS x, coalesce(b, mb) AS y, true AS live FROM g, o)"""]
+    for k in range(rounds):
+        steps.append(f"""
+    u{k} AS MATERIALIZED (SELECT s.*, CASE WHEN a_first THEN coalesce(a, fa.my + fa.slope * (y - fa.mx)) ELSE x END AS x1,
+        CASE WHEN a_first THEN y ELSE coalesce(b, fb.my + fb.slope * (x - fb.mx)) END AS y1
+        FROM s{k} s, o, {fit(f's{k}', 'a', 'y')} fa, {fit(f's{k}', 'b', 'x')} fb),
+    v{k} AS MATERIALIZED (SELECT u.*, CASE WHEN a_first THEN x1 ELSE coalesce(a, fa.my + fa.slope * (y1 - fa.mx)) END AS x2,
+        CASE WHEN a_first THEN coalesce(b, fb.my + fb.slope * (x1 - fb.mx)) ELSE y1 END AS y2
+        FROM u{k} u, o, {fit(f'u{k}', 'a', 'y1')} fa, {fit(f'u{k}', 'b', 'x1')} fb),
+    s{k + 1} AS MATERIALIZED (SELECT id, a, b, CASE WHEN live THEN x2 ELSE x END AS x, CASE WHEN live THEN y2 ELSE y END AS y,
+        live AND moved >= least AS live FROM v{k}, o, (SELECT max(greatest(abs(x2 - x), abs(y2 - y))) AS moved FROM v{k}))""")
+    return f"WITH {','.join(steps)} SELECT id AS {row_id}, round(x, 6) AS {a}, round(y, 6) AS {b} FROM s{rounds}"
