@@ -10,6 +10,8 @@ from steadyseed.llm.common import col, text_of
 
 PIECE = r"[^\x20\x09-\x0D]{1,8}"  # the units: words, longer ones in pieces of eight letters
 UNITS = 3  # units of a k-mer
+LONG = r"[^\x20\x09-\x0D]{25,}"  # runs longer than a k-mer of whole pieces: cut by content
+SEEN, ONE_IN, MOST_LETTERS = 4, 8, 64  # a cut follows one in so many groups of four letters; no piece is longer than 64
 BIN_BITS = 6  # 64 components
 TUPLE = 2  # k-mers of a component
 POSITION_BITS, KEY_BITS = 27, 30
@@ -31,9 +33,36 @@ def run_starts(sorted_: Column, shift: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), begins)
 
 
+def content_pieces(run: Column) -> Column:
+    """Hashes of the pieces of a run without white space, cut after letters whose hash with those before says so.
+
+    An edit moves the cuts next to it only, wherever in the run it is.
+    """
+    def pieces(letters: Column) -> Column:
+        cut_before = lambda i: (i == 0) | (F.pmod(F.xxhash64(F.slice(letters, F.greatest(i - SEEN, F.lit(0)) + 1, F.least(i, F.lit(SEEN)))), F.lit(ONE_IN)) == 0)
+        cuts = F.filter(F.sequence(F.lit(0), F.size(letters) - 1), cut_before)
+        starts = let(cuts, lambda b: F.flatten(F.transform(
+            b, lambda at, j: F.sequence(at, F.coalesce(F.get(b, j + 1), F.size(letters)) - 1, F.lit(MOST_LETTERS))
+        )))
+        return let(starts, lambda b: F.transform(
+            b, lambda at, j: F.xxhash64(F.array_join(F.slice(letters, at + 1, F.coalesce(F.get(b, j + 1), F.size(letters)) - at), ""))
+        ))
+
+    return let(F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0)), pieces)
+
+
+def unit_hashes(text: Column) -> Column:
+    """Hashes of the units in text order."""
+    units = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    mixed = F.flatten(F.transform(
+        units(f"{LONG}|{PIECE}"), lambda unit: F.when(F.char_length(unit) > 24, content_pieces(unit)).otherwise(F.array(F.xxhash64(unit)))
+    ))
+    return F.when(text.rlike(LONG), mixed).otherwise(F.transform(units(PIECE), lambda unit: F.xxhash64(unit)))
+
+
 def kmers(text: Column) -> Column:
     """Hashes of all runs of ``UNITS`` units in text order; a shorter text is one run."""
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda unit: F.xxhash64(unit))
+    hashes = unit_hashes(text)
     return let(hashes, lambda u: F.when(F.size(u) > 0, F.transform(
         F.sequence(F.lit(0), F.greatest(F.size(u) - UNITS, F.lit(0))), lambda i: F.xxhash64(*[F.get(u, i + k) for k in range(UNITS)])
     )).otherwise(F.array().cast("array<bigint>")))

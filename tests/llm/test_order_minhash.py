@@ -1,6 +1,8 @@
 from collections import Counter
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -57,6 +59,28 @@ def test_order_and_edits_are_felt(spark):
     assert near("same", "other") == near("same", "back") == 0
 
 
+def test_edits_of_long_unspaced_texts(spark):
+    """A letter more or less at the start of a run without white space changes little, in any script."""
+    draw = random.Random(7)
+    alphabets = {"cjk": [chr(0x4E00 + i) for i in range(3000)], "base64": string.ascii_letters + string.digits + "+/", "emoji": [chr(0x1F600 + i) for i in range(60)], "bits": "01"}
+    rows = []
+    for name, letters in alphabets.items():
+        run = "".join(draw.choices(letters, k=5000))
+        rows += [(name, k, run, t) for k, t in {
+            "same": run, "insert": letters[3 % len(letters)] + run, "delete": run[1:], "between": "word " + run[:2500] + letters[0] + run[2500:], "other": "".join(draw.choices(letters, k=5000)),
+        }.items()]
+    sign = lambda c: order_minhash.signature(order_minhash.F.col(c))
+    table = spark.createDataFrame(rows, "name string, edit string, a string, b string").withColumns({"a": sign("a"), "b": sign("b")})
+    near = {(r.name, r.edit): r.near for r in table.select("name", "edit", order_minhash.likeness(order_minhash.F.col("a"), order_minhash.F.col("b")).alias("near")).collect()}
+    for name in alphabets:
+        assert near[name, "same"] == 1
+        assert min(near[name, k] for k in ("insert", "delete", "between")) > 0.85, near
+        assert near[name, "other"] < 0.2
+    odd = ["=" * 200, "ab" * 500, "x" * 24, "x" * 25]
+    found = spark.createDataFrame([(t,) for t in odd], "text string").select(order_minhash.F.size(order_minhash.kmers(order_minhash.F.col("text"))).alias("n")).collect()
+    assert all(r.n >= 1 for r in found)
+
+
 def test_odd_rows(odd, none, documents):
     got = order_minhash.compare_documents(odd).collect()
     assert len(got) == len(ODD)
