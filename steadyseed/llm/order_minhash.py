@@ -91,11 +91,16 @@ def numbered_keys(runs: Column) -> Column:
 def signature(text: Column) -> Column:
     """Components in order: the component's number and 32 bits over the keys of its least k-mers, taken in text order.
 
-    A component without k-mers is left out; a text without words has none.
+    A component with fewer than ``TUPLE`` k-mers takes the least ones of the components
+    after it (the first follows the last), so that it too holds an order. A component
+    without k-mers is left out; a text without words has none.
     """
     def components(s: Column) -> Column:
         def component(b: Column, at: Column, j: Column) -> Column:
-            least = F.slice(s, at + 1, F.least(F.lit(TUPLE), F.coalesce(F.get(b, j + 1), F.size(s)) - at))
+            own = F.slice(s, at + 1, F.least(F.lit(TUPLE), F.coalesce(F.get(b, j + 1), F.size(s)) - at))
+            least = F.when(F.size(own) == TUPLE, own).otherwise(F.transform(
+                F.sequence(F.lit(0), F.least(F.lit(TUPLE), F.size(s)) - 1), lambda k: F.get(s, (at + k) % F.size(s))
+            ))
             in_order = F.sort_array(F.transform(least, lambda x: F.shiftleft(low_bits(x, POSITION_BITS), KEY_BITS).bitwiseOR(
                 low_bits(F.shiftright(x, POSITION_BITS), KEY_BITS)
             )))

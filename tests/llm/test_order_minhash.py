@@ -81,6 +81,20 @@ def test_edits_of_long_unspaced_texts(spark):
     assert all(r.n >= 1 for r in found)
 
 
+def test_order_is_felt_in_short_texts(spark):
+    """Halves swapped: as far apart as with a hash of its own for each component, about a half or less."""
+    rows = []
+    for n in (30, 60, 90, 130, 150):
+        for k in range(20):
+            words = [f"w{k}x{n}y{i}" for i in range(n)]
+            rows.append((n, " ".join(words), " ".join(words[n // 2 :] + words[: n // 2]), " ".join(words[: n // 2] + ["new"] + words[n // 2 + 1 :])))
+    sign = lambda c: order_minhash.signature(order_minhash.F.col(c))
+    table = spark.createDataFrame(rows, "n int, a string, swapped string, one string").withColumns({c: sign(c) for c in ("a", "swapped", "one")})
+    near = lambda c: order_minhash.F.avg(order_minhash.likeness(order_minhash.F.col("a"), order_minhash.F.col(c))).alias(c)
+    for r in table.groupBy("n").agg(near("swapped"), near("one")).collect():
+        assert 0.2 < r.swapped < 0.6 and r.swapped < r.one, r
+
+
 def test_odd_rows(odd, none, documents):
     got = order_minhash.compare_documents(odd).collect()
     assert len(got) == len(ODD)
