@@ -1145,20 +1145,12 @@ def _(spark, d):
 
 @register("compare_models_classification")
 def _(spark, d):
-    found = leaderboard.compare_models(
-        fx.big(spark, d), "row_id", PRICES, "label", "classification", 1, folds=2, trees=10,
-        models=["Logistic Regression", "Decision Tree Classifier", "Naive Bayes", "Baseline"],
-    )
-    return found.drop("seconds")
+    return leaderboard.compare_models(fx.big(spark, d), "row_id", PRICES, "label", "classification", 1).drop("seconds")
 
 
 @register("compare_models_regression")
 def _(spark, d):
-    found = leaderboard.compare_models(
-        fx.net(spark, d), "row_id", PRICES, "label", "regression", 1, folds=2, trees=10,
-        models=["Linear Regression", "Ridge Regression", "Decision Tree Regressor", "Baseline"],
-    )
-    return found.drop("seconds")
+    return leaderboard.compare_models(fx.net(spark, d), "row_id", PRICES, "label", "regression", 1).drop("seconds")
 
 
 NET_SOURCE = f"SELECT {fx.LINE_ID_SQL} AS row_id, l_extendedprice, {fx.NET} AS label FROM lineitem"
@@ -1306,10 +1298,13 @@ def _(spark, d):
 
 @register("run_analysis")
 def _(spark, d):
-    cfg = AnalysisConfig(
-        "toxic", "classification", "recall", iterations=10, remove_columns=["source"], id_col="doc_id", skip_leaderboard=True,
-    )
-    return analysis.run_analysis(fx.toxic(spark, d), cfg)["ranking"]
+    cfg = AnalysisConfig("toxic", "classification", "recall", iterations=10, remove_columns=["source"], id_col="doc_id")
+    told = analysis.run_analysis(fx.toxic(spark, d), cfg)
+    parts = [
+        rows.select(F.lit(part).alias("part"), F.to_json(F.struct(*[c for c in rows.columns if c not in ("seconds", "execution_time")])).alias("row"))
+        for part, rows in told.items()
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 @register("mean_error_stability", f"""{ORDER_SCORES.replace("0) AS score", "4) AS score")}

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, compare
+from steadyseed.operators import leaderboard
+from steadyseed.plans import analysis
 
 SAMPLE = [
     "column_profile_orders", "suggest_targets_labels", "categorical_suggestions_all_rules", "validate_categorical_configs",
@@ -47,3 +49,24 @@ def test_entry(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_comparisons_and_the_analysis_are_whole(spark, tables, monkeypatch):
+    asked = []
+
+    def compare_models(df, *args, **settings):
+        asked.append(settings)
+        return spark.createDataFrame([("Baseline", 1.0)], "model string, seconds double")
+
+    def run_analysis(df, cfg, *args, **settings):
+        asked.append(settings)
+        assert not cfg.skip_leaderboard and not cfg.skip_report and cfg.trees == leaderboard.TREES
+        return {"ranking": spark.createDataFrame([(1, 0.5)], "seed int, score double"), "leaderboard": spark.createDataFrame([("Baseline", 9.0)], "model string, seconds double")}
+
+    monkeypatch.setattr(leaderboard, "compare_models", compare_models)
+    monkeypatch.setattr(analysis, "run_analysis", run_analysis)
+    for name in ("compare_models_classification", "compare_models_regression"):
+        assert entry.queries()[name](spark, tables).columns == ["model"]
+    rows = {(r.part, r.row) for r in entry.queries()["run_analysis"](spark, tables).collect()}
+    assert rows == {("ranking", '{"seed":1,"score":0.5}'), ("leaderboard", '{"model":"Baseline"}')}
+    assert asked == [{}, {}, {}]  # all families, folds and trees
