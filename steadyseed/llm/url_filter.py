@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from steadyseed.llm.common import col, saved, text_of
 
 DAMPING = 0.85
-ROUNDS = 20
+MOST_ROUNDS = 1000  # more is an error; the change shrinks by the damping, to the tolerance in about 60
 TOLERANCE = 1e-4
 THRESHOLD = 0.5
+ROWS_PER_FILE = 100_000
 ALLOW, BLOCK = "allow", "block"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: The target of a link; quoted or bare.
@@ -89,38 +90,42 @@ def seeds_of(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataF
     return counts.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("pages") / F.col("all_pages")).alias("seed"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of trust along the edges, of distrust against them.
 
     Both start at their seeds and return there with probability 1 - ``damping``, and
     from hosts without further edges. Each round is a join of the ranks with the
     edges and a sum combined map-side; ranks are written to the shared folder. It
-    ends when the ranks of neither kind move by more than ``tolerance`` in sum, or
-    after ``rounds``.
+    ends when the ranks of both kinds move by no more than ``tolerance`` in sum and
+    no host is reached for the first time, or earlier after a caller's ``rounds``.
+    Ranks that have not settled after ``MOST_ROUNDS`` are an error.
     """
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight").unionByName(
         edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "weight")
     )
-    ways = saved(ways, "ways")
+    ways, seeds = saved(ways, "ways"), saved(seeds, "seeds")
+    files = max(1, (ways.count() + seeds.count()) // ROWS_PER_FILE)  # of each step, whatever the number of shuffle partitions
     out = ways.groupBy("kind", "host").agg(F.sum("weight").alias("out"))
-    ways = saved(ways.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("out")).alias("share")), "shares")
-    seeds = saved(seeds, "seeds")
+    ways = saved(ways.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("out")).alias("share")).coalesce(files), "shares")
+    seeds = seeds.coalesce(files)
     ranks = seeds.withColumnRenamed("seed", "rank")
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         moved = ranks.join(ways, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        moved = saved(moved, "moved")
+        moved = saved(moved.coalesce(files), "moved")
         kept = {r.kind: r.kept for r in moved.groupBy("kind").agg(F.sum("got").alias("kept")).collect()}  # at most two rows
         back = F.when(F.col("kind") == "trust", F.lit(1 - damping * kept.get("trust", 0.0))).otherwise(F.lit(1 - damping * kept.get("distrust", 0.0)))
-        new = seeds.join(moved, ["kind", "host"], "full").select(
-            "kind", "host", (back * F.coalesce("seed", F.lit(0.0)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
-        )
-        new = saved(new, "ranks")
-        change = new.withColumnRenamed("rank", "now").join(ranks, ["kind", "host"], "full").agg(
-            F.sum(F.abs(F.coalesce("now", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0))))
-        ).first()[0]
-        ranks = new
-        if change is None or change <= tolerance:
+        none = F.lit(None).cast("double")
+        new = seeds.select("kind", "host", (back * F.col("seed")).alias("rank"), none.alias("was")).unionByName(
+            moved.select("kind", "host", (damping * F.col("got")).alias("rank"), none.alias("was"))
+        ).unionByName(ranks.select("kind", "host", none.alias("rank"), F.col("rank").alias("was")))
+        new = saved(new.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was")).coalesce(files), "ranks")
+        moves = new.agg(F.sum(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0)))).alias("change"), F.count_if(F.col("was").isNull()).alias("reached")).first()
+        ranks = new.drop("was")
+        if moves.change is None or moves.change <= tolerance and not moves.reached:
             break
+    else:
+        if rounds is None:
+            raise RuntimeError(f"ranks of hosts have not settled in {MOST_ROUNDS} rounds: they still move by {moves.change}, {moves.reached} hosts are new")
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     return ranks.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 

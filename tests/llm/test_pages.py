@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from steadyseed.llm import html_text, url_filter
 from steadyseed.llm.queries import URL_RULES
 
@@ -105,3 +107,19 @@ def test_ranks_equal_plain_iteration(spark):
     for r in got:
         assert math.isclose(r.trust, trust.get(r.host, 0), abs_tol=1e-12) and math.isclose(r.distrust, distrust.get(r.host, 0), abs_tol=1e-12)
     assert math.isclose(sum(r.trust for r in got), 1) and math.isclose(sum(r.distrust for r in got), 1)
+
+
+def test_ranks_settle_and_reach_the_end_of_a_chain(spark, monkeypatch):
+    rules = [url_filter.Rule("block", "h30.net", "/"), url_filter.Rule("allow", "g0.net", "/")]
+    chain = [(i, f"http://h{i}.net/", f"<a href='http://h{i + 1}.net/'>") for i in range(30)] + [(30, "http://h30.net/", "")]
+    ring = [(100 + i, f"http://g{i}.net/", f"<a href='http://g{(i + 1) % 3}.net/'>") for i in range(3)]
+    pages = spark.createDataFrame(chain + ring, "page_id int, url string, html string").coalesce(1)
+    edges = {(r.src, r.dst): r.weight for r in url_filter.host_edges(pages).collect()}
+    got = {r.page_id: r for r in url_filter.judge(pages, rules).collect()}
+    assert all(got[i].verdict == "block" and got[i].distrust > 0 for i in range(31))
+    trust = plain_spread(edges, {"g0.net": 1.0}, 0.85, 300)
+    distrust = plain_spread({(v, u): w for (u, v), w in edges.items()}, {"h30.net": 1.0}, 0.85, 300)
+    assert sum(abs(r.trust - trust.get(r.host, 0)) + abs(r.distrust - distrust.get(r.host, 0)) for r in got.values()) < 1e-3
+    monkeypatch.setattr(url_filter, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="not settled in 3 rounds"):
+        url_filter.judge(pages, rules)
