@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steadyseed.llm import (
+    chat_format,
+    conversation_repair,
     exact_dedup,
+    fill_in_middle,
     html_text,
     mixing,
     order_minhash,
@@ -96,3 +99,21 @@ def _(spark, d):
 @register("op2_url_filter")
 def _(spark, d):
     return url_filter.judge(read(spark, d, "pages"), URL_RULES)
+
+
+@register("op11_conversation_repair", conversation_repair.oracle_sql())
+def _(spark, d):
+    return conversation_repair.report(conversation_repair.damaged(read(spark, d, "conversations")), present_col="present")
+
+
+@register("op12_chat_format", chat_format.oracle_sql())
+def _(spark, d):
+    records = chat_format.as_records(chat_format.with_hard_conversation(read(spark, d, "conversations")))
+    return chat_format.read_back(chat_format.format_records(records))
+
+
+@register("op13_fill_in_middle", fill_in_middle.oracle_sql())
+def _(spark, d):
+    cut = fill_in_middle.transform(read(spark, d, "documents"))
+    restored = F.sha2(fill_in_middle.restore(F.col("output"), F.col("form")).cast("binary"), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restored.alias("restored_sha256"))
