@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from steadyseed.functions.columns import col
-from steadyseed.operators.layout import fixed_layout
+from steadyseed.operators import trees as level_trees
+from steadyseed.operators.layout import fixed_layout, partitions_for
 
 # Size and seed of the forest whose split sensitivity is measured.
 TREES, MODEL_SEED, MAX_DEPTH = 100, 1, 5
@@ -50,14 +49,9 @@ def class_of(classes: list, column: Column) -> Column:
     return F.element_at(F.array(*[F.lit(float(c)) for c in classes]), column.cast("int") + 1)
 
 
-def forest(problem_type: str, trees: int = TREES, max_depth: int = MAX_DEPTH, seed: int = MODEL_SEED):
-    if problem_type == "classification":
-        return RandomForestClassifier(
-            numTrees=trees, maxDepth=max_depth, seed=seed, featureSubsetStrategy="sqrt", labelCol="__y",
-        )
-    return RandomForestRegressor(
-        numTrees=trees, maxDepth=max_depth, seed=seed, featureSubsetStrategy="all", labelCol="__y",
-    )
+def forest(classes: int, trees: int = TREES, max_depth: int = MAX_DEPTH, seed: int = MODEL_SEED, bagging: bool = True) -> level_trees.Growth:
+    """A forest of so many classes (0: a regression): square root of the features per node, or all."""
+    return level_trees.Growth(trees, max_depth, classes, bagging, "sqrt" if classes else "all", seed=seed)
 
 
 def fit_predict(
@@ -69,24 +63,29 @@ def fit_predict(
     max_depth: int = MAX_DEPTH,
     seed: int = MODEL_SEED,
     classes: list | None = None,
-    laid_out: bool = False,
+    bagging: bool = True,
 ) -> DataFrame:
-    """``(row_id, label, prediction)`` of the test rows.
-
-    Inputs are ``assemble``d rows. Training rows are brought into the fixed
-    layout first, unless ``laid_out`` says that they already are.
-    """
+    """``(row_id, label, prediction)`` of the test rows; inputs are ``assemble``d rows."""
     if kind == "baseline":
         value = baseline_value(train, problem_type).scalar()
         return test.select("row_id", "label", value.alias("prediction"))
     if problem_type == "classification" and classes is None:
         classes = sorted(r["label"] for r in train.select("label").distinct().collect())
     indexed = train.select("row_id", "label", "features", target_column(classes))
-    if not laid_out:
-        indexed = fixed_layout(indexed, "row_id", indexed.count())
-    model = forest(problem_type, trees, max_depth, seed).fit(indexed)
+    n = indexed.count()
+    laid_out = fixed_layout(indexed, "row_id", n).persist()
+    try:
+        cuts = level_trees.cuts_of(laid_out)
+        known = level_trees.prepared(laid_out, F.array(F.lit(True)), cuts)
+        growth = forest(len(classes or []), trees, max_depth, seed, bagging)
+        model = level_trees.Model(growth, level_trees.grow(known, 1, max(len(cuts), 1), growth, partitions_for(n)))
+    finally:
+        laid_out.unpersist()
+    unseen = test.select("row_id", "features", F.col("label").cast("double").alias("__y"))
+    asked = level_trees.prepared(unseen, F.array(F.lit(False)), cuts)
+    found = level_trees.predictions(asked, {"forest": model}, with_ids=True)
     prediction = class_of(classes, F.col("prediction")) if classes else F.col("prediction")
-    return model.transform(test).select("row_id", "label", prediction.alias("prediction"))
+    return found.select("row_id", F.col("y").alias("label"), prediction.alias("prediction"))
 
 
 def baseline_value(train: DataFrame, problem_type: str, by: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 from multiprocessing.pool import ThreadPool
 import time
 
@@ -12,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steadyseed.config import METRIC_DISPLAY, default_metric, higher_is_better, metrics_for
 from steadyseed.functions.inline import inline_rows
 from steadyseed.functions.metrics import all_metrics, check_binary_labels
+from steadyseed.operators import moments, trees as level_trees
 from steadyseed.operators.encode import encode_features
-from steadyseed.operators.forest import assemble, baseline_value, class_of, target_column
+from steadyseed.operators.forest import MAX_DEPTH, MODEL_SEED, assemble, class_of, forest, target_column
 from steadyseed.operators.impute import impute_mean
-from steadyseed.operators.layout import fixed_layout
+from steadyseed.operators.layout import fixed_layout, partitions_for
 from steadyseed.operators.split import class_sizes, collect_cutoffs, hash_cutoffs, part_column, quotas
 
 # Share used for training, folds, models selected.
@@ -45,36 +48,52 @@ def leaderboard_input(df: DataFrame, removals: list[str], target: str, row_id: s
     return filled, [c for c in filled.columns if c not in (row_id, target)]
 
 
-def families(problem_type: str, features: int, classes: int, trees: int = TREES, seed: int = 1) -> dict:
-    """Name to estimator; ``Baseline`` is the majority class or the mean."""
+#: Families grown by ``trees``, all folds in the same scans.
+TREE_FAMILIES = ("Decision Tree", "Random Forest", "Extra Trees", "Gradient Boosting", "Ada Boost")
+
+
+def families(problem_type: str, features: int, classes: int, seed: int = 1) -> dict:
+    """Name to estimator of the families that are fitted fold by fold."""
     y = {"labelCol": "__y"}
-    if problem_type == "classification":
-        logistic = mlc.LogisticRegression(**y)
-        found = {
-            "Logistic Regression": logistic,
-            "Decision Tree Classifier": mlc.DecisionTreeClassifier(seed=seed, **y),
-            "Random Forest Classifier": mlc.RandomForestClassifier(numTrees=trees, seed=seed, **y),
-            "Naive Bayes": mlc.NaiveBayes(modelType="gaussian", **y),
-            "Linear SVC": mlc.OneVsRest(classifier=mlc.LinearSVC(**y), **y) if classes > 2 else mlc.LinearSVC(**y),
-            "One vs Rest Logistic": mlc.OneVsRest(classifier=logistic, **y),
-            "Multilayer Perceptron": mlc.MultilayerPerceptronClassifier(
-                layers=[features, max(4, (features + classes) // 2), classes], seed=seed, maxIter=50, **y),
-        }
-        if classes == 2:
-            found["Gradient Boosting Classifier"] = mlc.GBTClassifier(seed=seed, **y)
-            found["Factorization Machine"] = mlc.FMClassifier(seed=seed, **y)
-        return found
-    return {
-        "Linear Regression": mlr.LinearRegression(**y),
-        "Ridge Regression": mlr.LinearRegression(regParam=1.0, elasticNetParam=0.0, **y),
-        "Lasso Regression": mlr.LinearRegression(regParam=1.0, elasticNetParam=1.0, **y),
-        "Elastic Net": mlr.LinearRegression(regParam=1.0, elasticNetParam=0.5, **y),
-        "Generalized Linear Regression": mlr.GeneralizedLinearRegression(family="gaussian", **y),
-        "Decision Tree Regressor": mlr.DecisionTreeRegressor(seed=seed, **y),
-        "Random Forest Regressor": mlr.RandomForestRegressor(numTrees=trees, seed=seed, **y),
-        "Gradient Boosting Regressor": mlr.GBTRegressor(seed=seed, **y),
-        "Factorization Machine": mlr.FMRegressor(seed=seed, **y),
+    if problem_type != "classification":
+        return {"Factorization Machine": mlr.FMRegressor(seed=seed, **y)}
+    logistic = mlc.LogisticRegression(**y)
+    # A little regularisation and a bound on its steps: without them the hinge loss has no single
+    # minimum, and its line search goes on failing until the last of a hundred steps.
+    svc = mlc.LinearSVC(regParam=1e-4, maxIter=50, tol=1e-4, **y)
+    found = {
+        "Logistic Regression": logistic,
+        "Linear SVC": mlc.OneVsRest(classifier=svc, **y) if classes > 2 else svc,
+        "One vs Rest Logistic": mlc.OneVsRest(classifier=logistic, **y),
+        "Multilayer Perceptron": mlc.MultilayerPerceptronClassifier(
+            layers=[features, max(4, (features + classes) // 2), classes], seed=seed, maxIter=50, **y),
     }
+    if classes == 2:
+        found["Factorization Machine"] = mlc.FMClassifier(seed=seed, **y)
+    return found
+
+
+def tree_families(problem_type: str, classes: int) -> list[str]:
+    kind = "Classifier" if problem_type == "classification" else "Regressor"
+    known = [f"{n} {kind}" for n in TREE_FAMILIES]
+    # gradient boosting here knows two classes, reweighted stumps know classes only
+    left_out = "Ada Boost Regressor" if problem_type != "classification" else "Gradient Boosting Classifier" if classes != 2 else None
+    return [n for n in known if n != left_out]
+
+
+def _grown(name: str, cells: DataFrame, values: DataFrame, folds: int, width: int, classes: int, trees: int, partitions: int, seed: int) -> level_trees.Model:
+    """One family of trees for all folds; ``values`` are the rows with features that are not cut into bins."""
+    plain = level_trees.Growth(1, MAX_DEPTH, classes, seed=seed)
+    if name.startswith("Gradient"):
+        return level_trees.gradient_boosting(cells, folds, width, plain, partitions)
+    if name.startswith("Ada"):
+        return level_trees.reweighted_stumps(cells, folds, width, classes, partitions)
+    growth = plain
+    if name.startswith("Random"):
+        growth = forest(classes, trees, MAX_DEPTH, seed)
+    elif name.startswith("Extra"):
+        growth = replace(forest(classes, trees, MAX_DEPTH, seed, bagging=False), drawn=True)
+    return level_trees.Model(growth, level_trees.grow(values if growth.drawn else cells, folds, width, growth, partitions))
 
 
 def _fold_ranks(sizes: dict, folds: int) -> dict:
@@ -97,7 +116,7 @@ def compare_models(
     models: list[str] | None = None,
     folds: int = FOLDS,
     trees: int = TREES,
-    parallelism: int = 4,
+    parallelism: int = 8,
     average: str | None = None,
 ) -> DataFrame:
     """``(model, metric columns, seconds, error)``, best first by the metric.
@@ -107,78 +126,163 @@ def compare_models(
 
     Families are cross-validated on the 70 % training part of the seed's split;
     part and folds are ranges of the seed's hash ranking, so they need no shuffle.
-    A family that fails gives a row with its error.
+    Linear families and discriminants learn from one scan for all folds
+    (``moments``), trees from one scan per level for all folds (``trees``); the
+    others are fitted fold by fold. All of these share one pool of ``parallelism``
+    threads, so the slowest family does not wait for others. ``seconds`` is the time
+    from a family's first step to its last; those learned together share it. A
+    family that fails gives a row with its error.
     """
-    spark = df.sparkSession
     metric = (metric or default_metric(problem_type)).lower()
+    found = _compared(df, row_id, features, label, problem_type, [seed], models, folds, trees, parallelism, average)
+    order = F.col(metric).desc_nulls_last() if higher_is_better(metric) else F.col(metric).asc_nulls_last()
+    return found.drop("seed").orderBy(order, "model")
+
+
+def _compared(
+    df: DataFrame, row_id: str, features: list[str], label: str, problem_type: str, seeds: list[int], models: list[str] | None,
+    folds: int, trees: int, parallelism: int, average: str | None,
+) -> DataFrame:
+    """``compare_models`` for all seeds at once, with ``seed``: fold f of the k-th seed is part k * folds + f."""
+    spark = df.sparkSession
     stratify = "label" if problem_type == "classification" else None
-    laid_out = fixed_layout(assemble(df, row_id, features, label), "row_id", df.count()).persist()
+    n = df.count()
+    laid_out = fixed_layout(assemble(df, row_id, features, label), "row_id", n).persist()
     sizes = class_sizes(laid_out, stratify)
     classes = list(sizes) if stratify else []
     ranks = _fold_ranks(sizes, folds)
-    cutoffs = collect_cutoffs(hash_cutoffs(laid_out, "row_id", [seed], ranks, stratify, sizes=sizes)).get(seed, {})
-    part = part_column(seed, "row_id", stratify, cutoffs, folds)
-    training = laid_out.select(
-        "row_id", "label", target_column(classes), "features", part.alias("part")
-    ).where(F.col("part") > 0).persist()
+    cutoffs = collect_cutoffs(hash_cutoffs(laid_out, "row_id", seeds, ranks, stratify, sizes=sizes))
+    local = F.array(*[part_column(s, "row_id", stratify, cutoffs.get(s, {}), folds) for s in seeds])
+    rows = laid_out.select("row_id", "label", target_column(classes), "features", local.alias("parts")).persist()
     if average is None:
         average = "binary" if not stratify or len(classes) <= 2 and 1 in classes else "macro"
-    for name in metrics_for(problem_type):
+    names = metrics_for(problem_type)
+    for name in names:
         check_binary_labels(classes, name, average)
-    width = len(training.select("features").first()["features"])
-    candidates = {**families(problem_type, width, len(classes), trees), "Baseline": None}
-    chosen = {n: e for n, e in candidates.items() if models is None or n in models}
-
-    def one(name: str, fold: int) -> DataFrame:
-        learn, check = training.where(F.col("part") != fold), training.where(F.col("part") == fold)
-        if chosen[name] is None:
-            guess = baseline_value(learn, problem_type).scalar()
-            return check.select("label", guess.alias("prediction"))
-        prediction = chosen[name].copy().fit(learn).transform(check)
-        value: Column = class_of(classes, F.col("prediction")) if classes else F.col("prediction")
-        return prediction.select("label", value.alias("prediction"))
-
-    def run(name: str) -> tuple:
+    width, partitions, parts = len(rows.select("features").first()["features"]), partitions_for(n), len(seeds) * folds
+    everywhere = F.posexplode("parts").alias("at", "local")
+    training = rows.select("label", "features", everywhere).where(F.col("local") > 0).select(
+        "label", "features", (F.col("at") * folds + F.col("local")).alias("part")
+    )
+    by_fold = families(problem_type, width, len(classes))
+    from_moments = list(moments.families(problem_type)) if moments.fits_in_tasks(width, parts, len(classes)) else []
+
+    def wanted(known) -> list[str]:
+        return [x for x in known if models is None or x in models]
+
+    grown, fitted, learned = wanted(tree_families(problem_type, len(classes))), wanted(by_fold), wanted(from_moments)
+    totals: dict[tuple, dict] = {}
+    errors: dict[str, str] = {}
+    times: dict[str, list[float]] = {}
+
+    def step(own: list[str], work: Callable[[], None]) -> None:
+        """One piece of work for the families ``own``: keeps its time, and an error if it fails."""
         started = time.monotonic()
-        totals = {m: 0.0 for m in metrics_for(problem_type)}
         try:
-            for fold in range(1, folds + 1):
-                row = all_metrics(one(name, fold), problem_type, average=average).first()
-                for m in totals:
-                    totals[m] += row[m] / folds
+            work()
         except Exception as error:  # one family failing must not end the comparison
-            return (name, *[None] * len(totals), time.monotonic() - started, str(error) or repr(error))
-        return (name, *totals.values(), time.monotonic() - started, None)
+            errors.update(dict.fromkeys(own, str(error) or repr(error)))
+        for name in own:
+            span = times.setdefault(name, [started, started])
+            span[0], span[1] = min(span[0], started), max(span[1], time.monotonic())
+
+    def value(name: str) -> Column:
+        return class_of(classes, F.col(name)) if classes else F.col(name)
+
+    def keep(scored: DataFrame) -> None:
+        """Means over the folds of (part, model, label, prediction)."""
+        each = all_metrics(scored, problem_type, ["part", "model"], average)
+        group = F.floor((F.col("part") - 1) / folds).cast("int").alias("at")
+        for r in each.groupBy("model", group).agg(*[F.avg(m).alias(m) for m in names]).collect():
+            totals[r["model"], r["at"]] = {m: r[m] for m in names}
+
+    def by_moments() -> None:
+        found, failed = moments.fit_folds(training, problem_type, learned, partitions, folds)
+        errors.update(failed)
+        if found:
+            keep(moments.predictions(training, found))
+
+    def by_trees(name: str) -> None:
+        model = _grown(name, cells, values, parts, max(width, 1), len(classes), trees, partitions, MODEL_SEED)
+        scored = level_trees.predictions(values if name.startswith("Extra") else cells, {name: model})
+        keep(scored.select((F.col("run") + 1).alias("part"), "model", value("y").alias("label"), value("prediction").alias("prediction")))
+
+    def by_baseline() -> None:
+        keep(_baseline(training, problem_type, folds, parts).withColumn("model", F.lit("Baseline")))
+
+    each_fold: dict[tuple, list] = {(name, at): [] for name in fitted for at in range(len(seeds))}
 
+    def by_estimator(name: str, at: int, fold: int) -> None:
+        if name in errors:
+            return
+        own = rows.withColumn("part", F.col("parts")[at])
+        learn, check = own.where((F.col("part") > 0) & (F.col("part") != fold)), own.where(F.col("part") == fold)
+        prediction = by_fold[name].copy().fit(learn).transform(check)
+        each_fold[name, at].append(
+            all_metrics(prediction.select("label", value("prediction").alias("prediction")), problem_type, average=average).first()
+        )
+
+    tasks = [([name], lambda name=name: by_trees(name)) for name in reversed(grown)]
+    tasks += [
+        ([name], lambda name=name, at=at, fold=fold: by_estimator(name, at, fold)) for name, at in each_fold for fold in range(1, folds + 1)
+    ]
+    tasks += [(learned, by_moments)] if learned else []
+    tasks += [(["Baseline"], by_baseline)] if wanted(["Baseline"]) else []
+    held = [rows, laid_out]
     try:
-        with ThreadPool(max(1, min(parallelism, len(chosen)))) as pool:
-            found = pool.map(inheritable_thread_target(spark)(run), list(chosen))
+        if grown:
+            member = F.array(*[
+                F.when(F.col("parts")[at] == f, level_trees.ASKED).when(F.col("parts")[at] > 0, level_trees.LEARNED).otherwise(-1)
+                for at in range(len(seeds)) for f in range(1, folds + 1)
+            ])
+            cells = level_trees.prepared(rows, member, level_trees.cuts_of(rows)).persist()
+            values = level_trees.prepared(rows, member, None)
+            held.insert(0, cells)
+        with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+            pool.map(inheritable_thread_target(spark)(lambda task: step(*task)), tasks, chunksize=1)
     finally:
-        training.unpersist()
-        laid_out.unpersist()
-    schema = {"model": "string", **{m: "double" for m in metrics_for(problem_type)}, "seconds": "double", "error": "string"}
-    table = inline_rows(spark, found, schema)
-    order = F.col(metric).desc_nulls_last() if higher_is_better(metric) else F.col(metric).asc_nulls_last()
-    return table.orderBy(order, "model")
+        for table in held:
+            table.unpersist()
+    for key, scored in each_fold.items():
+        if scored and key[0] not in errors:
+            totals[key] = {m: sum(r[m] for r in scored) / folds for m in names}
+    found = [
+        (seed, name, *[totals[name, at][m] if (name, at) in totals and name not in errors else None for m in names], span[1] - span[0], errors.get(name))
+        for at, seed in enumerate(seeds) for name, span in sorted(times.items())
+    ]
+    schema = {"seed": "int", "model": "string", **{m: "double" for m in names}, "seconds": "double", "error": "string"}
+    return inline_rows(spark, found, schema)
+
+
+def _baseline(training: DataFrame, problem_type: str, folds: int, parts: int) -> DataFrame:
+    """``(part, label, prediction)``: the majority class or the mean of the other folds, from one count per part."""
+    counts = training.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")) if problem_type == "classification" else (
+        training.groupBy("part").agg(F.sum("label").alias("label"), F.count(F.lit(1)).alias("n")))
+    group = lambda c: F.floor((F.col(c) - 1) / folds)
+    others = counts.select("*", F.explode(F.sequence(F.lit(1), F.lit(parts))).alias("fold"))
+    others = others.where((F.col("part") != F.col("fold")) & (group("part") == group("fold")))
+    if problem_type == "classification":
+        others = others.groupBy("fold", "label").agg(F.sum("n").alias("n"))
+        guess = F.max_by("label", F.struct("n", -F.col("label").cast("double"))).cast("double")
+    else:
+        guess = F.sum("label") / F.sum("n")
+    # one row per fold
+    guesses = F.broadcast(others.groupBy("fold").agg(guess.alias("prediction")).withColumnRenamed("fold", "part"))
+    return training.select("part", F.col("label").cast("double").alias("label")).join(guesses, "part")
 
 
 def compare_models_for_seeds(
-    df: DataFrame, row_id: str, features: list[str], label: str, problem_type: str, roles: DataFrame, **settings
+    df: DataFrame, row_id: str, features: list[str], label: str, problem_type: str, roles: DataFrame, models: list[str] | None = None,
+    folds: int = FOLDS, trees: int = TREES, parallelism: int = 8, average: str | None = None,
 ) -> DataFrame:
     """``compare_models`` for each role of ``pick_leaderboard_seeds``, with ``seed_role`` and ``seed``.
 
-    Roles that share a seed share its comparison.
+    All seeds are compared at once, those of several roles once.
     """
-    by_seed: dict[int, DataFrame] = {}
-    table = None
-    for role in roles.collect():
-        if role["seed"] not in by_seed:
-            by_seed[role["seed"]] = compare_models(df, row_id, features, label, problem_type, role["seed"], **settings)
-        rows = by_seed[role["seed"]].select(
-            F.lit(role["seed_role"]).alias("seed_role"), F.lit(role["seed"]).alias("seed"), "*"
-        )
-        table = rows if table is None else table.unionByName(rows)
-    return table
+    wanted = [(r["seed_role"], r["seed"]) for r in roles.collect()]
+    found = _compared(df, row_id, features, label, problem_type, sorted({s for _, s in wanted}), models, folds, trees, parallelism, average)
+    named = inline_rows(df.sparkSession, wanted, {"seed_role": "string", "seed": "int"})
+    return named.join(found, "seed").select("seed_role", "seed", *[c for c in found.columns if c != "seed"])
 
 
 def rank_leaderboard(leaderboard: DataFrame, metric: str, selected: int = SELECTED) -> DataFrame:

@@ -172,7 +172,7 @@ def run_analysis(df: DataFrame, cfg: AnalysisConfig, leaderboard_models: list[st
         raw, features = leaderboard_input(labelled, cfg.remove_columns, "label", row_id)
         board = compare_models_for_seeds(
             raw, row_id, features, "label", cfg.problem_type, pick_leaderboard_seeds(summary),
-            metric=metric, models=leaderboard_models, folds=folds, trees=cfg.trees, parallelism=cfg.parallelism,
+            models=leaderboard_models, folds=folds, trees=cfg.trees, parallelism=2 * cfg.parallelism,
             average=cfg.average if cfg.problem_type == "classification" else None,
         )
         ranked = rank_leaderboard(board, metric)

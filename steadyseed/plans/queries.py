@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steadyseed.config import AnalysisConfig, CategoricalConfig, ensure_checkpoint_dir
+from steadyseed.functions.columns import col
 from steadyseed.functions.metrics import all_metrics, metric_column, score
 from steadyseed.operators import (
     encode,
@@ -1301,7 +1302,7 @@ def _(spark, d):
     cfg = AnalysisConfig("toxic", "classification", "recall", iterations=10, remove_columns=["source"], id_col="doc_id")
     told = analysis.run_analysis(fx.toxic(spark, d), cfg)
     parts = [
-        rows.select(F.lit(part).alias("part"), F.to_json(F.struct(*[c for c in rows.columns if c not in ("seconds", "execution_time")])).alias("row"))
+        rows.select(F.lit(part).alias("part"), F.to_json(F.struct(*[col(c) for c in rows.columns if c not in ("seconds", "execution_time")])).alias("row"))
         for part, rows in told.items()
     ]
     return reduce(DataFrame.union, parts)

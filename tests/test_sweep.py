@@ -103,12 +103,33 @@ def test_a_failing_family_is_a_row(spark, tables, monkeypatch):
 def test_all_classification_families_run(spark, tables):
     df = fx.big(spark, tables).limit(300)
     found = leaderboard.compare_models(df, "row_id", FEATURES, "label", "classification", 2, folds=2, trees=2).collect()
-    assert len(found) == 10
+    assert len(found) == 15
     assert [r["model"] for r in found if r["error"]] == []
 
 
 def test_all_regression_families_run(spark, tables):
     df = fx.net(spark, tables).limit(300)
     found = leaderboard.compare_models(df, "row_id", FEATURES, "label", "regression", 2, folds=2, trees=2).collect()
-    assert len(found) == 10
+    assert len(found) == 13
     assert [r["model"] for r in found if r["error"]] == []
+
+
+def test_seeds_compared_together_are_those_compared_alone(spark, tables):
+    df = fx.big(spark, tables).limit(400).persist()
+    models = ["Random Forest Classifier", "Extra Trees Classifier", "Ada Boost Classifier", "Linear Discriminant Analysis", "Decision Tree Classifier", "Baseline"]
+    roles = spark.sql("SELECT * FROM VALUES ('Best', 3), ('Worst', 1), ('Most_Common', 3) AS t(seed_role, seed)")
+    settings = {"models": models, "folds": 3, "trees": 3}
+    together = leaderboard.compare_models_for_seeds(df, "row_id", FEATURES, "label", "classification", roles, **settings).collect()
+    assert len(together) == 3 * len(models) and not any(r["error"] for r in together)
+    for role, seed in (("Best", 3), ("Worst", 1), ("Most_Common", 3)):
+        alone = {r["model"]: r["accuracy"] for r in leaderboard.compare_models(
+            df, "row_id", FEATURES, "label", "classification", seed, **settings).collect()}
+        assert {r["model"]: r["accuracy"] for r in together if r["seed_role"] == role and r["seed"] == seed} == pytest.approx(alone)
+    df.unpersist()
+
+
+def test_progress_is_told(spark, tables):
+    said = []
+    sweep.seed_sweep(fx.net(spark, tables).limit(100), "row_id", FEATURES, "label", "regression", list(range(23)), trees=1, max_depth=1,
+                     progress=lambda done, of: said.append((done, of)))
+    assert said == [(20, 23), (23, 23)]
