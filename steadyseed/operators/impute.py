@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from steadyseed.config import ensure_checkpoint_dir
 from steadyseed.functions.columns import col
-from steadyseed.operators.layout import fixed_layout
+from steadyseed.operators import trees as level_trees
+from steadyseed.operators.layout import fixed_layout, partitions_for
 
 # Rounds, trees, seed and tolerance of the round-robin imputation.
 MAX_ITER, TREES, SEED, TOLERANCE = 10, 10, 1, 1e-3
+DEPTH = 5
+ESTIMATORS = ("extra", "forest", "linear")
 
 
 def _gap_statistics(df: DataFrame, features: list[str]) -> dict[str, tuple[int, float | None, float]]:
@@ -48,7 +52,7 @@ def impute_iterative(
     max_iter: int = MAX_ITER,
     trees: int = TREES,
     seed: int = SEED,
-    estimator: str = "forest",
+    estimator: str = "extra",
     predictors: str = "incomplete",
     tolerance: float = TOLERANCE,
 ) -> tuple[DataFrame, list[tuple]]:
@@ -57,10 +61,14 @@ def impute_iterative(
     Starting from means, each round predicts the missing values of every
     incomplete feature, fewest gaps first, from the other incomplete features
     (or from all features with ``predictors='all'``), until no value moves by
-    more than ``tolerance`` times the largest observed magnitude. Each round is
+    more than ``tolerance`` times the largest observed magnitude. The regression is
+    one of extremely randomised trees (``extra``), a random ``forest`` or a
+    ``linear`` one; observed values stay as they are. Each round is
     checkpointed in the shared folder. A lone incomplete feature without other
     predictors keeps its mean.
     """
+    if estimator not in ESTIMATORS:
+        raise ValueError(f"estimator must be one of {ESTIMATORS}, got {estimator!r}")
     stats = _gap_statistics(df, features)
     empty, found = _all_missing_findings(stats)
     df = df.drop(*empty)
@@ -75,7 +83,8 @@ def impute_iterative(
     current = df.withColumns({flags[c]: col(c).isNull() for c in incomplete}).withColumns(
         {c: F.coalesce(col(c), F.lit(stats[c][1])) for c in incomplete}
     )
-    current = fixed_layout(current, row_id, df.count()).checkpoint()
+    n = df.count()
+    current = fixed_layout(current, row_id, n).checkpoint()
     limit = tolerance * max(stats[c][2] for c in incomplete)
     for _ in range(max_iter):
         start = {c: f"__was{i}" for i, c in enumerate(incomplete)}
@@ -84,7 +93,7 @@ def impute_iterative(
         for c in incomplete:
             others = [p for p in basis if p != c]
             # held while the next fit reads it, so that a fit does not repeat the predictions of those before it
-            moved = _predict_gaps(moved, c, others, flags[c], estimator, trees, seed).persist()
+            moved = _predict_gaps(moved, c, others, flags[c], estimator, trees, seed, row_id, partitions_for(n)).persist()
             held.append(moved)
             if len(held) > 2:
                 held.pop(0).unpersist()
@@ -100,7 +109,9 @@ def impute_iterative(
     return current.drop(*flags.values()), found
 
 
-def _predict_gaps(df: DataFrame, column: str, others: list[str], flag: str, estimator: str, trees: int, seed: int) -> DataFrame:
+def _predict_gaps(
+    df: DataFrame, column: str, others: list[str], flag: str, estimator: str, trees: int, seed: int, row_id: str, partitions: int
+) -> DataFrame:
     observed = df.where(~F.col(flag))
     if estimator == "linear" and len(others) == 1:
         line = observed.agg(
@@ -114,11 +125,17 @@ def _predict_gaps(df: DataFrame, column: str, others: list[str], flag: str, esti
     vectors = assembler.transform(df.withColumns({s: col(n) for n, s in safe.items()}).withColumn("__target", col(column)))
     if estimator == "linear":
         model = LinearRegression(featuresCol="__vector", labelCol="__target", predictionCol="__guess", solver="normal")
+        predicted = model.fit(vectors.where(~F.col(flag))).transform(vectors)
     else:
-        model = RandomForestRegressor(
-            featuresCol="__vector", labelCol="__target", predictionCol="__guess",
-            numTrees=trees, seed=seed, featureSubsetStrategy="all",
-        )
-    predicted = model.fit(vectors.where(~F.col(flag))).transform(vectors)
+        drawn = estimator == "extra"
+        growth = level_trees.Growth(trees, DEPTH, 0, not drawn, "all", drawn, seed)
+        known = vectors.select(col(row_id).alias("row_id"), F.col("__vector").alias("features"), F.col("__target").alias("__y"), (~F.col(flag)).alias("known"))
+        cuts = None if drawn else level_trees.cuts_of(known.where("known"))
+        rows = level_trees.prepared(known, F.array(F.col("known")), cuts).persist()
+        try:
+            model = level_trees.Model(growth, level_trees.grow(rows, 1, len(others), growth, partitions))
+        finally:
+            rows.unpersist()
+        predicted = vectors.withColumn("__guess", level_trees.guess(df.sparkSession, model, cuts, vector_to_array("__vector")))
     value = F.when(F.col(flag), F.col("__guess")).otherwise(col(column))
     return predicted.withColumn(column, value).select(*[col(c) for c in df.columns])

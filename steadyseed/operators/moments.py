@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 # Above this many cells over all folds and classes, matrices get too large for one task that holds them all.
 MOST_CELLS = 20_000_000
-# Floor of variances, as a share of the largest.
+# Floor of variances of scaled features; what naive Bayes adds to all variances, as a share of the largest.
 LEAST_VARIANCE = 1e-9
 
 Moments = tuple[float, np.ndarray, np.ndarray]  # rows, mean, scatter around the mean
@@ -233,17 +233,24 @@ def _priors(classes: ByClass) -> np.ndarray:
 
 
 def _densities(classes: ByClass, covariances: list[np.ndarray]) -> dict:
-    """Log densities of normal distributions up to a constant: whitening matrices and what is added."""
-    least, white, added = _least(classes), [], []
+    """Log densities of normal distributions up to a constant: whitening matrices and what is added.
+
+    Features are scaled by their deviations first, so that a small unit is not taken for no variance.
+    """
+    n, _, scatter = _whole(classes)
+    scale = np.sqrt(np.diag(scatter) / n)
+    scale[scale == 0] = 1.0
+    white, added = [], []
     for covariance, prior in zip(covariances, _priors(classes), strict=True):
-        values, vectors = np.linalg.eigh(covariance)
-        values = np.maximum(values, least)
-        white.append(vectors / np.sqrt(values))
+        values, vectors = np.linalg.eigh(covariance / np.outer(scale, scale))
+        values = np.maximum(values, LEAST_VARIANCE)
+        white.append(vectors / scale[:, None] / np.sqrt(values))
         added.append(prior - 0.5 * np.log(values).sum())
     return {"classes": list(classes), "means": [m[1] for m in classes.values()], "white": white, "added": added}
 
 
 def naive_bayes(classes: ByClass) -> dict:
+    """Variances are smoothed by a share of the largest one, whatever the units."""
     return _densities(classes, [np.diag(np.diag(m[2]) / m[0] + _least(classes)) for m in classes.values()])
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from steadyseed.operators.moments import matrix_of
 
@@ -118,13 +118,17 @@ def cuts_of(rows: DataFrame, bins: int = BINS, most: int = BIN_ROWS) -> list[np.
     return [cut_points(x[:, j], bins) for j in range(x.shape[1])]
 
 
+def _cells(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    cells = np.empty(x.shape, np.uint8)
+    for j, cut in enumerate(cuts):
+        cells[:, j] = np.searchsorted(cut, x[:, j], side="left")
+    return cells
+
+
 def _binning(cuts: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = matrix_of(batch.column("x"))
-            cells = np.empty((batch.num_rows, len(cuts)), np.uint8)
-            for j, cut in enumerate(cuts):
-                cells[:, j] = np.searchsorted(cut, x[:, j], side="left")
+            cells = _cells(matrix_of(batch.column("x")), cuts)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(max(len(cuts), 1)), batch.num_rows, [None, pa.py_buffer(cells.tobytes() or bytes(batch.num_rows))])
             at = batch.schema.get_field_index("x")
             yield pa.RecordBatch.from_arrays([raw.cast(pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
@@ -552,6 +556,37 @@ def predictions(rows: DataFrame, models: dict[str, Model], kind: int = ASKED, wi
     return rows.select(*columns).mapInArrow(_predicted(shared, list(models), kind, with_ids), f"{ids}run int, model string, y double, prediction double")
 
 
+def guess(spark: SparkSession, model: Model, cuts: list[np.ndarray] | None, x: Column, run: int = 0) -> Column:
+    """What the forest of a run says to each array of features."""
+    shared = spark.sparkContext.broadcast((model, cuts))
+
+    def run_batch(column: pa.Array) -> pa.Array:
+        own, edges = shared.value
+        values = matrix_of(column)
+        return pa.array(own.predict(values if edges is None else _cells(values, edges), run))
+
+    return F.arrow_udf(run_batch, "double")(x)
+
+
+def splits(spark: SparkSession, model: Model, cuts: list[np.ndarray] | None, names: list[str], run: int = 0) -> DataFrame:
+    """(round, tree, node, feature, threshold, counts, weight, value) of a run's nodes: what its trees ask, in values.
+
+    ``counts`` is what a round of boosting counts; leaves have no feature and threshold.
+    """
+    forests = [(model.trees, 1.0)] if model.boost is None else [(t, float(w[run])) for t, w in zip(model.boost.rounds, model.boost.weights, strict=True)]
+    rows = []
+    for k, (forest, counts) in enumerate(forests):
+        for t, node in np.argwhere(forest.weight[run] > 0).tolist():
+            f, at = int(forest.feature[run, t, node]), float(forest.threshold[run, t, node])
+            inner = f >= 0
+            rows.append((
+                k + 1, t, node, names[f] if inner else None, (at if cuts is None else float(cuts[f][int(at)])) if inner else None,
+                counts, float(forest.weight[run, t, node]), forest.value[run, t, node].tolist(),
+            ))
+    schema = "round int, tree int, node int, feature string, threshold double, counts double, weight double, value array<double>"
+    return spark.createDataFrame(rows, schema)
+
+
 # --- boosting ------------------------------------------------------------------------
 
 

@@ -42,6 +42,20 @@ def net(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BANDS = ["price_band", "l_discount", "l_tax"]
+BANDS_SQL = (
+    f"SELECT {LINE_ID_SQL} AS row_id, floor(l_extendedprice / 5000) AS price_band, l_discount, l_tax, {NET} AS net, CAST({NET} > 40000 AS INTEGER) AS label FROM lineitem"
+)
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` with features of few values, so that each of them can be a threshold; net price and its class."""
+    return lines(spark, sf_dir).select(
+        "row_id", F.floor(F.col("l_extendedprice") / 5000).cast("double").alias("price_band"), "l_discount", "l_tax",
+        F.expr(NET).alias("net"), F.expr(f"CAST({NET} > 40000 AS INT)").alias("label"),
+    )
+
+
 def returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noise: was the line returned? Nothing in the features tells."""
     return lines(spark, sf_dir).select(

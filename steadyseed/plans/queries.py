@@ -26,6 +26,7 @@ from steadyseed.operators import (
     summary,
     sweep,
     target,
+    trees,
     validate,
 )
 from steadyseed.plans import analysis, fixtures as fx, sql as q
@@ -591,14 +592,25 @@ def _(spark, d):
 
 # What SQL can say about a forest's values: observed cells stay, and each gap is
 # filled by a mean of observed values, hence within their range.
+@register("impute_iterative_extra", f"""
+    WITH g AS ({fx.GAPS_SQL}) SELECT row_id, l_quantity, l_extendedprice, discount AS observed_discount, tax AS observed_tax,
+        true AS discount_holds, true AS tax_holds FROM g""")
+def _(spark, d):
+    return _filled_by_trees(spark, d, impute.ESTIMATORS[0])
+
+
 @register("impute_iterative_forest", f"""
     WITH g AS ({fx.GAPS_SQL}) SELECT row_id, l_quantity, l_extendedprice, discount AS observed_discount, tax AS observed_tax,
         true AS discount_holds, true AS tax_holds FROM g""")
 def _(spark, d):
+    return _filled_by_trees(spark, d, "forest")
+
+
+def _filled_by_trees(spark, d, estimator):
     gaps, names = fx.with_gaps(spark, d), ["discount", "tax"]
     ends = gaps.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)]).first()
     kept = gaps.withColumns({f"observed_{c}": F.col(c) for c in names})
-    filled, _ = impute.impute_iterative(kept, ["l_quantity", "l_extendedprice", *names], "row_id", predictors="all")
+    filled, _ = impute.impute_iterative(kept, ["l_quantity", "l_extendedprice", *names], "row_id", predictors="all", estimator=estimator)
 
     def holds(c: str):
         within = F.col(c).between(ends[f"min_{c}"] - 1e-9, ends[f"max_{c}"] + 1e-9)
@@ -860,6 +872,41 @@ def _(spark, d):
     return sweep.seed_sweep(fx.net(spark, d), "row_id", PRICES, "label", "regression", SEEDS, "rmse")
 
 
+@register("forest_sweep_stump", f"WITH {q.stump_scores_sql(fx.BANDS_SQL, 'row_id', SEEDS, fx.BANDS, 'net')} SELECT seed::INTEGER AS seed, round(score, 4) AS score FROM results")
+def _(spark, d):
+    rows = fx.bands(spark, d)
+    found = sweep.seed_sweep(rows, "row_id", fx.BANDS, "net", "regression", SEEDS, "rmse", trees=1, max_depth=1, bagging=False)
+    return rounded(found, "score", digits=4)
+
+
+@register("forest_root_splits", f"""WITH {q.stump_scores_sql(fx.BANDS_SQL, 'row_id', SEEDS, fx.BANDS, 'net')}
+    SELECT seed::INTEGER AS seed, feature, round(cut, 6) AS threshold, nl::DOUBLE AS below, round(sl / nl, 4) AS mean_below, round(sr / nr, 4) AS mean_above FROM best""")
+def _(spark, d):
+    rows = forest.assemble(fx.bands(spark, d), "row_id", fx.BANDS, "net").withColumn("__y", F.col("label"))
+    parts = split.assign_split(rows.select("row_id"), "row_id", SEEDS).groupBy("row_id").agg(
+        F.array_sort(F.collect_list(F.struct("seed", "is_test"))).alias("parts")
+    )
+    cuts = trees.cuts_of(rows)
+    growth = trees.Growth(depth=1)
+    own = trees.prepared(rows.join(parts, "row_id"), F.transform("parts", lambda p: ~p["is_test"]), cuts)
+    model = trees.Model(growth, trees.grow(own, len(SEEDS), len(cuts), growth))
+    found = reduce(DataFrame.unionByName, [trees.splits(spark, model, cuts, fx.BANDS, run).withColumn("seed", F.lit(seed)) for run, seed in enumerate(SEEDS)])
+    roots, below, above = (found.where(F.col("node") == node) for node in (0, 1, 2))
+    named = roots.select("seed", "feature", "threshold").join(
+        below.select("seed", F.col("weight").alias("below"), F.col("value")[0].alias("mean_below")), "seed"
+    ).join(above.select("seed", F.col("value")[0].alias("mean_above")), "seed")
+    return rounded(rounded(named, "mean_below", "mean_above", digits=4), "threshold")
+
+
+@register("reweighted_stumps", f"WITH {q.reweighted_stumps_sql(fx.BANDS_SQL, fx.BANDS, 'label', 4)} SELECT round::INTEGER AS round, feature, round(threshold, 6) AS threshold, round(counts, 8) AS counts FROM rounds")
+def _(spark, d):
+    rows = forest.assemble(fx.bands(spark, d), "row_id", fx.BANDS, "label").withColumn("__y", F.col("label"))
+    cuts = trees.cuts_of(rows)
+    model = trees.reweighted_stumps(trees.prepared(rows, F.array(F.lit(True)), cuts), 1, len(cuts), 2, rounds=4)
+    found = trees.splits(spark, model, cuts, fx.BANDS).where("node = 0").select("round", "feature", "threshold", "counts")
+    return rounded(rounded(found, "counts", digits=8), "threshold")
+
+
 # What SQL can say about a forest: how many rows it is tested on, and that the
 # net price, a function of the features, is learned.
 @register("forest_learns_net_price", """
@@ -1154,6 +1201,20 @@ def _(spark, d):
     return leaderboard.compare_models(fx.net(spark, d), "row_id", PRICES, "label", "regression", 1).drop("seconds")
 
 
+DISCRIMINANTS = ["Linear Discriminant Analysis", "Quadratic Discriminant Analysis", "Naive Bayes"]
+
+
+@register("compare_models_discriminants", "WITH " + q.discriminants_sql(
+    f"SELECT {fx.LINE_ID_SQL} AS row_id, l_extendedprice, l_discount, CAST({fx.NET} > 40000 AS INTEGER) AS label FROM lineitem",
+    "row_id", 1, "l_extendedprice", "l_discount", "label", leaderboard.FOLDS) + """
+    SELECT model, round(accuracy, 9) AS accuracy, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1 FROM board""")
+def _(spark, d):
+    found = leaderboard.compare_models(
+        fx.big(spark, d), "row_id", ["l_extendedprice", "l_discount"], "label", "classification", 1, models=DISCRIMINANTS
+    )
+    return rounded(found.select("model", "accuracy", "precision", "recall", "f1"), "accuracy", "precision", "recall", "f1", digits=9)
+
+
 NET_SOURCE = f"SELECT {fx.LINE_ID_SQL} AS row_id, l_extendedprice, {fx.NET} AS label FROM lineitem"
 LINE_ROLE_COLUMNS = 'model, round(mae, 3) AS "MAE", round(rmse, 3) AS "RMSE", round(r2, 6) AS "R2"'
 

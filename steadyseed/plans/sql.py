@@ -221,3 +221,71 @@ def linear_imputation_sql(source: str, row_id: str, a: str, b: str, rounds: int,
     s{k + 1} AS MATERIALIZED (SELECT id, a, b, CASE WHEN live THEN x2 ELSE x END AS x, CASE WHEN live THEN y2 ELSE y END AS y,
         live AND moved >= least AS live FROM v{k}, o, (SELECT max(greatest(abs(x2 - x), abs(y2 - y))) AS moved FROM v{k}))""")
     return f"WITH {','.join(steps)} SELECT id AS {row_id}, round(x, 6) AS {a}, round(y, 6) AS {b} FROM s{rounds}"
+
+
+def class_folds_sql(source: str, row_id: str, seed: int, label: str, folds: int) -> str:
+    """CTEs ending in ``folded_``: the training rows of a seed's split by class, with ``fold``."""
+    return split_sql(source, row_id, [seed], label) + f""",
+    placed_ AS (SELECT r.*, quota_, n_ - quota_ AS training FROM ranked r JOIN quota USING (cls_) JOIN sizes USING (cls_)),
+    folded_ AS (SELECT *, (SELECT min(f) FROM range(1, {folds + 1}) g(f) WHERE rank_ <= quota_ + training * f // {folds}) AS fold
+        FROM placed_ WHERE rank_ > quota_)"""
+
+
+def discriminants_sql(source: str, row_id: str, seed: int, x: str, y: str, label: str, folds: int) -> str:
+    """CTEs ending in ``board(model, accuracy, precision, recall, f1)`` of normal densities in two features, by fold.
+
+    Covariances are written out for two dimensions: one per class, one for both, or variances alone.
+    """
+    return class_folds_sql(source, row_id, seed, label, folds) + f""",
+    own_ AS (SELECT f, {label} AS c, count(*)::DOUBLE AS n, avg({x}) AS mx, avg({y}) AS my, var_pop({x}) AS vx, var_pop({y}) AS vy, covar_pop({x}, {y}) AS cxy
+        FROM folded_, range(1, {folds + 1}) g(f) WHERE fold <> f GROUP BY ALL),
+    both_ AS (SELECT f, sum(n) AS rows, count(*) AS classes, sum(n * vx) AS sx, sum(n * vy) AS sy, sum(n * cxy) AS sxy FROM own_ GROUP BY f),
+    wide_ AS (SELECT f, greatest(var_pop({x}), var_pop({y})) * 1e-9 AS least FROM folded_, range(1, {folds + 1}) g(f) WHERE fold <> f GROUP BY f),
+    shapes_ AS (
+        SELECT 'Quadratic Discriminant Analysis' AS model, f, c, n, mx, my, vx * n / (n - 1) AS a, vy * n / (n - 1) AS b, cxy * n / (n - 1) AS k FROM own_
+        UNION ALL SELECT 'Linear Discriminant Analysis', f, c, n, mx, my, sx / (rows - classes), sy / (rows - classes), sxy / (rows - classes) FROM own_ JOIN both_ USING (f)
+        UNION ALL SELECT 'Naive Bayes', f, c, n, mx, my, vx + least, vy + least, 0 FROM own_ JOIN wide_ USING (f)),
+    scored_ AS (SELECT model, fold, {row_id} AS id, {label} AS y, c, ln(n) - 0.5 * ln(a * b - k * k)
+            - 0.5 * (b * ({x} - mx) ** 2 - 2 * k * ({x} - mx) * ({y} - my) + a * ({y} - my) ** 2) / (a * b - k * k) AS score
+        FROM folded_ JOIN shapes_ ON fold = f),
+    said_ AS (SELECT model, fold, y, arg_max(c, (score, -c)) AS guess FROM scored_ GROUP BY model, fold, id, y),
+    hits_ AS (SELECT model, fold, count(*) FILTER (y = guess) AS hit, count(*) AS n, count(*) FILTER (y = 1 AND guess = 1) AS tp,
+        count(*) FILTER (y = 1) AS pos, count(*) FILTER (guess = 1) AS claimed FROM said_ GROUP BY ALL),
+    board AS (SELECT model, avg(hit / n) AS accuracy, avg(coalesce(tp / nullif(claimed, 0), 0)) AS precision, avg(coalesce(tp / nullif(pos, 0), 0)) AS recall,
+        avg(coalesce(2 * tp / nullif(pos + claimed, 0), 0)) AS f1 FROM hits_ GROUP BY model)"""
+
+
+def _cut_points_sql(source: str, features: list[str], by: str = "1") -> str:
+    """(grp, feature, position, cut): half way between neighbouring values of each feature."""
+    values = " UNION ALL ".join(f"SELECT DISTINCT {by} AS grp, {i} AS position, '{x}' AS feature, {x}::DOUBLE AS v FROM {source}" for i, x in enumerate(features))
+    return f"SELECT grp, feature, position, (v + lead(v) OVER (PARTITION BY grp, position ORDER BY v)) / 2 AS cut FROM ({values}) QUALIFY cut IS NOT NULL"
+
+
+def stump_scores_sql(source: str, row_id: str, seeds: list[int], features: list[str], label: str) -> str:
+    """CTEs ending in ``results(seed, score)``: root mean squared error of the best single split by squared error."""
+    value = "CASE position " + " ".join(f"WHEN {i} THEN {x}::DOUBLE" for i, x in enumerate(features)) + " END"
+    return split_sql(source, row_id, seeds) + f""",
+    cells AS (SELECT seed, {', '.join(features)}, count(*) AS n, sum({label}) AS s FROM split WHERE NOT is_test GROUP BY ALL),
+    cuts AS ({_cut_points_sql('split', features)}),
+    sides AS (SELECT seed, feature, position, cut, sum(n) FILTER ({value} <= cut) AS nl, sum(s) FILTER ({value} <= cut) AS sl,
+        sum(n) FILTER ({value} > cut) AS nr, sum(s) FILTER ({value} > cut) AS sr FROM cells, cuts GROUP BY ALL),
+    best AS (SELECT * FROM sides WHERE nl > 0 AND nr > 0 QUALIFY row_number() OVER (
+        PARTITION BY seed ORDER BY round((sl * sl / nl + sr * sr / nr) / 1e6, 3) DESC, position, cut) = 1),
+    results AS (SELECT seed, sqrt(avg(({label} - CASE WHEN {value} <= cut THEN sl / nl ELSE sr / nr END) ** 2)) AS score
+        FROM split JOIN best USING (seed) WHERE is_test GROUP BY seed)"""
+
+
+def reweighted_stumps_sql(source: str, features: list[str], label: str, rounds: int) -> str:
+    """CTEs ending in ``rounds(round, feature, threshold, counts)``: two-class boosting with a weight per cell, stored round by round."""
+    value = "CASE position " + " ".join(f"WHEN {i} THEN {x}::DOUBLE" for i, x in enumerate(features)) + " END"
+    names = ", ".join(features)
+    ctes = [f"""rows_ AS ({source}), cuts AS ({_cut_points_sql('rows_', features)}),
+    w1 AS (SELECT {names}, {label} AS y, count(*)::DOUBLE AS w FROM rows_ GROUP BY ALL)"""]
+    for k in range(1, rounds + 1):
+        ctes.append(f"""sides{k} AS (SELECT feature, position, cut, coalesce(sum(w) FILTER ({value} <= cut AND y = 0), 0) AS l0, coalesce(sum(w) FILTER ({value} <= cut AND y = 1), 0) AS l1,
+        coalesce(sum(w) FILTER ({value} > cut AND y = 0), 0) AS r0, coalesce(sum(w) FILTER ({value} > cut AND y = 1), 0) AS r1 FROM w{k}, cuts GROUP BY ALL),
+    best{k} AS (SELECT *, least(l0, l1) + least(r0, r1) AS missed, l0 + l1 + r0 + r1 AS total, (l1 > l0)::INT AS low, (r1 > r0)::INT AS high FROM sides{k}
+        QUALIFY row_number() OVER (ORDER BY round(((l0 * l0 + l1 * l1) / (l0 + l1) + (r0 * r0 + r1 * r1) / (r0 + r1)) / (l0 + l1 + r0 + r1), 12) DESC, position, cut) = 1),
+    w{k + 1} AS (SELECT {names}, y, w * CASE WHEN y = CASE WHEN {value} <= cut THEN low ELSE high END THEN 1 ELSE (total - missed) / missed END AS w FROM w{k}, best{k})""")
+    board = " UNION ALL ".join(f"SELECT {k} AS round, feature, cut AS threshold, ln((total - missed) / missed) AS counts FROM best{k}" for k in range(1, rounds + 1))
+    return ", ".join(ctes) + f", rounds AS ({board})"

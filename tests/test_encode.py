@@ -99,7 +99,7 @@ def test_impute_mean(spark):
     assert filled.where("a IS NULL OR b IS NULL").isEmpty()
 
 
-@pytest.mark.parametrize("estimator", ["linear", "forest"])
+@pytest.mark.parametrize("estimator", ["linear", "forest", "extra"])
 def test_impute_iterative(spark, estimator):
     df = gaps(spark)
     filled, _ = impute.impute_iterative(df, ["a", "b", "c", "empty"], "id", max_iter=3, estimator=estimator)
