@@ -59,6 +59,13 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, mark) per row, written once."""
+    return saved(docs.select(
+        col(id_col).cast("bigint").alias("doc_id"), digest_of(text_of(text_col)).alias("digest"), mark_of(text_of(text_col)).alias("mark")
+    ), "digests")
+
+
 def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deduplicate a batch against the index and itself, then append what is new to the index.
 
@@ -75,9 +82,10 @@ def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     Only (doc_id, 32 bytes) per row are shuffled; a text's rows are combined
     map-side, and the index side of the anti-join is read by bucket, in order.
     """
-    batch = saved(docs.select(
-        col(id_col).cast("bigint").alias("doc_id"), digest_of(text_of(text_col)).alias("digest"), mark_of(text_of(text_col)).alias("mark")
-    ), "digests")
+    return _add(digests(docs, id_col, text_col), index)
+
+
+def _add(batch: DataFrame, index: DigestIndex) -> DataFrame:
     groups = batch.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
     groups = saved(groups.repartition(index.buckets, "digest"), "groups")
     before = index.rows().withColumnRenamed("keep_id", "seen_id")
@@ -93,12 +101,35 @@ def add_batch(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+BATCHES = 3
+
+
+def add_batches(docs: DataFrame, index: DigestIndex, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``add_batch`` for ranges of ascending doc_ids, one after the other, as a growing corpus would be added.
+
+    Later ranges meet the index that earlier ones left, so the smallest doc_id of a
+    text stays; null doc_ids are in the last range. ``group_size`` counts the rows
+    of all ranges. Other edge cases as in ``add_batch``.
+    """
+    all_rows = digests(docs, id_col, text_col)
+    low, high = all_rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    edges = sorted({low + (high - low) * i // batches for i in range(1, batches)}) if low is not None else []
+    reports = None
+    for start, end in zip([None, *edges], [*edges, None], strict=True):
+        own = F.lit(True) if start is None else F.col("doc_id") > start
+        own = own & (F.col("doc_id") <= end) if end is not None else own | F.col("doc_id").isNull()
+        report = saved(_add(all_rows.where(own), index), "range-report")
+        reports = report if reports is None else reports.unionByName(report)
+    sizes = reports.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    return reports.drop("group_size").join(sizes, "digest").select("doc_id", "mark", "digest", "keep_id", "group_size", "kept")
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``: one row per text that the index lacked.
 
-    Of rows that repeat both text and doc_id any one stays. Edge cases as in ``add_batch``.
+    Of rows that repeat both text and doc_id any one stays. Edge cases as in ``add_batches``.
     """
-    report = saved(add_batch(docs, index, id_col, text_col).withColumnRenamed("digest", "group"), "dedup-report")
+    report = saved(add_batches(docs, index, batches, id_col, text_col).withColumnRenamed("digest", "group"), "dedup-report")
     return staying(docs, report, id_col, text_col)
 
 

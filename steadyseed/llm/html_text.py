@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from html import unescape
 from math import e, log
 import re
@@ -15,7 +16,7 @@ from steadyseed.llm.common import by_slices, col, text_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes noscript".split())
 LEFT_OUT = frozenset(
-    "head script style title textarea xmp iframe noembed noframes noscript template svg math canvas object audio video map form "
+    "head script style title textarea xmp iframe noembed noframes noscript template svg math canvas object audio video map "
     "button input select datalist nav header footer aside menu dialog".split()
 )
 BLOCKS = frozenset(
@@ -30,11 +31,13 @@ KEPT = frozenset(("html", "body", "main", "article"))
 #: Words of class, id or role that name what is no article.
 NO_ARTICLE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|masthead|"
-    r"comments?|commentlist|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
+    r"cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|"
     r"subscription|signup|login|search|share|sharing|social|related|recommended|recommendations|widgets?|pagination|pager|toolbar|"
     r"complementary|contentinfo|hidden)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Names of what no article is, but may be longer than one.
+OFTEN_LONG = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-])", re.IGNORECASE)
 #: Names that say what is beside an article, such as has-sidebar.
 BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|with|no|without)[_-][\w-]+", re.IGNORECASE)
 HEADER = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.IGNORECASE)
@@ -53,6 +56,9 @@ class Page:
         self.tags, self.attributes, self.parents = ["html"], [""], [-1]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at the edge of a block
         self.open = [0]
+        # how many elements of a name are open: in all, and inside each open list or table, the innermost last
+        self.opened: Counter[str] = Counter()
+        self.scoped: list[Counter[str]] = [Counter()]
         at = 0
         while found := MARKUP.search(html, at):
             if found.start() > at:
@@ -76,7 +82,7 @@ class Page:
 
     def start(self, name: str, attributes: str) -> None:
         if name in ("html", "body"):
-            if name == "body" and "body" in (self.tags[n] for n in self.open) or name == "html":
+            if name == "body" and self.opened["body"] or name == "html":
                 return
             self.pop("head")
         if name in BLOCKS:
@@ -93,6 +99,10 @@ class Page:
         self.parents.append(self.open[-1])
         if name not in VOID and not attributes.rstrip().endswith("/") or name in BLOCKS and name not in VOID:
             self.open.append(len(self.tags) - 1)
+            self.opened[name] += 1
+            self.scoped[-1][name] += 1
+            if name in SCOPES:
+                self.scoped.append(Counter())
 
     def end(self, name: str) -> None:
         if name in ("html", "body"):
@@ -104,36 +114,77 @@ class Page:
             self.events.append((self.open[-1], None))
 
     def pop(self, name: str, within: frozenset[str] = frozenset()) -> None:
-        """Close the innermost open element of that name, and what is open in it."""
-        for i in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[i]]
+        """Close the innermost open element of that name, and what is open in it; with ``within``, only inside the innermost of these.
+
+        Where there is none nothing is looked at, so a page takes time in proportion to its tags.
+        """
+        if not (self.scoped[-1] if within else self.opened)[name]:
+            return
+        while True:
+            tag = self.tags[self.open.pop()]
+            if tag in SCOPES:
+                self.scoped.pop()
+            self.opened[tag] -= 1
+            self.scoped[-1][tag] -= 1
             if tag == name:
-                del self.open[i:]
-                return
-            if tag in within:
                 return
 
 
+#: A name or a form leaves nothing out that holds more than this share of the page's text; names of what is often long, this.
+MOST_TEXT, NEARLY_ALL = 0.5, 0.9
+
+
+def text_sizes(page: Page, gone: list[bool]) -> list[int]:
+    """Per node, the letters of its subtree that are not in ``gone`` nodes."""
+    sizes = [0] * len(page.tags)
+    for i, text in page.events:
+        if text and not gone[i]:
+            sizes[i] += len("".join(text.split()))
+    for i in range(len(sizes) - 1, 0, -1):
+        if not gone[i]:
+            sizes[page.parents[i]] += sizes[i]
+    return sizes
+
+
 def left_out(page: Page) -> list[bool]:
-    """Per node, whether it or what it is in belongs to no article by its tag, names or invisibility."""
+    """Per node, whether it or what it is in belongs to no article by its tag, names or invisibility.
+
+    Names and forms only tell where the article is not: unless the page has its
+    article elsewhere, a node that holds most of the text is kept whatever it is
+    called (nearly all, where the name is that of comments or the like, which may
+    be longer than the article).
+    """
     n = len(page.tags)
     holds = [False] * n  # an article or the page's main part
     inside = [False] * n
     for i in range(n - 1, 0, -1):
         if page.tags[i] in ("article", "main") or holds[i]:
             holds[page.parents[i]] = True
-    out = [False] * n
+    gone, doubtful = [False] * n, [0.0] * n
     for i in range(1, n):
         up, tag, attributes = page.parents[i], page.tags[i], page.attributes[i]
         inside[i] = inside[up] or tag in ("article", "main")
-        out[i] = out[up]
-        if out[i] or tag in KEPT or holds[i]:
+        gone[i] = gone[up]
+        if gone[i] or tag in KEPT or holds[i]:
             continue
         if tag in LEFT_OUT and not (tag == "header" and inside[up]):
-            out[i] = True
-        elif attributes:
+            gone[i] = True
+        elif tag == "form":
+            doubtful[i] = MOST_TEXT
+        if not gone[i] and attributes:
             names = BESIDE.sub("", " ".join(a or b or c for a, b, c in NAMES.findall(attributes)))
-            out[i] = bool(NO_ARTICLE.search(names) or not inside[up] and HEADER.search(names) or INVISIBLE.search(attributes))
+            gone[i] = bool(INVISIBLE.search(attributes))
+            if OFTEN_LONG.search(names):
+                doubtful[i] = NEARLY_ALL
+            elif NO_ARTICLE.search(names) or not inside[up] and HEADER.search(names):
+                doubtful[i] = MOST_TEXT
+    sizes = text_sizes(page, gone)
+    out, whole = [False] * n, [sizes[0]] * n  # the text of the page, or of the article around a node
+    for i in range(1, n):
+        up = page.parents[i]
+        whole[i] = sizes[i] if page.tags[i] in ("article", "main") and not inside[up] else whole[up]
+        known = holds[0] and not inside[i]  # the page says where its article is, and this is elsewhere
+        out[i] = out[up] or gone[i] or doubtful[i] > 0 and (known or sizes[i] <= doubtful[i] * whole[i])
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from steadyseed.functions.hashing import repeat_rows
 from steadyseed.functions.numbering import numbered
 from steadyseed.llm.common import WORD, col, saved, text_of, unused
 
@@ -18,9 +19,10 @@ def words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
-def draw(id_col: Column, seed: str = SEED) -> Column:
-    """60 bits of md5 over seed and doc_id: the document's place in its source's order."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 15), 16, 10).cast("bigint")
+def draw(id_col: Column, digest: Column, nth: Column, seed: str = SEED) -> Column:
+    """60 bits of md5 over seed, doc_id, the text's digest and the row's number among equal ones: its place in its source's order."""
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(id_col.cast("string"), F.lit("null")), digest, nth.cast("string"))
+    return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint")
 
 
 def source_key(source: Column) -> Column:
@@ -118,16 +120,14 @@ def decide(
     source is cut there and the rest reshared. ``copies`` (0 to ``most``) is how
     often the mix has the document, ``taken`` = size * copies.
 
-    Nulls: a null text has size 0, a null source is a source of its own, null
-    doc_ids share one place. Rows that repeat a doc_id in a source share its place
-    and are taken or left together. A source without any word has target 0, and its
-    documents have one copy (of no words). An empty table gives an empty result.
-    The choice depends on doc_id, sizes and sources alone: reruns agree.
+    Nulls: a null text has size 0, a null source is a source of its own. Rows of one
+    doc_id in a source, and rows without one, are chosen one by one: their places
+    hang on their texts too, and those of equal rows on their number, so targets are
+    met however often an id or a row repeats. A source without any word has target
+    0, and its documents have one copy (of no words). An empty table gives an empty
+    result. The choice depends on doc_ids, texts and sources alone: reruns agree.
     """
-    narrow = saved(docs.select(
-        col(id_col).cast("bigint").alias("doc_id"), source_key(col(source_col)).alias("key"),
-        draw(col(id_col), seed).alias("place"), words(text_of(text_col)).alias("size"),
-    ), "mix-sizes")
+    narrow = saved(_numbered_rows(docs, seed, id_col, text_col, source_col), "mix-sizes")
     plan = saved(cutoffs(narrow.select("key", "place", "size"), weights, most), "mix-plan")
     copies = F.col("repeats") + (F.col("place") <= F.col("cut")).cast("bigint")
     return narrow.join(plan, "key").withColumn("copies", copies).select(
@@ -135,29 +135,62 @@ def decide(
     )
 
 
+def _numbered_rows(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, key, digest, size, place) per row. Equal rows are counted first and then written out with their numbers."""
+    text = text_of(text_col)
+    counted = docs.select(
+        col(id_col).cast("bigint").alias("doc_id"), source_key(col(source_col)).alias("key"), F.md5(text.cast("binary")).alias("digest"),
+        words(text).alias("size"),
+    ).groupBy("doc_id", "key", "digest", "size").agg(F.count(F.lit(1)).alias("rows"))
+    once = counted.where("rows = 1").withColumn("nth", F.lit(0).cast("bigint"))
+    often = repeat_rows(counted.where("rows > 1"), "rows", "nth")
+    return once.unionByName(often).select("doc_id", "key", "digest", "size", draw(F.col("doc_id"), F.col("digest"), F.col("nth"), seed).alias("place"))
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
-    """The mixed documents with the columns of ``docs``, each row as often as ``decide`` says."""
-    key, place, size, repeats, cut = unused(docs, "__key", "__place", "__size", "__repeats", "__cut")
-    keyed = docs.withColumns({key: source_key(col(source_col)), place: draw(col(id_col), seed)})
-    narrow = saved(keyed.select(
-        F.col(key).alias("key"), F.col(place).alias("place"), words(text_of(text_col)).alias("size")
-    ), "mix-sizes")
-    plan = saved(cutoffs(narrow, weights, most), "mix-plan").select(
-        F.col("key").alias(key), F.col("repeats").alias(repeats), F.col("cut").alias(cut)
-    )
+    """The mixed documents with the columns of ``docs``, each row as often as ``decide`` says.
+
+    Edge cases as in ``decide``; rows that agree in doc_id, text and source but not
+    in other columns are numbered in the order of a hash of all columns.
+    """
+    key, digest, place, size, repeats, cut = unused(docs, "__key", "__digest", "__place", "__size", "__repeats", "__cut")
+    text = text_of(text_col)
+    plan = saved(cutoffs(
+        saved(_numbered_rows(docs, seed, id_col, text_col, source_col), "mix-sizes").select("key", "place", "size"), weights, most
+    ), "mix-plan").select(F.col("key").alias(key), F.col("repeats").alias(repeats), F.col("cut").alias(cut))
+    keyed = docs.withColumns({key: source_key(col(source_col)), digest: F.md5(text.cast("binary"))})
+    placed = _placed(keyed, key, digest, place, id_col, seed)
     copies = (F.col(repeats) + (F.col(place) <= F.col(cut)).cast("bigint")).cast("int")
     times = F.array_repeat(F.lit(0), copies)
-    return keyed.join(plan, key).withColumn(size, F.explode(times)).drop(key, place, size, repeats, cut)
+    return placed.join(plan, key).withColumn(size, F.explode(times)).select(*[col(c) for c in docs.columns])
+
+
+def _placed(keyed: DataFrame, key: str, digest: str, place: str, id_col: str, seed: str) -> DataFrame:
+    """``keyed`` with ``place``; rows that have equals are numbered among them by ranges, so no group is one task's."""
+    doc, rows, order, first = unused(keyed, "__doc", "__rows", "__order", "__first")
+    keyed = keyed.withColumn(doc, F.coalesce(col(id_col).cast("bigint").cast("string"), F.lit("null")))
+    same = [doc, key, digest]
+    often = saved(keyed.groupBy(*same).agg(F.count(F.lit(1)).alias(rows)).where(F.col(rows) > 1).select(*same), "mix-equal")
+    own = lambda nth: draw(col(id_col).cast("bigint"), F.col(digest), nth, seed)
+    if often.isEmpty():
+        return keyed.withColumn(place, own(F.lit(0)))
+    once = keyed.join(often, same, "left_anti").withColumn(place, own(F.lit(0)))
+    everything = F.xxhash64(F.to_json(F.struct(*[col(c) for c in keyed.columns])))
+    counted = numbered(keyed.join(often, same, "left_semi").withColumn(rows, everything), [*[F.col(c) for c in same], F.col(rows)], order)
+    starts = counted.groupBy(*same).agg(F.min(order).alias(first))
+    repeated = counted.join(starts, same).withColumn(place, own(F.col(order) - F.col(first)))
+    return once.unionByName(repeated.select(*once.columns))
 
 
 def oracle_sql() -> str:
     """The same decisions with a running sum over each source, for checking; SEED and WEIGHTS as above."""
     return f"""
     WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-            ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS place FROM documents),
+            ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':' ||
+                (row_number() OVER (PARTITION BY doc_id, source, coalesce(text, '')) - 1)), 1, 15))::BIGINT AS place FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size,
             (ARRAY{list(WEIGHTS)})[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT]::BIGINT AS weight
             FROM d GROUP BY source),

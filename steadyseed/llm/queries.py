@@ -82,7 +82,9 @@ def _(spark, d):
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""")
 def _(spark, d):
-    report = exact_dedup.add_batch(read(spark, d, "documents"), exact_dedup.new_index(spark))
+    index = exact_dedup.new_index(spark)
+    report = exact_dedup.add_batches(read(spark, d, "documents"), index)
+    index.close()
     return report.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -10,6 +10,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import regex
+from tokenizers import Tokenizer
 
 from steadyseed.llm.common import by_slices, col, text_of
 
@@ -192,6 +193,55 @@ class ChunkMap:
         self.head, self.inner, self.tail = head, inner, tail
 
 
+class LibraryClasses:
+    """Where the library's Unicode tables and Python's part, found by asking the library.
+
+    They are of several versions: letters and marks that one knows and another does
+    not are classed, lowered or ordered otherwise. ``young`` finds a text with any of
+    these, which the library's own normaliser then reads, and ``words`` is the word
+    pattern with the library's classes.
+    """
+
+    def __init__(self, path: str):
+        own = Tokenizer.from_file(path)
+        self.normalise = own.normalizer.normalize_str
+        parts = own.pre_tokenizer.pre_tokenize_str
+        known = regex.compile(r"[\p{L}\p{N}]")
+        unsure, others = [], []
+        for c in map(chr, (*range(0xD800), *range(0xE000, 0x110000))):
+            if unicodedata.combining(c):
+                marks = f"a{c}\u0316"
+                if self.normalise(marks) != normalised(marks):
+                    unsure.append(c)
+            elif unicodedata.category(c) == "Cn" and known.match(c):
+                unsure.append(c)
+                if len(parts(f"!{c}!")) == 1:
+                    others.append(c)
+        self.young = re.compile(f"[{ranges(unsure)}]")
+        other = f"[{ranges(others)}]"
+        classes = WORD_PATTERN.replace(r"[\p{L}]", rf"[\p{{L}}--{other}]").replace(r"[\p{N}]", rf"[\p{{N}}--{other}]")
+        classes = classes.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{other}]")
+        self.words = regex.compile(classes.replace(r"\s", r"\p{White_Space}"), regex.V1)
+
+
+def ranges(letters: list[str]) -> str:
+    """Ascending letters as the inside of a character class."""
+    runs: list[list[int]] = []
+    for c in map(ord, letters):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+def normalised(text: str) -> str:
+    """The vocabulary's normaliser but for white space: composed and lowered, letters one by one, without a final sigma."""
+    if not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
+    return text.replace("Σ", "σ").lower()
+
+
 class TokenCounter:
     """Counts the tokens of texts as the vocabulary's library does."""
 
@@ -209,6 +259,7 @@ class TokenCounter:
         special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(special)) if special else None
         self.words = regex.compile(WORD_PATTERN.replace(r"\s", r"\p{White_Space}"))
+        self.library = LibraryClasses(path)
         self.space = regex.compile(r"\p{White_Space}")
         self.odd = re.compile(r"[\x1c-\x1f]")
         self.known = Kept(self.word, WORDS_KEPT)
@@ -221,7 +272,8 @@ class TokenCounter:
 
     def between(self, piece: str) -> int:
         """Tokens of a piece between two resets."""
-        return sum(map(self.known.__getitem__, self.words.findall(piece)))
+        words = self.words if piece.isascii() or not self.library.young.search(piece) else self.library.words
+        return sum(map(self.known.__getitem__, words.findall(piece)))
 
     def run(self, text: str) -> int:
         """Tokens of normalised text whose ends are resets."""
@@ -254,9 +306,10 @@ class TokenCounter:
 
     def plain(self, text: str, chunk_chars: int) -> int:
         """Tokens of text without special strings."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # no final sigma: letters are lowered one by one
+        if text.isascii() or not self.library.young.search(text):
+            text = normalised(text)
+        else:
+            text = self.library.normalise(text)
         if len(text) <= chunk_chars:
             return self.run(text)
         whole = self.scan([self.chunk(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)])

@@ -115,3 +115,27 @@ def test_the_index_outlasts_its_session_name(spark, documents):
     second = exact_dedup.add_batch(documents([(1, "b", "s"), (2, "c", "s"), (3, "c ", "s"), (4, "c", "s")]), again).collect()
     assert sorted((r.doc_id, r.keep_id, r.kept) for r in second) == [(1, 6, False), (2, 2, True), (3, 3, True), (4, 2, False)]
     assert sorted(r.keep_id for r in again.rows().collect()) == [2, 3, 5, 6]
+
+
+def test_ranges_meet_the_index_of_earlier_ranges(spark, documents, odd, none):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, rng.randrange(40)]), rng.choice("abcdefghij") + " " * rng.randrange(3), "s") for _ in range(120)]
+    docs = documents(rows)
+    index = exact_dedup.new_index(spark)
+    got = exact_dedup.add_batches(docs, index, 4).collect()
+    groups = {}
+    for i, t, _ in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t), []).append(i)
+    first = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    by_digest = {hashlib.sha256(t.encode()).digest(): t for t in groups}
+    assert len(got) == len(rows)
+    for r in got:
+        text = by_digest[bytes(r.digest)]
+        assert (r.keep_id, r.group_size, r.kept) == (first[text], len(groups[text]), r.doc_id == first[text])
+    assert {bytes(r.digest) for r in index.rows().collect()} == set(by_digest)
+    assert exact_dedup.add_batches(none, index).count() == 0
+    plain = {(r.doc_id, r.mark): r for r in exact_dedup.add_batch(odd, exact_dedup.new_index(spark)).collect()}
+    for r in exact_dedup.add_batches(odd, exact_dedup.new_index(spark), 5).collect():
+        assert r == plain[r.doc_id, r.mark]
+    for n in (1, 2):
+        assert sorted(r.doc_id for r in exact_dedup.deduplicate(documents([(5, "a ", "s"), (5, "b", "s"), (5, "a  ", "s")]), exact_dedup.new_index(spark), n).collect()) == [5, 5]

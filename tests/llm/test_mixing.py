@@ -20,7 +20,11 @@ def plain_mix(rows, weights=(5, 2, 1), most=3):
         capped |= more
     target = {s: float(most * total[s]) if s in capped else weight[s] * num / den for s in sources}
     copies = [0] * len(rows)
-    place = [int(hashlib.md5(f"mix:{'null' if i is None else i}".encode()).hexdigest()[:15], 16) for i, _, _ in rows]
+    equal, place = {}, []
+    for i, t, s in rows:
+        nth = equal[i, t or "", s] = equal.get((i, t or "", s), -1) + 1
+        key = f"mix:{'null' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}:{nth}"
+        place.append(int(hashlib.md5(key.encode()).hexdigest()[:15], 16))
     for s in sources:
         own = [k for k, r in enumerate(rows) if r[2] == s]
         times = min(int(target[s] // total[s]), most) if total[s] else 1
@@ -61,3 +65,18 @@ def test_many_documents_are_refined_to_the_last(spark, documents):
     rows = [(i, "w " * (i % 5 + 1), "ab"[i % 7 == 0]) for i in range(4000)]
     got = mixing.decide(documents(rows)).collect()
     assert sorted((str(r.doc_id), r.taken) for r in got) == sorted((i, n) for i, _, _, _, n, _ in plain_mix(rows))
+
+
+def test_targets_are_met_with_repeated_and_null_ids(documents):
+    """A source whose rows share one doc_id, or have none, or are all equal, is cut like any other."""
+    big = [(1000 + i, "w " * 50, "a") for i in range(20)]
+    for rows in (
+        [(7, f"{i} " + "w " * 9, "b") for i in range(50)], [(None, f"{i} " + "w " * 9, "b") for i in range(50)], [(7, "w " * 10, "b")] * 50, [(None, "w " * 10, None)] * 55,
+    ):
+        docs = documents(rows + big)
+        got = mixing.decide(docs, weights=(8, 3)).collect()
+        assert sorted((str(r.doc_id), r.size, r.source_size, round(r.target, 6), r.taken, r.copies) for r in got) == sorted(plain_mix(rows + big, (8, 3)))
+        for source_size in {r.source_size for r in got}:
+            own = [r for r in got if r.source_size == source_size]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+        assert mixing.mix(docs, weights=(8, 3)).count() == sum(r.copies for r in got)

@@ -1,4 +1,6 @@
 import math
+import re
+import time
 
 import pytest
 
@@ -47,14 +49,84 @@ def test_odd_pages(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def plain_blocks(html):
+    """The blocks of a page's <article>, read with regular expressions: its markup is regular in the generated pages."""
+    article = re.search(r"<article[^>]*>(.*)</article>", html, re.DOTALL)[1]
+    article = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav|footer)\b.*?</\1>", "", article, flags=re.DOTALL)
+    parts = re.split(r"</?(?:p|h1|h2|h3|div|ul|ol|li|section|blockquote|pre|figure|table|tr|article|header)\b[^>]*>", article)
+    blocks = [" ".join(html_text.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in parts]
+    return "\n\n".join(b for b in blocks if b)
+
+
 def test_the_generated_articles(spark, tables):
-    for r in spark.read.parquet(f"{tables}/pages.parquet").collect():
+    """The whole article and nothing else, block by block."""
+    pages = spark.read.parquet(f"{tables}/pages.parquet").collect()
+    left = [r.page_id for r in pages if not re.search(r'class="?\'?ad\b', r.html) and html_text.extract(r.html) != plain_blocks(r.html)]
+    assert left == []
+    for r in pages:
         text = html_text.extract(r.html)
         title = r.html.split("<h1>")[1].split("</h1>")[0]
         assert text.startswith(" ".join(html_text.unescape(title).split()))
         assert "track(" not in text and "middot" not in text
 
 
+def test_names_and_forms_do_not_take_the_article_away():
+    want = "\n\n".join(BLOCKS)
+    around = ("<div class='menu'><a href='/'>Home</a> <a href='/b'>More</a></div>", "<div id='footer'>&copy; us</div>")
+    for main in (
+        f"<form id=aspnetForm><input name=x>{ARTICLE}</form>", f"<div class='search page'>{ARTICLE}</div>",
+        f"<div id='page-share'><div class='content'>{ARTICLE}</div></div>", f"<form id=aspnetForm><div class='modal widget'>{ARTICLE}</div></form>",
+        f"<div class='sidebar'>{ARTICLE}</div>", f"<div class='comments'><div>{ARTICLE}</div></div>",
+    ):
+        assert html_text.extract(page(main)) == want
+        if "comments" not in main:
+            assert html_text.extract(page(around[0] + main + around[1])) == want
+    long = "<div id='comments'><p>" + "A reader writes much more than the article has to say. " * 5 + "</p></div>"
+    assert html_text.extract(page(f"<div class='post'>{ARTICLE}</div>{long}")) == want
+    assert html_text.extract(page(f"<div class='post'>{ARTICLE}</div><form><p>Write to us, please</p></form>")) == want
+
+
+def test_pages_without_an_article_against_plain_densities():
+    """The densest subtree of hand-made pages, found by computing every density anew."""
+    text = "Words of the main part that go on for quite a while, with commas and all. "
+    html = page(f"<div id=a><p><a href=x>one</a></p><p><a href=y>two</a></p></div><div id=b><div><p>{text * 3}</p><p>{text * 4}</p></div></div><div id=c><p>short</p></div>")
+    tree = html_text.Page(html)
+    out = html_text.left_out(tree)
+    below = {i: [j for j in range(len(tree.tags)) if i in ancestors(tree, j)] for i in range(len(tree.tags))}
+
+    def counts(i):
+        nodes = [j for j in below[i] if not out[j]]
+        letters = {j: sum(len("".join(t.split())) for n, t in tree.events if t and n == j) for j in nodes}
+        linked = sum(v for j, v in letters.items() if any(tree.tags[k] == "a" for k in ancestors(tree, j)))
+        return sum(letters.values()), linked, len(nodes) - 1, sum(tree.tags[j] == "a" for j in nodes if j != i)
+
+    whole = counts(0)
+    dense = {i: html_text.density(*counts(i), whole[1] / whole[0]) for i in range(len(tree.tags)) if not out[i]}
+    sums = {i: sum(dense[j] for j in dense if tree.parents[j] == i) for i in dense}
+    best = max(sums, key=lambda i: (sums[i], -i))
+    marked = html_text.content(tree, out)
+    assert marked[best] and tree.tags[best] == "div" and "id=b" not in tree.attributes[best]
+    # the links are thinner than the way from the best node to the body, the short paragraph is not
+    assert html_text.extract(html) == f"{(text * 3).strip()}\n\n{(text * 4).strip()}\n\nshort"
+
+
+def ancestors(tree, i):
+    found = [i]
+    while tree.parents[found[-1]] >= 0:
+        found.append(tree.parents[found[-1]])
+    return found
+
+
+def test_very_many_tags_take_time_in_proportion():
+    started = time.monotonic()
+    for html in (
+        "<div>" * 100_000 + "deep", "<table><tr><td><table>" + "<div>" * 50_000 + "<td>x" * 50_000, "<p>a</span></b></td>" * 50_000, "<ul><li>" * 50_000 + "</ul>" * 50_000,
+        "<div class='" + "x" * 1_000_000 + "'>long attribute</div>", "<body><p>x" * 50_000,
+    ):
+        html_text.extract(html)
+    assert time.monotonic() - started < 60
+
+
 PAGES = [
     (1, "https://Blog.A.example.ORG/es/1?x", "<a href='http://b.example.net/q'>x</a> <A class=y HREF=\"//c.example.net\">y</a>"),
     (2, "http://x.com/fr/2", "<a href='https://b.example.net/'>"), (3, "http://x.com/de/2", None), (4, "http://y.com/de/1", "<a href='http://x.com'>"),

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -68,3 +70,15 @@ def test_odd_rows_round_trip(odd, none):
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(i), t or "") for i, t, _ in ODD)
     assert all(r.parity and r.n_tokens == len(r.ids) for r in got)
     assert sentence_pieces.encode_documents(none, MODEL).count() == 0
+
+
+def test_every_code_point_is_classed_as_the_library_does():
+    """Letters and marks that only some Unicode versions know, too, among letters, digits, marks and signs."""
+    library, own = Tokenizer.from_file(VOCABULARY), token_counts.counter(VOCABULARY)
+    letters = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    texts = [" ".join(f"x{c}'s !{c}1 a{c}b" for c in letters[i : i + 64]) for i in range(0, len(letters), 64)]
+    young = [c for c in letters if own.library.young.match(c)]
+    rng = random.Random(2)
+    pick = lambda: rng.choice([rng.choice(young), rng.choice("aá\u0301\u0316's1!.ΣÉ"), rng.choice(letters)])
+    texts += ["".join(pick() for _ in range(rng.randrange(1, 12))) for _ in range(5000)]
+    assert [own.count(t) for t in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
