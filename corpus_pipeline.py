@@ -17,8 +17,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per text, by the digest index."""
-    return exact_dedup.deduplicate(docs, exact_dedup.new_index(spark))
+    """One document per text, by the digest index, which takes the documents in ranges of ascending ids."""
+    index = exact_dedup.new_index(spark)
+    kept = exact_dedup.deduplicate(docs, index)
+    index.close()
+    return kept
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again; the ids of the mixed corpus."""
+    """All stages over the documents, each written and read again; the ids of the mixed corpus.
+
+    Null and empty texts, null ids and repeated rows are what the stages say; an
+    empty table gives an empty result.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_folder(spark, f"pipeline-{name}")
