@@ -120,7 +120,8 @@ def add_batches(docs: DataFrame, index: DigestIndex, batches: int = BATCHES, id_
         own = own & (F.col("doc_id") <= end) if end is not None else own | F.col("doc_id").isNull()
         report = saved(_add(all_rows.where(own), index), "range-report")
         reports = report if reports is None else reports.unionByName(report)
-    sizes = reports.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    # written, so that the join deals both sides out anew and Spark can split the rows of a large group
+    sizes = saved(reports.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size")), "group-sizes")
     return reports.drop("group_size").join(sizes, "digest").select("doc_id", "mark", "digest", "keep_id", "group_size", "kept")
 
 
