@@ -1265,19 +1265,20 @@ def _(spark, d):
 
 def _customer_chunks(spark, d):
     """``customer`` in chunks of at most 1000 rows, one JSON document each."""
-    rows = fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    rows = fx.table(spark, d, "customer").select(CUSTOMER_COLUMNS)
     return rows.groupBy(F.expr("c_custkey div 1000").alias("chunk"))
 
 
-CUSTOMER_SQL = "SELECT c_custkey, c_name, c_acctbal FROM customer"
+CUSTOMER_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
 
 @register("read_json_records", CUSTOMER_SQL)
 def _(spark, d):
     folder = shared_folder(spark, "records")
-    documents = _customer_chunks(spark, d).agg(F.to_json(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal"))).alias("value"))
+    documents = _customer_chunks(spark, d).agg(F.to_json(F.collect_list(F.struct(*CUSTOMER_COLUMNS))).alias("value"))
     documents.select("value").write.option("maxRecordsPerFile", 1).text(folder)
-    return read_json(spark, folder, "records").select("c_custkey", "c_name", "c_acctbal")
+    return read_json(spark, folder, "records").select(CUSTOMER_COLUMNS)
 
 
 @register("read_json_columns", CUSTOMER_SQL)
@@ -1285,29 +1286,29 @@ def _(spark, d):
     folder = shared_folder(spark, "columns")
     row = F.col("c_custkey").cast("string")
     columns = [
-        F.map_from_entries(F.collect_list(F.struct(row, F.col(c)))).alias(c) for c in ("c_custkey", "c_name", "c_acctbal")
+        F.map_from_entries(F.collect_list(F.struct(row, F.col(c)))).alias(c) for c in CUSTOMER_COLUMNS
     ]
-    documents = _customer_chunks(spark, d).agg(*columns).select(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("value"))
+    documents = _customer_chunks(spark, d).agg(*columns).select(F.to_json(F.struct(*CUSTOMER_COLUMNS)).alias("value"))
     documents.write.option("maxRecordsPerFile", 1).text(folder)
-    return read_json(spark, folder, "columns").select("c_custkey", "c_name", "c_acctbal")
+    return read_json(spark, folder, "columns").select(CUSTOMER_COLUMNS)
 
 
-@register("load_table", "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events")
+@register("load_table", "SELECT event_id, ts, user_id, event_type, round(value, 6) AS value, props FROM events")
 def _(spark, d):
-    return rounded(fx.table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "value")
+    return rounded(fx.table(spark, d, "events"), "value")
 
 
 @register("load_table_csv", CUSTOMER_SQL)
 def _(spark, d):
     folder = shared_folder(spark, "load") + ".csv"
-    fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.option("header", True).csv(folder)
+    fx.table(spark, d, "customer").select(CUSTOMER_COLUMNS).write.option("header", True).csv(folder)
     return load_table(spark, folder)
 
 
 @register("load_table_json", CUSTOMER_SQL)
 def _(spark, d):
     folder = shared_folder(spark, "load") + ".json"
-    fx.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal").write.json(folder)
+    fx.table(spark, d, "customer").select(CUSTOMER_COLUMNS).write.json(folder)
     return load_table(spark, folder)
 
 
