@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 import xxhash
 
+from steadyseed.functions.skew import HOT_KEYS_AT_MOST, HOT_ROWS, lookup_join
 from steadyseed.llm.common import by_slices, col, mark_of, saved, staying, text_of
 from steadyseed.llm.components import components
 
@@ -15,7 +16,9 @@ MAX_BITS = 4
 HASH_SEED = 42
 SHINGLES_AT_ONCE = 1 << 16
 LOW_BITS = 0x5555555555555555  # the lower bit of each two-bit segment
+MIDDLE_BITS = 0x2222222222222222  # the lower middle bit of each four
 HALF = 0xFFFFFFFF
+HOT_PRINTS = 1000  # groups and parts of fewer fingerprints are not worth spreading
 
 
 def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
@@ -53,24 +56,30 @@ def counts_code(fp: Column) -> Column:
     return either.bitwiseOR(F.shiftleft(both, 1))
 
 
-def cells(code: Column) -> Column:
-    """Grid cells of a code: for each half of its segments the half itself and all at Manhattan distance 1.
+def crossed(fp: Column) -> Column:
+    """The fingerprint with the middle bits of each four exchanged, so that its segments lie across the first ones."""
+    odd = fp.bitwiseXOR(F.shiftrightunsigned(fp, 1)).bitwiseAND(F.lit(MIDDLE_BITS))
+    return fp.bitwiseXOR(odd.bitwiseOR(F.shiftleft(odd, 1)))
 
-    Two codes at distance 4 or less are at 2 or less in one half, so they share a
-    cell there. A cell is the half's number and code in one bigint.
-    """
-    def of_half(half: int) -> Column:
-        own = F.shiftrightunsigned(code, 32) if half else code.bitwiseAND(F.lit(HALF))
-        tag = F.lit(half << 32)
 
-        steps = []
-        for segment in range(16):
-            low, high = 1 << (2 * segment), 2 << (2 * segment)
-            steps.append(F.when(own.bitwiseAND(F.lit(high)) == 0, own.bitwiseXOR(F.lit(low)).bitwiseOR(tag)))
-            steps.append(F.when(own.bitwiseAND(F.lit(low)) != 0, own.bitwiseXOR(F.lit(high)).bitwiseOR(tag)))
-        return F.concat(F.array(own.bitwiseOR(tag)), F.array_compact(F.array(*steps)))
+def visits(prints: DataFrame) -> DataFrame:
+    """``prints`` (fp, ..) with the grid cells (half, cell) that each fingerprint visits.
 
-    return F.concat(of_half(0), of_half(1))
+    A cell holds the bit counts of one half under two coverings by segments, plain
+    and crossed. Of two fingerprints at four bits or less, one half differs in two
+    at most; each fingerprint visits its own cell there and those of its 32 one-bit
+    changes, so the two meet. Both coverings together tell 15 of 16 values of four
+    bits apart, where one alone tells 9: fingerprints that meet by chance are rare.
+    """
+    flips = [
+        F.struct(F.lit(half).alias("half"), F.lit(flip if flip < 1 << 63 else flip - (1 << 64)).cast("bigint").alias("flip"))
+        for half in (0, 1) for flip in (0, *[1 << (32 * half + b) for b in range(32)])
+    ]
+    changed = F.col("fp").bitwiseXOR(F.col("flip"))
+    plain, across = counts_code(changed), counts_code(crossed(changed))
+    low = plain.bitwiseAND(F.lit(HALF)).bitwiseOR(F.shiftleft(across, 32))
+    high = F.shiftrightunsigned(plain, 32).bitwiseOR(F.shiftleft(F.shiftrightunsigned(across, 32), 32))
+    return prints.select("*", F.inline(F.array(*flips))).withColumn("cell", F.when(F.col("half") == 0, low).otherwise(high)).drop("flip")
 
 
 def spread_out(prints: DataFrame) -> DataFrame:
@@ -101,12 +110,11 @@ def far_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     The grid join proposes pairs that share a cell, the Manhattan distance of the
     bit counts is the lower bound, and the bits themselves decide.
     """
-    coded = spread_out(prints).withColumn("code", counts_code(F.col("fp")))
-    placed = coded.select("fp", "part", "code", F.explode(cells(F.col("code"))).alias("cell"))
+    placed = visits(spread_out(prints).withColumn("code", counts_code(F.col("fp"))))
     a, b = placed.alias("a"), placed.alias("b")
     return a.join(
         b,
-        (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") < F.col("b.part"))
+        (F.col("a.cell") == F.col("b.cell")) & (F.col("a.half") == F.col("b.half")) & (F.col("a.part") < F.col("b.part"))
         & (F.bit_count(F.col("a.code").bitwiseXOR(F.col("b.code"))) <= max_bits)
         & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits),
     ).select(F.col("a.part").alias("u"), F.col("b.part").alias("v"))
@@ -126,31 +134,37 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
     Equal fingerprints are one node. Dense groups are joined through
     ``near_copies`` first; the pair search then only returns pairs between
-    different parts.
+    different parts. Fingerprints of a large group, and rows of a fingerprint with
+    more than 1/1000 of all rows, are spread over salts before they meet their names.
     """
     if not 2 <= max_bits <= 4:
         raise ValueError("the grid is exact for two to four bits")
     rows = saved(docs.select(
         col(id_col).cast("bigint").alias("doc_id"), mark_of(text_of(text_col)).alias("mark"), fingerprints(text_of(text_col), size).alias("fp")
     ), "fingerprints")
-    prints = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
+    prints = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")), "prints")
     near = saved(components(near_copies(prints.select("fp"))), "near-parts")
+    hot = prints.where(F.col("copies") > F.greatest(F.lit(HOT_ROWS), prints.agg(F.sum("copies") / HOT_KEYS_AT_MOST).scalar())).select("fp")
     parts = saved(
         prints.join(near.withColumnRenamed("node", "fp"), "fp", "left")
         .select("fp", "first_id", F.coalesce("component", "fp").alias("part")), "parts",
     )
     far = saved(components(far_links(parts.select("fp", "part"), max_bits)), "far-parts")
-    groups = parts.join(far.withColumnRenamed("node", "part"), "part", "left").select(
+    groups = lookup_join(parts, far.withColumnRenamed("node", "part"), ["part"], "fp", "left", hot_at_least=HOT_PRINTS).select(
         "fp", "first_id", F.coalesce("component", "part").alias("group")
     )
     groups = saved(groups, "print-groups")
     smallest = groups.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    named = groups.join(smallest, "group").select("fp", "group", "component_id")
-    return rows.join(named, "fp").select("doc_id", "mark", "fp", "group", "component_id")
+    named = lookup_join(groups, smallest, ["group"], "fp", hot_at_least=HOT_PRINTS).select("fp", "group", "component_id")
+    return lookup_join(rows, named, ["fp"], "doc_id", hot=hot).select("doc_id", "mark", "fp", "group", "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per component with the columns of ``docs``: the one with the smallest doc_id."""
+    """One row per component with the columns of ``docs``: the one with the smallest doc_id.
+
+    Nulls, empty texts and empty tables as in ``link``. A component of rows without
+    a doc_id keeps one of them, and of rows that repeat doc_id and text any one stays.
+    """
     linked = saved(link(docs, id_col, text_col, size, max_bits), "linked")
     report = linked.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     return staying(docs, report, id_col, text_col)

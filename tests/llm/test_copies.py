@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
 import xxhash
 
 from steadyseed.llm import exact_dedup, simhash_dedup
@@ -75,6 +76,32 @@ def test_every_pair_of_few_bits_is_linked(spark):
     assert [got[p] for p in signed] == want
 
 
+def test_random_fingerprints_rarely_meet(spark):
+    """Both coverings tell 15 of 16 values of four bits apart: far fewer chance meetings than one covering's share of 9e-5."""
+    n = 60_000
+    cells = simhash_dedup.visits(spark.range(n).select(F.xxhash64("id").alias("fp"))).groupBy("half", "cell").count()
+    met = cells.agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    assert cells.agg(F.sum("count")).first()[0] == 66 * n
+    assert met < 4e-6 * n * n / 2
+
+
+def test_large_groups_are_spread(spark, documents, monkeypatch):
+    """Groups, parts and fingerprints above the limits go through salts with the same result."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(300)]
+    texts = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 300, 7)] + [" ".join(base)] * 40 + ["", None, "alone here"]
+    rows = [(None if i % 11 == 0 else 500 - i, t, "s") for i, t in enumerate(texts)]
+    want = sorted((str(r.doc_id), r.fp, r.group, str(r.component_id)) for r in simhash_dedup.link(documents(rows)).collect())
+    monkeypatch.setattr(simhash_dedup, "HOT_PRINTS", 2)
+    monkeypatch.setattr(simhash_dedup, "HOT_ROWS", 2)
+    got = sorted((str(r.doc_id), r.fp, r.group, str(r.component_id)) for r in simhash_dedup.link(documents(rows)).collect())
+    assert got == want and len(got) == len(rows)
+    prints = [(i, plain_print(t)) for i, t, _ in rows]
+    plain = plain_components(prints, lambda a, b: bin(a ^ b).count("1") <= 4)
+    assert sorted((str(i), str(c)) for (i, _), c in zip(prints, plain, strict=True)) == [(i, c) for i, _, _, c in want]
+
+
 def test_odd_rows_are_linked(odd, none):
     got = simhash_dedup.link(odd).collect()
     items = [(i, plain_print(t)) for i, t, _ in ODD]
