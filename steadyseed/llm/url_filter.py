@@ -16,8 +16,9 @@ THRESHOLD = 0.5
 ROWS_PER_FILE = 100_000
 ALLOW, BLOCK = "allow", "block"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: The target of a link; quoted or bare.
-LINK = r"""(?is)<a\s[^>]*?\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
+#: The target of a link; quoted or bare. A tag ends at the next angle bracket and no blanks are
+#: given back, so a page is read in time that grows with its length.
+LINK = r"""(?is)<a\s[^<>]*?\bhref\s*+=\s*+["']?+\s*+([^"'\s<>]++)"""
 ABSOLUTE = r"(?s)^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)"
 
 
@@ -133,11 +134,11 @@ def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds:
 def judge(
     pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
-    """Per page: (page_id, host, path, rule, verdict, trust, distrust).
+    """Per page: (page_id, host, path, rule, verdict, trust, distrust, reached).
 
     The longest fitting rule decides. Elsewhere a host is allowed if its trust is at
     least ``threshold`` of its trust and distrust together, each as a share of all;
-    a host that neither reaches is allowed.
+    a host that neither reaches is allowed; ``reached`` tells it apart.
 
     ``rules`` are a policy of a caller, read as one expression per page. A null url
     and one without "://" have an empty host and path, fit no rule and are allowed.
@@ -154,5 +155,6 @@ def judge(
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_graph = F.when(trust >= threshold * (trust + distrust), ALLOW).otherwise(BLOCK)
     return rows.join(scores, "host", "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust")
+        "page_id", "host", "path", "rule", F.coalesce("by_rule", by_graph).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"),
+        (trust + distrust > 0).alias("reached"),
     )

@@ -195,3 +195,34 @@ def test_ranks_settle_and_reach_the_end_of_a_chain(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "MOST_ROUNDS", 3)
     with pytest.raises(RuntimeError, match="not settled in 3 rounds"):
         url_filter.judge(pages, rules)
+
+
+def links_of(spark, html):
+    pages = spark.createDataFrame([("http://a.org/x", html)], "url string, html string")
+    return sorted(r.dst for r in url_filter.host_edges(pages).where("dst <> 'org'").collect())
+
+
+def test_links_in_odd_markup(spark):
+    html = "<a class=x href = ' http://B.net/y'>1</a><A\nHREF=//c.net>2</a><a href=''>3</a><a name=n><a id=\"q\" href=\"https://d.net?z\">4</a><abbr href='http://no.net'>"
+    assert links_of(spark, html) == ["b.net", "c.net", "d.net"]
+
+
+def test_links_of_long_broken_pages(spark):
+    """Unclosed tags, blanks without end and attributes without a value take time in proportion to the page."""
+    started = time.monotonic()
+    for piece in ("<a ", "<a href=" + " " * 2000, "<a href" + " " * 2000, "<a x=y "):
+        assert links_of(spark, piece * (400_000 // len(piece)) + "<a href='http://b.net/'>") == ["b.net"]
+    assert time.monotonic() - started < 60
+
+
+def test_ties_of_rules_and_ranks(spark):
+    rules = [url_filter.Rule("block", "a.org", "/x"), url_filter.Rule("allow", "a.org", "/x"), url_filter.Rule("allow", "t.net", ""), url_filter.Rule("block", "b.net", "")]
+    rows = [
+        (1, "http://a.org/x", ""), (2, "http://t.net/", "<a href='http://m.com/'>"), (3, "http://m.com/", "<a href='http://b.net/'>"),
+        (4, "http://b.net/", ""), (5, "http://lone.info/", ""), (6, None, None),
+    ]
+    pages = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages, rules).collect()}
+    assert got[1].verdict == "block"  # of equal rules the first in the list
+    assert math.isclose(got[3].trust, got[3].distrust, rel_tol=0.6) and got[3].reached
+    assert got[5].verdict == got[6].verdict == "allow" and not got[5].reached and not got[6].reached
