@@ -11,7 +11,8 @@ PROBLEM_TYPES = ("classification", "regression")
 CLASSIFICATION_METRICS = ("accuracy", "precision", "recall", "f1")
 REGRESSION_METRICS = ("mae", "rmse", "r2")
 BINARY_METRICS = ("precision", "recall", "f1")
-HIGHER_IS_BETTER = ("accuracy", "precision", "recall", "f1", "r2")
+AGREEMENT_METRICS = ("kappa", "mcc")  # of a comparison of models only
+HIGHER_IS_BETTER = ("accuracy", "precision", "recall", "f1", "r2", *AGREEMENT_METRICS)
 IMPUTE_METHODS = ("mean", "iterative")
 VARIABLE_TYPES = ("ordinal", "nominal")
 METRIC_DISPLAY = {
@@ -19,6 +20,8 @@ METRIC_DISPLAY = {
     "precision": "Prec.",
     "recall": "Recall",
     "f1": "F1",
+    "kappa": "Kappa",
+    "mcc": "MCC",
     "mae": "MAE",
     "rmse": "RMSE",
     "r2": "R2",

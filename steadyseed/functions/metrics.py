@@ -107,8 +107,32 @@ def score(
     return preds.groupBy(*by).agg(metric_column(name).alias("score"))
 
 
-def _macro(preds: DataFrame, by: list[str]) -> DataFrame:
-    """Accuracy, and the means over classes of precision, recall and f1."""
+def classification_metrics(preds: DataFrame, by: list[str], average: str = "binary") -> DataFrame:
+    """Accuracy, precision, recall and f1 with ``average`` as in ``score``, Cohen's kappa and the Matthews coefficient.
+
+    All come from one count per label and prediction, combined map-side. Kappa and
+    Matthews cover any number of classes; both are 0 where they are not defined
+    (a single class among labels and predictions, or all predictions alike).
+    """
+    each = _per_class(preds, by)
+
+    def of_positive(name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("cls") == F.lit(POSITIVE), F.col(name))), F.lit(0.0))
+
+    hits, n = F.sum("tp"), F.sum("rows")
+    by_chance = F.sum(F.col("rows") * F.col("said"))
+    labels, said = F.sum(F.col("rows") * F.col("rows")), F.sum(F.col("said") * F.col("said"))
+    above = hits * n - by_chance
+    return each.groupBy(*by).agg(
+        (hits / n).alias("accuracy"),
+        *[(of_positive(m) if average == "binary" else F.avg(m)).alias(m) for m in BINARY_METRICS],
+        _ratio_or_zero(above, n * n - by_chance).alias("kappa"),
+        _ratio_or_zero(above, F.sqrt(n * n - said) * F.sqrt(n * n - labels)).alias("mcc"),
+    )
+
+
+def _per_class(preds: DataFrame, by: list[str]) -> DataFrame:
+    """``(by, cls, tp, rows, said, precision, recall, f1)`` of each class seen in labels or predictions."""
     hit = F.col("label") == F.col("prediction")
     # One row per (prediction, class it touches): the pair table is as small as
     # classes squared after the first, map-side combined, aggregation.
@@ -130,12 +154,16 @@ def _macro(preds: DataFrame, by: list[str]) -> DataFrame:
         return F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0.0))
 
     tp, fp, fn = total("tp"), total("fp"), total("fn")
-    each = sides.groupBy(*by, "cls").agg(
-        tp.alias("tp"), (tp + fn).alias("rows"),
+    return sides.groupBy(*by, "cls").agg(
+        tp.alias("tp"), (tp + fn).alias("rows"), (tp + fp).alias("said"),
         _ratio_or_zero(tp, tp + fp).alias("precision"),
         _ratio_or_zero(tp, tp + fn).alias("recall"),
         _ratio_or_zero(2.0 * tp, 2.0 * tp + fp + fn).alias("f1"),
     )
-    return each.groupBy(*by).agg(
+
+
+def _macro(preds: DataFrame, by: list[str]) -> DataFrame:
+    """Accuracy, and the means over classes of precision, recall and f1."""
+    return _per_class(preds, by).groupBy(*by).agg(
         (F.sum("tp") / F.sum("rows")).alias("accuracy"), *[F.avg(m).alias(m) for m in BINARY_METRICS]
     )

@@ -11,9 +11,9 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import classification as mlc, regression as mlr
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from steadyseed.config import METRIC_DISPLAY, default_metric, higher_is_better, metrics_for
+from steadyseed.config import AGREEMENT_METRICS, METRIC_DISPLAY, default_metric, higher_is_better, metrics_for
 from steadyseed.functions.inline import inline_rows
-from steadyseed.functions.metrics import all_metrics, check_binary_labels
+from steadyseed.functions.metrics import all_metrics, check_binary_labels, classification_metrics
 from steadyseed.operators import moments, trees as level_trees
 from steadyseed.operators.encode import encode_features
 from steadyseed.operators.forest import MAX_DEPTH, MODEL_SEED, assemble, class_of, forest, target_column
@@ -156,9 +156,10 @@ def _compared(
     rows = laid_out.select("row_id", "label", target_column(classes), "features", local.alias("parts")).persist()
     if average is None:
         average = "binary" if not stratify or len(classes) <= 2 and 1 in classes else "macro"
-    names = metrics_for(problem_type)
+    names = list(metrics_for(problem_type))
     for name in names:
         check_binary_labels(classes, name, average)
+    names += AGREEMENT_METRICS if stratify else ()
     width, partitions, parts = len(rows.select("features").first()["features"]), partitions_for(n), len(seeds) * folds
     everywhere = F.posexplode("parts").alias("at", "local")
     training = rows.select("label", "features", everywhere).where(F.col("local") > 0).select(
@@ -191,7 +192,7 @@ def _compared(
 
     def keep(scored: DataFrame) -> None:
         """Means over the folds of (part, model, label, prediction)."""
-        each = all_metrics(scored, problem_type, ["part", "model"], average)
+        each = _metrics(scored, problem_type, ["part", "model"], average)
         group = F.floor((F.col("part") - 1) / folds).cast("int").alias("at")
         for r in each.groupBy("model", group).agg(*[F.avg(m).alias(m) for m in names]).collect():
             totals[r["model"], r["at"]] = {m: r[m] for m in names}
@@ -219,7 +220,7 @@ def _compared(
         learn, check = own.where((F.col("part") > 0) & (F.col("part") != fold)), own.where(F.col("part") == fold)
         prediction = by_fold[name].copy().fit(learn).transform(check)
         each_fold[name, at].append(
-            all_metrics(prediction.select("label", value("prediction").alias("prediction")), problem_type, average=average).first()
+            _metrics(prediction.select("label", value("prediction").alias("prediction")), problem_type, [], average).first()
         )
 
     tasks = [([name], lambda name=name: by_trees(name)) for name in reversed(grown)]
@@ -254,6 +255,13 @@ def _compared(
     return inline_rows(spark, found, schema)
 
 
+def _metrics(preds: DataFrame, problem_type: str, by: list[str], average: str) -> DataFrame:
+    """The columns of a comparison: all metrics, and for classes kappa and Matthews from the same counts."""
+    if problem_type == "classification":
+        return classification_metrics(preds, by, average)
+    return all_metrics(preds, problem_type, by, average)
+
+
 def _baseline(training: DataFrame, problem_type: str, folds: int, parts: int) -> DataFrame:
     """``(part, label, prediction)``: the majority class or the mean of the other folds, from one count per part."""
     counts = training.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n")) if problem_type == "classification" else (

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from steadyseed.config import MAX_LOOKUP_ROWS, TEST_SHARE
 from steadyseed.functions.hashing import keyed_hash
 from steadyseed.functions.inline import inline_rows
+from steadyseed.functions.numbering import numbered
+from steadyseed.functions.skew import HOT_KEYS_AT_MOST, HOT_ROWS, lookup_join
 
 # Rows of one seed and class that a single ranking task should receive, and the
-# hex digits of the hash that may be used to get there (65,536 prefixes).
+# hex digits of the hash that may be used to get there (16 million prefixes, enough for 8e11 rows).
 RANKED_ROWS = 50_000
-MAX_DIGITS = 4
+MAX_DIGITS = 6
 
 
 def class_sizes(df: DataFrame, label: str | None) -> dict:
@@ -49,6 +51,23 @@ def quotas(sizes: dict, share: float = TEST_SHARE) -> dict:
     return taken
 
 
+def quota_table(sizes: DataFrame, total: int, share: float = TEST_SHARE) -> DataFrame:
+    """``quotas`` for any number of classes: ``(class, part, rank)`` from ``sizes`` (class, n), nothing collected.
+
+    The spare rows go to the largest remainders; a class's place among them comes
+    from numbering the classes by ranges, not from a sort in one task.
+    """
+    wanted = -(-total * round(share * 1_000_000) // 1_000_000)
+    exact = F.col("n").cast("decimal(20,0)") * F.lit(wanted).cast("decimal(18,0)")
+    # both are below the total, so they fit a bigint although the product does not
+    shares = sizes.withColumn("exact", exact).selectExpr(
+        "class", f"CAST(exact div {total} AS BIGINT) AS whole", f"CAST(exact % {total} AS BIGINT) AS rest"
+    )
+    placed = numbered(shares, [F.col("rest").desc(), F.col("class")], "place")
+    spare = wanted - placed.agg(F.sum("whole")).first()[0]
+    return placed.select("class", F.lit(0).alias("part"), (F.col("whole") + (F.col("place") < spare).cast("bigint")).alias("rank"))
+
+
 def _prefix_length(rows: int, ranked_rows: int) -> int:
     return min(MAX_DIGITS, math.ceil(math.log(rows / ranked_rows, 16))) if rows > ranked_rows else 0
 
@@ -67,14 +86,22 @@ def hash_cutoffs(
     ``part`` numbers the ranks of a class; a rank of 0 has no cutoff row.
     """
     sizes = sizes or class_sizes(df, label)
-    spark = df.sparkSession
-    digits = _prefix_length(max(sizes.values(), default=0), ranked_rows)
     label_type = df.schema[label].dataType.simpleString() if label else "int"
     wanted = inline_rows(
-        spark,
+        df.sparkSession,
         [(c, i, r) for c, rs in ranks.items() for i, r in enumerate(rs) if r > 0],
         {"class": label_type, "part": "int", "rank": "bigint"},
     )
+    # At most one row per seed, class and rank.
+    small = len(seeds) * sum(len(r) for r in ranks.values()) <= MAX_LOOKUP_ROWS
+    return _cutoffs_at(df, row_id, seeds, F.broadcast(wanted), label, max(sizes.values(), default=0), ranked_rows, small)
+
+
+def _cutoffs_at(
+    df: DataFrame, row_id: str, seeds: list[int], wanted: DataFrame, label: str | None, largest: int, ranked_rows: int, small: bool
+) -> DataFrame:
+    """``hash_cutoffs`` for ``wanted`` (class, part, rank); ``small`` if it may be broadcast once per seed."""
+    digits = _prefix_length(largest, ranked_rows)
     cls = F.col(label) if label else F.lit(None).cast("int")
     drawn = df.select(
         cls.alias("class"), F.col(row_id).alias("id"), F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
@@ -87,7 +114,7 @@ def hash_cutoffs(
             .withColumn("upto", F.sum("n").over(by_prefix))
         )
         holds_rank = (F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank"))
-        holding = tallied.join(F.broadcast(wanted), tallied["class"].eqNullSafe(wanted["class"]) & holds_rank).select(
+        holding = tallied.join(wanted, tallied["class"].eqNullSafe(wanted["class"]) & holds_rank).select(
             tallied["class"], "seed", "prefix", "part", (F.col("rank") - F.col("upto") + F.col("n")).alias("offset")
         )
     else:
@@ -96,8 +123,7 @@ def hash_cutoffs(
             "part", F.col("rank").alias("offset"),
         )
     prefixes = holding.groupBy("class", "seed", "prefix").agg(F.collect_list(F.struct("part", "offset")).alias("parts"))
-    # At most one row per seed, class and rank.
-    if len(seeds) * sum(len(r) for r in ranks.values()) <= MAX_LOOKUP_ROWS:
+    if small:
         prefixes = F.broadcast(prefixes)
     near = drawn.alias("d").join(
         prefixes.alias("p"),
@@ -130,8 +156,11 @@ def assign_split(
     """Every row once per seed with ``seed`` and ``is_test``.
 
     The test part has exactly ceil(share * n) rows; with ``stratify`` each class
-    contributes its share of them.
+    contributes its share of them. More classes than ``MAX_LOOKUP_ROWS`` stay in
+    tables: sizes, quotas and cutoffs are joined, with the same result.
     """
+    if stratify and df.select(stratify).distinct().limit(MAX_LOOKUP_ROWS + 1).count() > MAX_LOOKUP_ROWS:
+        return _assign_many_classes(df, row_id, seeds, test_share, stratify, ranked_rows)
     sizes = class_sizes(df, stratify)
     if stratify:
         check_stratified(sizes)
@@ -148,6 +177,27 @@ def assign_split(
     return rows.join(cutoffs, on, "left").withColumn("is_test", is_test).drop("__seed", "__class", "cutoff")
 
 
+def _assign_many_classes(df: DataFrame, row_id: str, seeds: list[int], test_share: float, stratify: str, ranked_rows: int) -> DataFrame:
+    """``assign_split`` by joined tables; rows of a class with more than 1/1000 of the table are spread over salts."""
+    sizes = df.groupBy(F.col(stratify).alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    total, largest, missing, small = sizes.agg(
+        F.sum("n"), F.max("n"), F.count_if(F.col("class").isNull()), F.count_if(F.col("n") < 2)
+    ).first()
+    if missing:
+        raise ValueError("the label holds missing values")
+    if small:
+        check_stratified({r["class"]: r["n"] for r in sizes.where(F.col("n") < 2).orderBy("class").limit(10).collect()})
+    wanted = quota_table(sizes, total, test_share).where(F.col("rank") > 0)
+    cutoffs = _cutoffs_at(df, row_id, seeds, wanted, stratify, largest, ranked_rows, small=False)
+    cutoffs = cutoffs.select("seed", F.col("class").alias(stratify), F.col("cutoff").alias("__cutoff"))
+    every_seed = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")
+    hot = sizes.where(F.col("n") > max(HOT_ROWS, total // HOT_KEYS_AT_MOST)).select(F.col("class").alias(stratify), every_seed)
+    rows = df.withColumn("seed", every_seed)
+    found = lookup_join(rows, cutoffs, ["seed", stratify], row_id, "left", hot=hot)
+    is_test = F.coalesce(keyed_hash(F.col("seed"), F.col(row_id)) <= F.col("__cutoff"), F.lit(False))
+    return found.select(*rows.columns, is_test.alias("is_test"))
+
+
 def collect_cutoffs(cutoffs: DataFrame) -> dict[int, dict]:
     """``{seed: {class: [cutoff per part]}}``; as many entries as seeds x classes x parts."""
     found: dict[int, dict] = {}

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from steadyseed.config import AnalysisConfig, CategoricalConfig, ensure_checkpoint_dir
 from steadyseed.functions.columns import col
-from steadyseed.functions.metrics import all_metrics, metric_column, score
+from steadyseed.functions.metrics import all_metrics, classification_metrics, metric_column, score
+from steadyseed.functions.ranking import area_under_curve
 from steadyseed.operators import (
     encode,
     forest,
+    hashed_neighbours,
     impute,
     leaderboard,
     profile,
@@ -746,6 +748,59 @@ def _(spark, d):
     return split.assign_split(rows, "row_id", [1, 2], stratify="l_returnflag", ranked_rows=5000)
 
 
+# Every line twice, so that each order has two lines; orders as classes: more than 100,000 from sf0.1 on.
+TWICE = f"SELECT {fx.LINE_ID_SQL} || half AS row_id, l_orderkey FROM lineitem, (VALUES ('a'), ('b')) AS t(half)"
+
+
+@register("assign_split_many_classes", f"""
+    WITH {q.split_sql(TWICE, 'row_id', [1], 'l_orderkey')}
+    SELECT row_id, l_orderkey, seed::INTEGER AS seed, is_test FROM split""")
+def _(spark, d):
+    halves = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("half")
+    rows = fx.lines(spark, d).select("row_id", "l_orderkey", halves).select(F.concat("row_id", "half").alias("row_id"), "l_orderkey")
+    return split.assign_split(rows, "row_id", [1], stratify="l_orderkey")
+
+
+# Area under the curve with many ties, and the agreement of labels with a guess, per line status.
+@register("area_under_curve_lineitem", f"""
+    WITH rows AS (SELECT l_linestatus, floor(l_extendedprice / 100) AS score, CAST({fx.NET} > 40000 AS INTEGER) AS label FROM lineitem),
+    tally AS (SELECT l_linestatus, score, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM rows GROUP BY ALL),
+    running AS (SELECT *, coalesce(sum(neg) OVER (
+        PARTITION BY l_linestatus ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM tally)
+    SELECT l_linestatus, round(sum(pos * (below + neg / 2.0)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE), 9) AS auc,
+        sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives FROM running GROUP BY l_linestatus""")
+def _(spark, d):
+    rows = fx.table(spark, d, "lineitem", spread=True).select(
+        "l_linestatus", F.floor(F.col("l_extendedprice") / 100).alias("score"), F.expr(f"CAST({fx.NET} > 40000 AS INT)").alias("label")
+    )
+    return rounded(area_under_curve(rows, ["l_linestatus"]), "auc", digits=9)
+
+
+@register("classification_metrics_lineitem", f"""
+    WITH rows AS (SELECT l_linestatus, CAST({fx.NET} > 40000 AS INTEGER) AS label, CAST(l_extendedprice > 38000 AS INTEGER) AS guess FROM lineitem),
+    c AS (SELECT l_linestatus, count(*)::DOUBLE AS n, count(*) FILTER (label = 1 AND guess = 1)::DOUBLE AS tp,
+        count(*) FILTER (label = 0 AND guess = 1)::DOUBLE AS fp, count(*) FILTER (label = 1 AND guess = 0)::DOUBLE AS fn,
+        count(*) FILTER (label = 0 AND guess = 0)::DOUBLE AS tn FROM rows GROUP BY l_linestatus)
+    SELECT l_linestatus, round((tp + tn) / n, 9) AS accuracy, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall,
+        round(2 * tp / (2 * tp + fp + fn), 9) AS f1,
+        round(2 * (tp * tn - fn * fp) / ((tp + fp) * (fp + tn) + (tp + fn) * (fn + tn)), 9) AS kappa,
+        round((tp * tn - fp * fn) / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 9) AS mcc FROM c""")
+def _(spark, d):
+    rows = fx.table(spark, d, "lineitem", spread=True).select(
+        "l_linestatus", F.expr(f"CAST({fx.NET} > 40000 AS INT)").alias("label"), (F.col("l_extendedprice") > 38000).cast("int").alias("prediction")
+    )
+    return rounded(classification_metrics(rows, ["l_linestatus"]), "accuracy", "precision", "recall", "f1", "kappa", "mcc", digits=9)
+
+
+# Approximate neighbours of every vector, with how many of the exact ones are among them.
+@register("hashed_neighbours_embeddings")
+def _(spark, d):
+    rows = fx.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("id"), F.lit("").alias("part"), F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("vec")
+    )
+    return hashed_neighbours.with_recall(rows, rows, 5).select(F.col("id").alias("vec_id"), "neighbours", "hits")
+
+
 @register("baseline_predictions", f"""
     WITH {q.split_sql(ORDER_SOURCE, 'o_orderkey', [1, 2, 3])},
     learned AS (SELECT seed, avg(o_totalprice) AS prediction FROM split WHERE NOT is_test GROUP BY seed)

@@ -1,7 +1,11 @@
+import random
+
+import numpy as np
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 import pytest
 
-from steadyseed.functions.metrics import all_metrics, check_binary_labels, score
+from steadyseed.functions.metrics import all_metrics, check_binary_labels, classification_metrics, score
+from steadyseed.functions.ranking import area_under_curve
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +72,33 @@ def test_all_metrics_over_three_classes(spark):
     assert abs(row.accuracy - 4 / 6) < 1e-12
     assert abs(row.recall - (1 / 2 + 1 + 1 / 2) / 3) < 1e-12
     assert abs(row.precision - (1 / 2 + 2 / 3 + 1) / 3) < 1e-12
+
+
+def test_area_under_curve_against_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b"]), rng.choice([None, 0, 1, 1]), rng.choice([None, -0.0, 0.0, 0.5, 0.5, float("nan"), rng.random()])) for _ in range(400)]
+    rows += [("one", 1, 0.3), ("one", 1, 0.2), (None, 1, 2.0), (None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, label int, score double")
+    place = lambda s: (0, 0.0) if s is None else (2, 0.0) if s != s else (1, s + 0.0)
+    for parts in (1, 7):
+        got = {r.g: r for r in area_under_curve(df.repartition(parts), ["g"]).collect()}
+        assert set(got) == {"a", "b", "one", None} and got["one"].auc is None and got[None].auc == 1.0
+        for g in ("a", "b"):
+            yes = [place(s) for x, y, s in rows if x == g and y == 1]
+            no = [place(s) for x, y, s in rows if x == g and y != 1]
+            assert got[g].auc == pytest.approx(sum((a > b) + (a == b) / 2 for a in yes for b in no) / len(yes) / len(no))
+    assert area_under_curve(df.limit(0), ["g"]).count() == 0
+
+
+def test_agreement_of_several_classes(spark):
+    rng = random.Random(4)
+    rows = [(1, float(y), float(y if rng.random() < 0.6 else rng.randrange(4))) for y in (rng.randrange(4) for _ in range(300))] + [(2, 1.0, 1.0)] * 3
+    got = {r.seed: r for r in classification_metrics(spark.createDataFrame(rows, "seed int, label double, prediction double"), ["seed"], "macro").collect()}
+    pairs = [(y, p) for s, y, p in rows if s == 1]
+    n, hits = len(pairs), sum(y == p for y, p in pairs)
+    chance = sum(sum(y == c for y, _ in pairs) * sum(p == c for _, p in pairs) for c in range(4))
+    assert got[1].kappa == pytest.approx((hits / n - chance / n**2) / (1 - chance / n**2))
+    y, p = np.eye(4)[[int(a) for a, _ in pairs]], np.eye(4)[[int(b) for _, b in pairs]]
+    cov = lambda a, b: sum(np.cov(a[:, c], b[:, c], bias=True)[0, 1] for c in range(4))
+    assert got[1].mcc == pytest.approx(cov(y, p) / (cov(y, y) * cov(p, p)) ** 0.5)
+    assert (got[2].accuracy, got[2].kappa, got[2].mcc) == (1.0, 0.0, 0.0)

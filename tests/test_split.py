@@ -72,3 +72,24 @@ def test_many_classes_are_split(spark):
     df = spark.range(36_000).select("id", (F.col("id") % 12_000).alias("y"))
     sizes = split.class_sizes(df, "y")
     assert len(sizes) == 12_000 and sum(split.quotas(sizes).values()) == 10_800
+
+
+def test_quotas_of_many_classes_stay_in_tables(spark, monkeypatch):
+    """Joined quotas and cutoffs give the split of the collected ones, with a hot class and ties of remainders."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 400).alias("y"), F.lit("x").alias("other"))
+    want = split.assign_split(df, "id", [1, 4], stratify="y").collect()
+    sizes = split.class_sizes(df, "y")
+    table = spark.createDataFrame(list(sizes.items()), "class bigint, n bigint")
+    assert {r["class"]: r["rank"] for r in split.quota_table(table, 3000).collect()} == split.quotas(sizes)
+    huge = spark.createDataFrame([(1, 10**15), (2, 10**15 + 1)], "class bigint, n bigint")
+    assert {r["class"]: r["rank"] for r in split.quota_table(huge, 2 * 10**15 + 1).collect()} == split.quotas({1: 10**15, 2: 10**15 + 1})
+    monkeypatch.setattr(split, "MAX_LOOKUP_ROWS", 50)
+    monkeypatch.setattr(split, "HOT_ROWS", 100)
+    for ranked_rows in (20, 10**6):
+        got = split.assign_split(df, "id", [1, 4], stratify="y", ranked_rows=ranked_rows)
+        assert got.columns == ["id", "y", "other", "seed", "is_test"]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    with pytest.raises(ValueError, match="two rows per class"):
+        split.assign_split(df.unionByName(spark.sql("SELECT 9999L AS id, -1L AS y, 'x' AS other")), "id", [1], stratify="y")
+    with pytest.raises(ValueError, match="missing"):
+        split.assign_split(df.unionByName(spark.sql("SELECT 9999L AS id, NULL AS y, 'x' AS other")), "id", [1], stratify="y")
