@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from steadyseed.config import MAX_LOOKUP_ROWS, CategoricalConfig
+from steadyseed.config import MAX_LOOKUP_ROWS, CategoricalConfig, ensure_checkpoint_dir
 from steadyseed.functions.columns import col, is_missing, is_nested, kinds, value_text
 from steadyseed.functions.inline import inline_rows
 from steadyseed.functions.numbering import numbered
@@ -16,7 +19,9 @@ from steadyseed.operators.profile import distinct_counts
 from steadyseed.sources.infer import DECIMAL_TEXT
 
 MAX_LOOKUP_BYTES = 4 << 20
+MAX_VECTOR_SIZE = 2**31 - 1
 NAN_TEXT = "nan"
+LAYOUTS = ("columns", "vector")
 
 
 def drop_columns(df: DataFrame, target: str, removals: list[str]) -> DataFrame:
@@ -189,14 +194,74 @@ def _sparse_one_hot(df: DataFrame, name: str, row_id: str | None) -> DataFrame:
     return encoder.fit(indexed).transform(indexed).drop("__text", "__code", "__index")
 
 
+def category_dictionary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column_name, value, code)``: the categories of all columns, numbered together from 0.
+
+    Codes go column by column in the given order, and by value inside a column, a
+    missing value (and the text ``nan``) being the last one. Values are combined
+    map-side and numbered by ranges; none is brought to the driver. A table without
+    rows, or no columns, gives an empty dictionary.
+    """
+    if not columns:
+        return inline_rows(df.sparkSession, [], {"column_name": "string", "value": "string", "code": "bigint"})
+    ensure_checkpoint_dir(df.sparkSession)
+    texts = df.select(*[category_text(df, c).alias(str(i)) for i, c in enumerate(columns)])
+    cells = texts.unpivot([], texts.columns, "position", "value").distinct()
+    placed = cells.select(F.col("position").cast("int").alias("position"), "value")
+    ordered = numbered(placed, [F.col("position"), F.col("value") == NAN_TEXT, F.col("value")], "code")
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("position"))
+    return ordered.select(name.alias("column_name"), "value", "code").checkpoint()
+
+
+def _unit_vectors(codes: pa.Array, sizes: pa.Array) -> pa.Array:
+    """Sparse vectors with 1 at the codes, in the layout of MLlib's vector type."""
+    places = codes.cast(pa.list_(pa.int32()))
+    ones = pa.ListArray.from_arrays(places.offsets, pa.array(np.ones(len(places.values))))
+    kind = pa.array(np.zeros(len(codes), dtype=np.int8))
+    return pa.StructArray.from_arrays([kind, sizes.cast(pa.int32()), places, ones], ["type", "size", "indices", "values"])
+
+
+def one_hot_vector(
+    df: DataFrame, columns: list[str], output: str = "onehot", row_id: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``df`` with one sparse vector in place of the columns, and the dictionary that names its places.
+
+    A row has a 1 at the code of its category in each column (``category_dictionary``),
+    so the vector is as long as there are categories and the plan does not grow with
+    them. Dictionaries up to ``MAX_LOOKUP_ROWS`` rows of ``MAX_LOOKUP_BYTES`` are
+    broadcast; larger ones are joined, hot categories being spread by ``row_id``
+    where it is given. Every row stays, repeated ones too.
+    """
+    dictionary = category_dictionary(df, columns)
+    rows, bytes_ = dictionary.agg(F.count(F.lit(1)), F.sum(F.octet_length("value"))).first()
+    if rows > MAX_VECTOR_SIZE:
+        raise ValueError(f"{rows} categories are more than a vector can hold")
+    small = rows <= MAX_LOOKUP_ROWS and (bytes_ or 0) <= MAX_LOOKUP_BYTES
+    table, kept = df, [c for c in df.columns if c not in columns]
+    for i, name in enumerate(columns):
+        lookup = dictionary.where(F.col("column_name") == F.lit(name)).select(F.col("value").alias("__key"), F.col("code").alias(f"__code_{i}"))
+        keyed = table.withColumn("__key", category_text(df, name))
+        if small:
+            table = keyed.join(F.broadcast(lookup), "__key").drop("__key")
+        elif row_id is None:  # nothing to salt hot values by: Spark splits large partitions of the join
+            table = keyed.join(lookup, "__key").drop("__key")
+        else:
+            table = lookup_join(keyed, lookup, ["__key"], row_id).drop("__key")
+    codes = F.array(*[F.col(f"__code_{i}").cast("int") for i in range(len(columns))]).cast("array<int>")
+    vector = F.arrow_udf(_unit_vectors, VectorUDT())(codes, F.lit(rows).cast("int"))
+    taken = {c.lower() for c in kept}
+    return table.select(*[col(c) for c in kept], vector.alias(distinct_name(output, taken))), dictionary
+
+
 @dataclass
 class EncodedFeatures:
-    """Encoded table, its feature columns, those that hold numbers, and findings about columns left out."""
+    """Encoded table, its feature columns, those that hold numbers, findings about columns left out, names of a vector's places."""
 
     table: DataFrame
     features: list[str]
     numeric: list[str]
     findings: list[tuple] = field(default_factory=list)
+    dictionary: DataFrame | None = None
 
 
 def encode_features(
@@ -205,13 +270,19 @@ def encode_features(
     configs: list[CategoricalConfig] | None = None,
     row_id: str | None = None,
     max_categories: int | None = None,
+    layout: str = "columns",
 ) -> EncodedFeatures:
     """Numeric columns as doubles, configured ordinals as positions, other text one-hot.
 
+    ``layout='columns'`` gives a 0/1 column per category, whose names the driver
+    has to know; ``layout='vector'`` gives one sparse vector ``onehot`` with a
+    dictionary table at any number of categories, none of them on the driver.
     ``keep`` names columns that are no features (row id, label). Datetime and
     nested columns cannot be encoded; they are left out with a finding, except
     arrays of numbers, which are features already.
     """
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}, got {layout!r}")
     by_name = {c.variable_name: c for c in configs or []}
     kind = kinds(df)
     found: list[tuple] = []
@@ -238,11 +309,14 @@ def encode_features(
     for name in ordinal:
         ordering = by_name[name].value_ordering
         table = ordinal_encode(table, name, ordering) if ordering else ordinal_encode_auto(table, name, row_id)
-    if nominal:
+    dictionary = None
+    if nominal and layout == "vector":
+        table, dictionary = one_hot_vector(table, nominal, row_id=row_id)
+    elif nominal:
         table = one_hot_encode(table, nominal, max_categories, row_id)
     features = [c for c in table.columns if c not in keep]
     numbers = [c for c in features if isinstance(table.schema[c].dataType, T.NumericType)]
-    return EncodedFeatures(table, features, numbers, found)
+    return EncodedFeatures(table, features, numbers, found, dictionary)
 
 
 def _as_number(df: DataFrame, name: str) -> Column:

@@ -74,7 +74,11 @@ def ordering_differences(df: DataFrame, configs: list[CategoricalConfig]) -> Dat
 def validate_categorical_configs(
     df: DataFrame, configs: list[CategoricalConfig]
 ) -> tuple[list[CategoricalConfig], DataFrame]:
-    """The configurations that hold for the table, and findings about the others."""
+    """The configurations that hold for the table, and findings about the others.
+
+    A finding names every value; its text is put together in Spark, and only which
+    configurations differ reaches the driver.
+    """
     rows: list[tuple] = []
     kind = kinds(df)
     usable = []
@@ -87,21 +91,29 @@ def validate_categorical_configs(
         else:
             usable.append(config)
     differences = ordering_differences(df, usable)
-    tally = {}
+    tally: set[tuple[int, str]] = set()  # at most two per configuration
     if any(c.variable_type == "ordinal" and c.value_ordering for c in usable):
-        counted = differences.groupBy("config", "side").agg(F.count(F.lit(1)).alias("n")).collect()
-        tally = {(r["config"], r["side"]): r["n"] for r in counted}
-    values: dict[tuple[int, str], list[str]] = {key: [] for key in tally}
-    if tally:  # all are named, as the finding's text has them all
-        for r in differences.orderBy("config", "side", "value").collect():
-            values[(r["config"], r["side"])].append(r["value"])
-    for i, side in sorted(tally, key=lambda k: (k[0], k[1] == "extra")):
-        name = usable[i].variable_name
-        shown = ", ".join(values[(i, side)])
-        text = MISSING_VALUES if side == "missing" else EXTRA_VALUES
-        rows.append(("warning", "categorical_config", name, text.format(name, shown)))
+        tally = {(r["config"], r["side"]) for r in differences.select("config", "side").distinct().collect()}
+    found = findings(df.sparkSession, rows)
+    if tally:
+        found = found.unionByName(_difference_findings(differences, usable, sorted(tally)))
     rejected = {i for i, _ in tally}
-    return [c for i, c in enumerate(usable) if i not in rejected], findings(df.sparkSession, rows)
+    return [c for i, c in enumerate(usable) if i not in rejected], found
+
+
+def _difference_findings(differences: DataFrame, configs: list[CategoricalConfig], sides: list[tuple[int, str]]) -> DataFrame:
+    """One finding per configuration and side that names all its values; the texts are put together in Spark."""
+    templates = {"missing": MISSING_VALUES, "extra": EXTRA_VALUES}
+    starts = inline_rows(
+        differences.sparkSession,
+        [(i, side, configs[i].variable_name, templates[side].format(configs[i].variable_name, "")) for i, side in sides],
+        {"config": "int", "side": "string", "column": "string", "start": "string"},
+    )
+    named = differences.groupBy("config", "side").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("named"))
+    return named.join(F.broadcast(starts), ["config", "side"]).select(
+        F.lit("warning").alias("severity"), F.lit("categorical_config").alias("check"), "column",
+        F.concat("start", "named").alias("message"),
+    )
 
 
 def _settings_findings(cfg: AnalysisConfig) -> list[tuple]:

@@ -630,6 +630,33 @@ def _(spark, d):
     return encode.encode_features(rows, ["o_orderkey"], ORDER_CONFIGS[:1]).table
 
 
+# Every text of the documents is a category: one vector of all categories, and the dictionary that names its places.
+CATEGORIES_SQL = """t AS (SELECT doc_id, coalesce(lang, 'nan') AS lang, coalesce(source, 'nan') AS source, coalesce(text, 'nan') AS text
+        FROM documents),
+    cells AS (SELECT 0 AS p, 'lang' AS column_name, lang AS value FROM t UNION SELECT 1, 'source', source FROM t
+        UNION SELECT 2, 'text', text FROM t),
+    codes AS (SELECT column_name, value, row_number() OVER (ORDER BY p, value = 'nan', value) - 1 AS code FROM cells)"""
+
+
+def _documents_as_vector(spark, d):
+    rows = fx.table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    return encode.encode_features(rows, ["doc_id"], row_id="doc_id", layout="vector")
+
+
+@register("encode_features_vector", f"""
+    WITH {CATEGORIES_SQL}
+    SELECT doc_id, '(' || (SELECT count(*) FROM codes) || ',[' || l.code || ',' || s.code || ',' || x.code || '],[1.0,1.0,1.0])' AS onehot
+    FROM t JOIN codes l ON l.column_name = 'lang' AND l.value = t.lang JOIN codes s ON s.column_name = 'source' AND s.value = t.source
+        JOIN codes x ON x.column_name = 'text' AND x.value = t.text""")
+def _(spark, d):
+    return _documents_as_vector(spark, d).table.withColumn("onehot", F.col("onehot").cast("string"))
+
+
+@register("category_dictionary", f"WITH {CATEGORIES_SQL} SELECT column_name, md5(value) AS value_md5, code FROM codes")
+def _(spark, d):
+    return _documents_as_vector(spark, d).dictionary.select("column_name", F.md5("value").alias("value_md5"), "code")
+
+
 def _numbers(spark, d):
     return fx.toxic(spark, d).select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
                                      F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("bigint").alias("label"))

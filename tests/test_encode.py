@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -155,3 +156,44 @@ def test_codes_are_the_same_by_either_way(spark, monkeypatch):
     monkeypatch.setattr(encode, "MAX_LOOKUP_ROWS", 50)
     many = sorted((r.label, r.n) for r in encode.index_target(df, "t").groupBy("label").agg(F.count("*").alias("n")).collect())
     assert few == many and [x for x, _ in few] == list(range(700))
+
+
+def test_one_vector_for_all_categories(spark):
+    rows = [(1, "b", "x", 5.0), (2, None, "y", 6.0), (3, "nan", "x", 7.0), (4, "a", "", 8.0), (4, "a", "", 8.0)]
+    df = spark.createDataFrame(rows, "id int, city string, `a b` string, pay double")
+    found = encode.encode_features(df, ["id"], layout="vector")
+    assert found.features == ["pay", "onehot"] and found.numeric == ["pay"]
+    names = {(r["column_name"], r["value"]): r["code"] for r in found.dictionary.collect()}
+    cities = ["a", "b", "nan"]
+    blank = encode.category_text(df, "a b")
+    others = sorted((r[0] for r in df.select(blank).distinct().collect()), key=lambda v: (v == "nan", v))
+    order = [("city", v) for v in cities] + [("a b", v) for v in others]
+    assert names == {key: i for i, key in enumerate(order)}
+    got = sorted((r["id"], [int(i) for i in r["onehot"].indices], r["onehot"].size) for r in found.table.collect())
+    wanted = sorted(
+        (r["id"], [names[("city", r["c"])], names[("a b", r["o"])]], len(names))
+        for r in df.select("id", encode.category_text(df, "city").alias("c"), blank.alias("o")).collect()
+    )
+    assert got == wanted
+    assembled = VectorAssembler(inputCols=found.features, outputCol="features").transform(found.table)
+    assert assembled.where("id = 2").first()["features"].size == len(names) + 1
+
+
+def test_large_dictionaries_give_the_same_vectors(spark, monkeypatch):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("c"), F.col("id") % 700)).alias("kind"))
+    few = {r["id"]: r["onehot"] for r in encode.one_hot_vector(df, ["kind"], row_id="id")[0].collect()}
+    monkeypatch.setattr(encode, "MAX_LOOKUP_ROWS", 50)
+    for row_id in (None, "id"):
+        many = {r["id"]: r["onehot"] for r in encode.one_hot_vector(df, ["kind"], row_id=row_id)[0].collect()}
+        assert many == few and len(few) == 3000
+    assert few[3].indices[0] == few[3].size - 1 == 700
+
+
+def test_vector_of_nothing(spark):
+    empty = spark.createDataFrame([], "id int, onehot string, kind string")
+    table, dictionary = encode.one_hot_vector(empty, ["kind"])
+    assert table.columns == ["id", "onehot", "onehot_2"] and table.isEmpty() and dictionary.isEmpty()
+    none, _ = encode.one_hot_vector(spark.range(2), [])
+    assert [r["onehot"].size for r in none.collect()] == [0, 0]
+    with pytest.raises(ValueError, match="layout"):
+        encode.encode_features(empty, ["id"], layout="rows")

@@ -32,6 +32,10 @@ def test_ordering_missing_and_extra(df):
     assert [m[2] for m in messages(found)] == [
         "Extra values in ordering for 'level': top", "Missing values in ordering for 'level': high",
     ]
+    many = CategoricalConfig("text", "ordinal", ["x0", "y"])
+    shown = [m[2] for m in messages(validate.validate_categorical_configs(df, [many])[1])]
+    others = ", ".join(sorted(f"x{i}" for i in range(1, 60)))
+    assert shown == ["Extra values in ordering for 'text': y", f"Missing values in ordering for 'text': {others}"]
     repeated = CategoricalConfig("level", "ordinal", ["low", "mid", "high", "low"])
     assert validate.validate_categorical_configs(df, [repeated])[0] == [repeated]
 
