@@ -113,3 +113,24 @@ def test_adasyn_leaves_alone(spark):
     assert "fewer than 6 rows" in reason and table.count() == 300
     apart = df.withColumn("x", F.col("x") + F.col("label") * 1000)
     assert "no minority row" in resample.adasyn(apart, "id", ["x", "z"], "label")[1]
+
+
+def test_a_query_is_copied_per_group_of_cells_not_per_cell(spark):
+    from steadyseed.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    # wide and alike in all directions, so that no cell can be ruled out
+    df = points(spark, rng.normal(size=(400, 24)).tolist())
+    pivots = np.array([r["vec"] for r in df.limit(40).collect()])
+    cells = neighbours._cells(neighbours._assign_points(df, pivots), pivots)
+    groups = neighbours._grouped(cells, 200)
+    at_home = neighbours._visits(df.select("part", F.col("id").cast("string").alias("qkey"), "vec"), cells, 6, home=True)
+    rows = neighbours._visits(at_home, cells, 6, home=False, groups=groups).select(F.size("cells").alias("n")).collect()
+    assert sum(r["n"] for r in rows) > 400 * 30 and len(rows) <= 400 * (max(groups[""]) + 1)
+
+
+def test_shares_of_some_rows_against_all(spark):
+    df = imbalanced(spark)
+    whole = resample.neighbour_shares(df, "id", ["x", "z"], "label", [1], block_rows=40).select("id", "others")
+    some = resample.neighbour_shares(df, "id", ["x", "z"], "label", [1], block_rows=40, asked=F.col("id") % 12 == 0).select("id", "others")
+    assert sorted(some.collect()) == sorted(r for r in whole.collect() if r["id"] % 12 == 0) and some.count() == 25
