@@ -93,3 +93,16 @@ def test_quotas_of_many_classes_stay_in_tables(spark, monkeypatch):
         split.assign_split(df.unionByName(spark.sql("SELECT 9999L AS id, -1L AS y, 'x' AS other")), "id", [1], stratify="y")
     with pytest.raises(ValueError, match="missing"):
         split.assign_split(df.unionByName(spark.sql("SELECT 9999L AS id, NULL AS y, 'x' AS other")), "id", [1], stratify="y")
+
+
+def test_many_classes_are_ranked_in_one_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(split, "MAX_LOOKUP_ROWS", 10)
+    # an id twice, and one class that is too large to be ranked by one task
+    df = spark.range(3000).select(F.when(F.col("id") < 20, 7).otherwise(F.col("id")).alias("id"), F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 60).alias("c"))
+    found = {n: split.assign_split(df, "id", [1, 2], stratify="c", ranked_rows=n) for n in (100, 10_000)}
+    tally = lambda t: sorted(map(tuple, t.groupBy(*t.columns).count().collect()))
+    monkeypatch.setattr(split, "MAX_LOOKUP_ROWS", 10_000)
+    few = split.assign_split(df, "id", [1, 2], stratify="c")
+    assert tally(found[100]) == tally(found[10_000]) == tally(few.select(*found[100].columns))
+    plan = found[10_000]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") > 0 and "__salt" not in plan
