@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 import pytest
 
@@ -225,3 +226,41 @@ def test_odd_tables(spark):
     no_features = forest.assemble(rows.select(F.col("row_id").alias("id"), "label", "member"), "id", [], "label").join(rows.select("row_id", "member"), "row_id").withColumn("__y", F.col("label"))
     cuts = trees.cuts_of(no_features)
     assert cuts == [] and trees.grow(trees.prepared(no_features, F.col("member"), cuts), 2, 1, g).value[0, 0, 0, 0] == pytest.approx(y.mean())
+
+
+def test_rows_of_equal_bins_are_added_up_once(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.integers(0, 4, 3)], float(rng.integers(0, 2)), bool(rng.integers(0, 3))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "row_id bigint, x array<double>, __y double, known boolean").withColumn("features", array_to_vector("x"))
+    own = trees.prepared(df, F.array("known", F.lit(True)), trees.cuts_of(df)).select("key", "y", "member", "x").persist()
+    batches = own.toArrow().to_batches()
+    monkeypatch.setattr(trees, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    distinct, plain = trees._distinct, lambda x: None
+    met = []
+    for classes in (0, 2):
+        growth = trees.Growth(6, 3, classes, True, "sqrt")
+        boosted = trees.gradient_boosting(own, 2, 3, trees.Growth(1, 3, classes), rounds=2).boost
+        scans = [trees.Scan(growth, trees.grow(own, 2, 3, growth), 0, 2, 3)]
+        scans.append(trees.Scan(trees.Growth(1, 3), trees.Trees.empty(2, trees.Growth(1, 3)), 0, 0, 3, boost=boosted))
+        for scan in scans:
+            sums = []
+            for how in (distinct, plain):
+                monkeypatch.setattr(trees, "_distinct", lambda x, how=how: met.append(how(x)) or met[-1])
+                out = [b for b in trees._sums(SimpleNamespace(value=scan))(iter(batches))]
+                sums.append({(r["run"], r["tree"]): np.frombuffer(r["sums"]) for b in out for r in b.to_pylist()})
+            assert sums[0].keys() == sums[1].keys() and len(sums[0]) == 2 * scan.growth.trees
+            assert all(np.allclose(sums[0][k], sums[1][k]) for k in sums[0])
+    assert len(met[0][0]) == 64 and (met[0][0][met[0][1]] == np.array([r[1] for r in rows])).all()
+
+
+def test_bins_are_set_from_few_rows_of_each_task(spark):
+    df = spark.range(60_000).select(F.col("id").alias("row_id"), array_to_vector(F.array((F.col("id") * 7919 % 10007).cast("double"))).alias("features")).repartition(12)
+    cuts = trees.cuts_of(df, most=500)
+    near = df.select("features", F.xxhash64(F.col("row_id").cast("string")).alias("h")).orderBy("h").limit(500).collect()
+    assert (cuts[0] == trees.cut_points(np.array([r["features"][0] for r in near]))).all()
+    assert (trees.cuts_of(df, most=500, n=60_000)[0] == cuts[0]).all()
+    # ids that repeat: too few hashes are small
+    same = df.withColumn("row_id", F.lit(1))
+    assert len(trees.cuts_of(same, most=500)) == 1
