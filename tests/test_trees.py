@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 import pytest
 
+from steadyseed.functions.skew import hot_keys
 from steadyseed.operators import forest, trees
 from steadyseed.plans import fixtures as fx
 
@@ -264,3 +265,48 @@ def test_bins_are_set_from_few_rows_of_each_task(spark):
     # ids that repeat: too few hashes are small
     same = df.withColumn("row_id", F.lit(1))
     assert len(trees.cuts_of(same, most=500)) == 1
+
+
+def test_equal_rows_are_weighed_once_and_levels_read_their_masses(spark, monkeypatch):
+    """The same trees as from scans of the rows, with a hot group of rows and several groups of trees."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [0.0, 1.0, 2.0] if i % 3 == 0 else [float(v) for v in rng.integers(0, 4, 3)], float(rng.integers(0, 3))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id bigint, x array<double>, label double").withColumn("features", array_to_vector("x")).repartition(5, "row_id")
+    member = F.array(F.col("row_id") % 4 != 0, F.col("row_id") % 5 != 0)
+    monkeypatch.setattr(trees, "hot_keys", lambda read, keys: hot_keys(read, keys, at_least=500))
+    monkeypatch.setattr(trees, "MASS_BYTES", 40_000)
+    read, scan = [], trees._scan
+    monkeypatch.setattr(trees, "_scan", lambda own, s, partitions, masses=None: read.append(masses is not None) or scan(own, s, partitions, masses))
+    worth = trees._trees_with_masses
+
+    def both(work):
+        found = []
+        for how in (worth, lambda *a: 0):
+            monkeypatch.setattr(trees, "_trees_with_masses", how)
+            read.clear()
+            found.append(work())
+            assert read and all(read) == any(read) == (how is worth)
+        return found
+
+    for classes in (0, 3):
+        y = F.col("label") if classes else F.col("label") * 1.5
+        for cuts in (trees.cuts_of(df), None):
+            own = trees.prepared(df.withColumn("__y", y), member, cuts).persist()
+            kinds = [trees.Growth(4, 3, classes, drawn=True)] if cuts is None else [
+                trees.Growth(1, 3, classes), trees.Growth(30, 3, classes, True, "sqrt", seed=2)]
+            for g in kinds:
+                monkeypatch.setattr(trees, "MASS_BYTES_PER_ROW", 8)
+                a, b = both(lambda g=g, own=own: trees.grow(own, 2, 3, g, 5))
+                assert np.array_equal(a.feature, b.feature) and np.allclose(a.threshold, b.threshold)
+                assert np.allclose(a.value, b.value) and np.allclose(a.weight, b.weight)
+            own.unpersist()
+    own = trees.prepared(df.withColumn("__y", (F.col("label") > 0).cast("double")), member, trees.cuts_of(df)).persist()
+    for work in (
+        lambda: trees.gradient_boosting(own, 2, 3, trees.Growth(depth=2), rounds=3), lambda: trees.gradient_boosting(own, 2, 3, trees.Growth(depth=2, classes=2), rounds=3),
+        lambda: trees.reweighted_stumps(own, 2, 3, 2, rounds=3),
+    ):
+        a, b = (m.boost for m in both(work))
+        assert np.allclose(a.weights, b.weights)
+        for one, other in zip(a.rounds, b.rounds, strict=True):
+            assert np.array_equal(one.feature, other.feature) and np.allclose(one.value, other.value)
+    own.unpersist()
