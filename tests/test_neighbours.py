@@ -134,3 +134,23 @@ def test_shares_of_some_rows_against_all(spark):
     whole = resample.neighbour_shares(df, "id", ["x", "z"], "label", [1], block_rows=40).select("id", "others")
     some = resample.neighbour_shares(df, "id", ["x", "z"], "label", [1], block_rows=40, asked=F.col("id") % 12 == 0).select("id", "others")
     assert sorted(some.collect()) == sorted(r for r in whole.collect() if r["id"] % 12 == 0) and some.count() == 25
+
+
+def test_products_find_the_same_nearest_as_summed_dimensions(monkeypatch):
+    from steadyseed.operators import neighbours
+
+    rng = np.random.default_rng(3)
+    b = np.round(rng.normal(0, 1, (900, 20)), 1)
+    b[500:560] = b[7]  # ties, settled by the place
+    a = np.vstack([b[::30], rng.normal(0, 1, (20, 20)), b[7:8] + 1e-9, np.full((1, 20), 1e8)])
+    exact = neighbours.squared_distances(a, b)
+    for k in (1, 6):
+        at, which = neighbours._best(exact, k)
+        with monkeypatch.context() as m:
+            m.setattr(neighbours, "squared_distances", None)  # only the pairs that can be near are summed
+            found = neighbours.nearest_pairs(a, b, k)
+        assert (found[0] == at).all() and (found[1] == which).all() and (found[2] == exact[at, which]).all()
+    # what is not a number, and narrow vectors, are summed as they are
+    b[3, 0] = np.inf
+    assert (neighbours.nearest_pairs(a, b, 6)[1] == neighbours._best(neighbours.squared_distances(a, b), 6)[1]).all()
+    assert (neighbours.nearest_pairs(a[:, :4], b[:, :4], 6)[1] == neighbours._best(neighbours.squared_distances(a[:, :4], b[:, :4]), 6)[1]).all()
