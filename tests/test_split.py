@@ -106,3 +106,15 @@ def test_many_classes_are_ranked_in_one_shuffle(spark, monkeypatch):
     assert tally(found[100]) == tally(found[10_000]) == tally(few.select(*found[100].columns))
     plan = found[10_000]._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window") > 0 and "__salt" not in plan
+
+
+def test_the_hash_of_a_row_is_made_once_for_all_folds(spark):
+    df = spark.range(200).withColumn("label", F.lit(1))
+    rows = [r["h"] for r in df.select(F.md5(F.concat_ws(":", F.lit("3"), F.col("id"))).alias("h")).orderBy("h").collect()]
+    cutoffs = {1: {i: rows[20 * (i + 1)] for i in range(8)}}
+    part = split.part_column(3, "id", "label", cutoffs, 9)
+    got = df.select(F.md5(F.concat_ws(":", F.lit("3"), F.col("id"))).alias("h"), part.alias("part"))
+    plan = df.select(part.alias("part"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    for r in got.collect():
+        assert r["part"] == next((i for i in range(8) if r["h"] <= rows[20 * (i + 1)]), 9)

@@ -275,6 +275,7 @@ def test_equal_rows_are_weighed_once_and_levels_read_their_masses(spark, monkeyp
     member = F.array(F.col("row_id") % 4 != 0, F.col("row_id") % 5 != 0)
     monkeypatch.setattr(trees, "hot_keys", lambda read, keys: hot_keys(read, keys, at_least=500))
     monkeypatch.setattr(trees, "MASS_BYTES", 40_000)
+    monkeypatch.setattr(trees, "MASS_WORK", 0)
     read, scan = [], trees._scan
     monkeypatch.setattr(trees, "_scan", lambda own, s, partitions, masses=None: read.append(masses is not None) or scan(own, s, partitions, masses))
     worth = trees._trees_with_masses
@@ -310,3 +311,25 @@ def test_equal_rows_are_weighed_once_and_levels_read_their_masses(spark, monkeyp
         for one, other in zip(a.rounds, b.rounds, strict=True):
             assert np.array_equal(one.feature, other.feature) and np.allclose(one.value, other.value)
     own.unpersist()
+
+
+def test_models_are_asked_once_about_rows_of_equal_bins(spark, data, monkeypatch):
+    x, _, label, member = data
+    rows = table(spark, np.minimum(x, 2), label, member)
+    own = trees.prepared(rows, F.col("member"), trees.cuts_of(rows)).persist()
+    models = {}
+    for name, trees_of in (("one", 1), ("two", 3)):
+        g = trees.Growth(trees_of, 2, 3, trees_of > 1)
+        models[name] = trees.Model(g, trees.grow(own, 2, 3, g))
+    models["three"] = trees.reweighted_stumps(own, 2, 3, 3, rounds=3)
+    columns = ["row_id", "run", "model", "y", "prediction"]
+    for kind in (trees.ASKED, trees.LEARNED):
+        looked_up = trees.predictions(own, models, kind, with_ids=True)
+        assert "BroadcastHashJoin" in looked_up._jdf.queryExecution().toString()
+        with monkeypatch.context() as m:
+            m.setattr(trees, "_few_cells", lambda *a: False)
+            plain = trees.predictions(own, models, kind, with_ids=True).select(columns).collect()
+        assert len(plain) == 3 * (member == bool(kind)).sum()
+        assert sorted(map(tuple, looked_up.select(columns).collect())) == sorted(map(tuple, plain))
+        assert looked_up.drop("row_id").columns == trees.predictions(own, models, kind).columns
+    own.unpersist()
