@@ -119,3 +119,14 @@ def test_constant_columns_and_labels(spark):
     models, errors = moments.fit_folds(made, "classification", list(moments.CLASSIFICATION), 1, 3)
     assert not errors
     assert all(np.isfinite(moments.predict(m, np.array([[1.0, 5.0], [2.0, 5.0]]))).all() for m in models.values())
+
+
+def test_rows_of_each_key_are_added_up_in_their_order(spark):
+    rows = spark.range(0, 3000, 1, 3).selectExpr("pmod(id * 7, 5) AS part", "pmod(id, 3) AS label", "array(CAST(id AS DOUBLE), CAST(pmod(id * 11, 17) AS DOUBLE)) AS values")
+    found = {(r["part"], r["label"]): r for r in moments.moments(rows, ["part", "label"], 3).collect()}
+    plain = rows.collect()
+    assert len(found) == 15
+    for key, r in found.items():
+        own = np.array([p["values"] for p in plain if (p["part"], p["label"]) == key])
+        assert r["n"] == len(own) and r["mean"] == pytest.approx(own.mean(axis=0))
+        assert np.array(r["scatter"]).reshape(2, 2) / len(own) == pytest.approx(np.cov(own.T, bias=True))
