@@ -333,3 +333,26 @@ def test_models_are_asked_once_about_rows_of_equal_bins(spark, data, monkeypatch
         assert sorted(map(tuple, looked_up.select(columns).collect())) == sorted(map(tuple, plain))
         assert looked_up.drop("row_id").columns == trees.predictions(own, models, kind).columns
     own.unpersist()
+
+
+@pytest.mark.parametrize("drawn", [False, True])
+def test_few_trees_read_what_each_task_weighed(spark, monkeypatch, drawn):
+    rng = np.random.default_rng(3)
+    table = [(str(i), [float(a), float(b)], float(a - 2 * b + i % 3)) for i, (a, b) in enumerate(rng.integers(0, 3, (600, 2)).tolist())]
+    df = spark.createDataFrame(table, "row_id string, features array<double>, __y double").repartition(3, "row_id").sortWithinPartitions("row_id")
+    g = trees.Growth(6, 4, 0, not drawn, "all", drawn, 5)
+    cuts = None if drawn else trees.cuts_of(df, n=len(table))
+    rows = trees.prepared(df, F.array(F.lit(trees.LEARNED)), cuts)
+    read, scan = [], trees._scan
+
+    def seen(*args):
+        read.append(args[3])
+        return scan(*args)
+
+    monkeypatch.setattr(trees, "_scan", seen)
+    own = trees.grow(rows, 1, 2, g, 3)
+    assert read and all(m is not None and not m.met for m in read)
+    monkeypatch.setattr(trees, "_trees_with_own_masses", lambda *a: 0)
+    scanned = trees.grow(rows, 1, 2, g, 3)
+    assert read[-1] is None and (own.feature == scanned.feature).all() and (own.feature >= 0).sum() > 20
+    assert np.allclose(own.threshold, scanned.threshold) and np.allclose(own.value, scanned.value) and np.allclose(own.weight, scanned.weight)
