@@ -108,10 +108,11 @@ def far_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Links between fingerprints of different ``part``s that differ in at most ``max_bits`` bits.
 
     The grid join proposes pairs that share a cell, the Manhattan distance of the
-    bit counts is the lower bound, and the bits themselves decide.
+    bit counts is the lower bound, and the bits themselves decide. Neither side is
+    ever broadcast: Spark knows the size of the fingerprints, not of their 66 visits.
     """
     placed = visits(spread_out(prints).withColumn("code", counts_code(F.col("fp"))))
-    a, b = placed.alias("a"), placed.alias("b")
+    a, b = placed.alias("a"), placed.hint("merge").alias("b")
     return a.join(
         b,
         (F.col("a.cell") == F.col("b.cell")) & (F.col("a.half") == F.col("b.half")) & (F.col("a.part") < F.col("b.part"))

@@ -166,3 +166,11 @@ def test_ranges_meet_the_index_of_earlier_ranges(spark, documents, odd, none):
         assert r == plain[r.doc_id, r.mark]
     for n in (1, 2):
         assert sorted(r.doc_id for r in exact_dedup.deduplicate(documents([(5, "a ", "s"), (5, "b", "s"), (5, "a  ", "s")]), exact_dedup.new_index(spark), n).collect()) == [5, 5]
+
+
+def test_the_visits_of_few_fingerprints_are_not_broadcast(spark):
+    rows = [(i, i) for i in range(1, 40)]
+    links = simhash_dedup.far_links(spark.createDataFrame(rows, "fp bigint, part bigint"))
+    got = {(r.u, r.v) for r in links.collect()}
+    assert got == {(a, b) for a, _ in rows for b, _ in rows if a < b and (a ^ b).bit_count() <= 4}
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
