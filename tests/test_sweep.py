@@ -114,6 +114,24 @@ def test_all_regression_families_run(spark, tables):
     assert [r["model"] for r in found if r["error"]] == []
 
 
+@pytest.mark.parametrize(("problem", "cells"), [("classification", 1), ("classification", 100), ("regression", 70)])
+def test_no_family_is_left_out_where_matrices_are_large(spark, tables, monkeypatch, problem, cells):
+    df = (fx.big if problem == "classification" else fx.net)(spark, tables).limit(400).persist()
+    models = list(leaderboard.moments.families(problem))
+    roles = spark.sql("SELECT * FROM VALUES ('Best', 3), ('Worst', 1) AS t(seed_role, seed)")
+    metric = leaderboard.default_metric(problem)
+
+    def compared():
+        found = leaderboard.compare_models_for_seeds(df, "row_id", FEATURES, "label", problem, roles, models=models, folds=4).collect()
+        assert len(found) == 2 * len(models) and not any(r["error"] for r in found)
+        return {(r["seed"], r["model"]): r[metric] for r in found}
+
+    whole = compared()
+    monkeypatch.setattr(leaderboard.moments, "MOST_CELLS", cells)
+    assert compared() == pytest.approx(whole, rel=1e-6)
+    df.unpersist()
+
+
 def test_seeds_compared_together_are_those_compared_alone(spark, tables):
     df = fx.big(spark, tables).limit(400).persist()
     models = ["Random Forest Classifier", "Extra Trees Classifier", "Ada Boost Classifier", "Linear Discriminant Analysis", "Decision Tree Classifier", "Baseline"]
