@@ -118,3 +118,12 @@ def test_the_hash_of_a_row_is_made_once_for_all_folds(spark):
     assert plan.count("md5(") == 1
     for r in got.collect():
         assert r["part"] == next((i for i in range(8) if r["h"] <= rows[20 * (i + 1)]), 9)
+
+
+@pytest.mark.parametrize("stratify", [None, "c"])
+def test_the_readers_of_a_split_do_not_look_for_its_cutoffs_again(spark, stratify):
+    df = spark.range(300).select("id", (F.col("id") % 3).alias("c"))
+    found = split.assign_split(df, "id", [1, 2], stratify=stratify, ranked_rows=10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
+    assert {(r["seed"], r["n"]) for r in found.where("is_test").groupBy("seed").agg(F.count("id").alias("n")).collect()} == {(1, 90), (2, 90)}
