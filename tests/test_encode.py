@@ -1,11 +1,12 @@
 import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from steadyseed.config import CategoricalConfig
+from steadyseed.config import CategoricalConfig, ensure_checkpoint_dir
 from steadyseed.operators import encode, impute
 
 
@@ -124,6 +125,14 @@ def test_impute_iterative_edge_cases(spark):
     assert out.where("a IS NULL OR b IS NULL OR d IS NULL").isEmpty()
 
 
+def test_impute_keeps_the_last_round_only(spark):
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("rdd-*"))
+    out, _ = impute.impute_iterative(gaps(spark), ["a", "b"], "id", max_iter=3, estimator="linear", tolerance=0.0)
+    assert len(set(folder.glob("rdd-*")) - before) == 1
+    assert out.where("a IS NOT NULL AND b IS NOT NULL").count() == 200
+
+
 def test_impute_does_not_depend_on_partitions(spark):
     runs = []
     for parts in (1, 6):
