@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 import pytest
 
-from steadyseed.operators import resample
+from steadyseed.operators import neighbours, resample
 from steadyseed.operators.neighbours import neighbour_lists
 
 
@@ -154,3 +154,19 @@ def test_products_find_the_same_nearest_as_summed_dimensions(monkeypatch):
     b[3, 0] = np.inf
     assert (neighbours.nearest_pairs(a, b, 6)[1] == neighbours._best(neighbours.squared_distances(a, b), 6)[1]).all()
     assert (neighbours.nearest_pairs(a[:, :4], b[:, :4], 6)[1] == neighbours._best(neighbours.squared_distances(a[:, :4], b[:, :4]), 6)[1]).all()
+
+
+@pytest.mark.parametrize(("dims", "scale"), [(1, [1.0]), (2, [3.0, 1.0]), (4, [50.0, 1e5, 0.1, 0.08]), (20, [1.0] * 20)])
+def test_nearest_pivots_are_those_of_all_pairs(dims, scale, monkeypatch):
+    rng = np.random.default_rng(dims)
+    points = np.round(rng.normal(0, 1, (3000, dims)) * scale, 2)  # with ties
+    pivots = np.unique(points[:400], axis=0)
+    rng.shuffle(pivots)
+    _, cell, near = neighbours.nearest_pairs(points, pivots, 1)
+    compared = []
+    whole = neighbours.squared_distances
+    monkeypatch.setattr(neighbours, "squared_distances", lambda a, b: compared.append(len(a) * len(b)) or whole(a, b))
+    found = neighbours.nearest_pivots(points, pivots)
+    assert (found[0] == cell).all() and (found[1] == near).all()
+    if dims == 4:
+        assert sum(compared) < len(points) * len(pivots) / 5
